@@ -63,6 +63,7 @@ def station_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of an observation file, and Year as the reader adds it."""
     number = F.col("l_linenumber")
     element = (
         F.when(number == 1, "PRCP")
@@ -80,6 +81,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_returnflag") == "R", "G").alias("QFlag"),
         F.lit(None).cast("string").alias("SFlag"),
         F.lit(None).cast("string").alias("Time"),
+        F.year("l_shipdate").alias("Year"),
     )
 
 

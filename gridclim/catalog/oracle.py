@@ -16,8 +16,9 @@ IN_SEGMENT = {
 
 
 def r(expression: str, digits: int = 6) -> str:
-    """Rounded, and never a negative zero."""
-    return f"round({expression}, {digits}) + 0.0e0"
+    """Half up after noise in the last digits is gone; never a negative zero."""
+    scale = f"1e{digits}"
+    return f"floor(round({expression}, {digits + 3}) * {scale} + 0.5e0) / {scale}"
 
 
 def rounded(names: list[str], digits: int = 6) -> str:

@@ -10,7 +10,7 @@ from .. import sinks, sources
 from ..config import MEASURES
 from ..functions.calendar import year_of
 from ..functions.geojson import FEATURE_COLLECTION
-from ..plans import ClimateTables, build_yearly_anomalies, publish_polygons
+from ..plans import ClimateTables, build_yearly_anomalies, keep_stage, publish_polygons
 from ..session import scratch_path
 from ..streaming import YearlyIncrements
 from . import inputs
@@ -26,8 +26,14 @@ def query(run):
 
 
 def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    """Means depend on the order of summation in their last digits."""
-    return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
+    """Means depend on the order of summation in their last digits. These are cut off first, so
+    that a value halfway between two results always goes up."""
+    return df.withColumns({c: round_half_up(F.col(c), digits) for c in columns})
+
+
+def round_half_up(value: Column, digits: int) -> Column:
+    scale = F.lit(10.0**digits)
+    return F.floor(F.round(value, digits + 3) * scale + F.lit(0.5)) / scale
 
 
 def tiled_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,8 +166,8 @@ def saved_tiles(spark, sf_dir):
 
 @query
 def restrict_to_tiles(spark, sf_dir):
-    rows = tiled(spark, sf_dir)
-    return op.restrict_to_tiles(rows, op.initial_tiles(rows, STRICT_CONFIG))
+    tiles = climate(spark, sf_dir, STRICT_CONFIG).tiles
+    return op.restrict_to_tiles(tiled(spark, sf_dir), tiles, op.fits_broadcast(tiles))
 
 
 # Daily values, baseline and anomalies
@@ -169,7 +175,9 @@ def restrict_to_tiles(spark, sf_dir):
 
 @query
 def station_count(spark, sf_dir):
-    return op.with_station_count(tiled(spark, sf_dir))
+    rows = tiled(spark, sf_dir)
+    counts = keep_stage(spark, lambda: op.station_counts(rows), scratch_path(spark, "counts"))
+    return op.with_station_count(rows, counts)
 
 
 @query
@@ -394,7 +402,7 @@ def point_features(spark, sf_dir):
         F.col("f.geometry.coordinates")[0].alias("x"),
         F.col("f.geometry.coordinates")[1].alias("y"),
         F.col("f.properties.Tile_Id").alias("Tile_Id"),
-        *[F.round(F.col(f"f.properties.{m}"), 6).alias(m) for m in MEASURES],
+        *[round_half_up(F.col(f"f.properties.{m}"), 6).alias(m) for m in MEASURES],
     )
 
 

@@ -1,7 +1,7 @@
 """Which tiles have enough measurements to take part.
 
 Every function accepts any table with the columns it names: row-level tiled observations or the
-far smaller daily totals, which hold the same (Date, Tile_Id) pairs."""
+far smaller daily tile values, which hold the same (Date, Tile_Id) pairs."""
 
 from __future__ import annotations
 
@@ -69,6 +69,8 @@ def initial_tiles(days: DataFrame, config: ClimateConfig) -> DataFrame:
     )
 
 
-def restrict_to_tiles(df: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Rows of the considered tiles."""
-    return df.join(tiles.select("Tile_Id"), "Tile_Id", "left_semi")
+def restrict_to_tiles(df: DataFrame, tiles: DataFrame, broadcast: bool = False) -> DataFrame:
+    """Rows of the considered tiles. ``broadcast`` is for raw rows and a list of tiles that was
+    found to fit (``fits_broadcast``): it spares a shuffle by tile, and tiles differ in size."""
+    chosen = tiles.select("Tile_Id")
+    return df.join(F.broadcast(chosen) if broadcast else chosen, "Tile_Id", "left_semi")

@@ -35,24 +35,28 @@ def fits_broadcast(lookup: DataFrame, limit: BroadcastLimit = BroadcastLimit())
 def lookup_join(
     fact: DataFrame,
     lookup: DataFrame,
-    key: str,
+    keys: Sequence[str],
     spread_by: Sequence[str],
     broadcast: bool,
     salts: int = 32,
 ) -> DataFrame:
-    """Inner join on ``key``, which is unique in ``lookup``.
+    """Inner join on ``keys``, which are unique in ``lookup``.
 
     A lookup that fits is broadcast. Beyond that both sides are shuffled, and every key of the
     fact table is spread over ``salts`` partitions by a hash of its ``spread_by`` columns, with
-    the lookup rows repeated once per salt: one station may hold a large share of all rows. The
-    hash makes a repeated task send its rows to the same place as the first attempt."""
+    the lookup rows repeated once per salt: one key may hold a large share of all rows. The
+    hash makes a repeated task send its rows to the same place as the first attempt. Adaptive
+    execution splits what is still too large for one task."""
+    keys = list(keys)
     if broadcast:
-        return fact.join(F.broadcast(lookup), key)
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts))
+        return fact.join(F.broadcast(lookup), keys)
+    if salts == 1:
+        return fact.join(lookup.hint("shuffle_merge"), keys)
+    salt = F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int")
     salted = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return (
-        fact.withColumn("_salt", salt.cast("int"))
-        .join(salted.hint("shuffle_merge"), [key, "_salt"])
+        fact.withColumn("_salt", salt)
+        .join(salted.hint("shuffle_merge"), [*keys, "_salt"])
         .drop("_salt")
     )
 

@@ -33,7 +33,7 @@ def tiled_observations(
     return lookup_join(
         accepted_observations(observations),
         tiled_stations.withColumnRenamed("Id", "Station"),
-        "Station",
+        ["Station"],
         spread_by=["Date", "Element", "Value"],
         broadcast=broadcast,
     )

@@ -1,12 +1,10 @@
 """Whole computations, composed from the operators."""
 
-from .anomalies import (
-    ClimateTables, build_yearly_anomalies, climate_tables, measured_facts, summarise_observations,
-)
+from .anomalies import ClimateTables, build_yearly_anomalies, climate_tables, daily_values
 from .publish import publish_polygons
 from .stages import keep_stage
 
 __all__ = [
-    "ClimateTables", "build_yearly_anomalies", "climate_tables", "keep_stage", "measured_facts",
-    "publish_polygons", "summarise_observations",
+    "ClimateTables", "build_yearly_anomalies", "climate_tables", "daily_values", "keep_stage",
+    "publish_polygons",
 ]

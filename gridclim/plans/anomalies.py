@@ -8,27 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ClimateConfig
-from ..functions.elements import fold_storms
 from ..operators.anomaly import anomalies
 from ..operators.baseline import baseline_year
 from ..operators.coverage import initial_tiles, restrict_to_tiles
-from ..operators.daily import values_from_totals
-from ..operators.lookups import BroadcastLimit, fits_broadcast, lookup_join
+from ..operators.daily import daily_from_facts, facts_on_tiles, observation_facts
+from ..operators.lookups import BroadcastLimit
 from ..operators.observe import accepted_observations
 from ..operators.stations import tile_stations
 from ..operators.wide import wide_table, with_centres
 from ..session import scratch_path
 from .stages import keep_stage
 
-SUMS = ("n", "n_value", "sum_value")
-
 
 @dataclass(frozen=True)
 class ClimateTables:
-    """The tables between the raw data and the result, all lazy over one stored stage."""
+    """The tables from the stored daily values to the result, all lazy."""
 
-    totals: DataFrame
-    station_counts: DataFrame
     daily: DataFrame
     tiles: DataFrame
     baseline: DataFrame
@@ -36,80 +31,29 @@ class ClimateTables:
     wide: DataFrame
 
 
-def measured_facts(observations: DataFrame, config: ClimateConfig) -> DataFrame:
-    """One row per accepted observation of the years in question, in a form that can be summed."""
-    first = min(config.year_start_data, config.year_start_baseline)
-    last = max(config.year_end_data, config.year_end_baseline)
-    return (
-        accepted_observations(observations)
-        .where(F.col("Year").between(first, last))
-        .select(
-            "Station", "Year", "Date",
-            fold_storms(F.col("Element")).alias("Element"),
-            F.lit(1).cast("bigint").alias("n"),
-            F.col("Value").isNotNull().cast("bigint").alias("n_value"),
-            F.col("Value").cast("bigint").alias("sum_value"),
-        )
-    )
-
-
-def summarise_observations(
+def daily_values(
     observations: DataFrame,
     tiled_stations: DataFrame,
     config: ClimateConfig,
     limit: BroadcastLimit = BroadcastLimit(),
 ) -> DataFrame:
-    """One scan of the raw data for all that follows: sums per (day, tile, element), marked
-    ``day``, and the reporting stations per (year, tile), marked ``station``.
-
-    With a station list that can be broadcast, rows combine on their way into the only shuffle.
-    A longer list needs a join by station; there the rows are first combined per station, day
-    and element, so that a station with very many records is small before it meets its tile."""
-    facts = measured_facts(observations, config)
-    broadcast = fits_broadcast(tiled_stations, limit)
-    if not broadcast:
-        facts = facts.groupBy("Station", "Year", "Date", "Element").agg(
-            *[F.sum(c).alias(c) for c in SUMS]
-        )
-    tiled = lookup_join(
-        facts,
-        tiled_stations.select(F.col("Id").alias("Station"), "Tile_Id"),
-        "Station",
-        spread_by=["Date", "Element"],
-        broadcast=broadcast,
-        salts=4,
-    ).where(F.col("Tile_Id").isNotNull())
-    keys = ["Year", "Date", "Tile_Id", "Element", "Station"]
-    sets = [["Year", "Date", "Tile_Id", "Element"], ["Year", "Tile_Id", "Station"]]
-    # The station columns are the last one rolled up for days, and the day columns for stations.
-    by_day = F.grouping("Station") == 1
-    return (
-        tiled.groupingSets([[F.col(c) for c in s] for s in sets], *keys)
-        .agg(
-            F.when(by_day, "day").otherwise("station").alias("kind"),
-            *[F.sum(c).alias(c) for c in SUMS],
-        )
-    )
+    """Daily tile values of all years that the baseline or the result needs, by one scan."""
+    first = min(config.year_start_data, config.year_start_baseline)
+    last = max(config.year_end_data, config.year_end_baseline)
+    accepted = accepted_observations(observations).where(F.col("Year").between(first, last))
+    return daily_from_facts(facts_on_tiles(observation_facts(accepted), tiled_stations, limit))
 
 
-def climate_tables(stage: DataFrame, config: ClimateConfig) -> ClimateTables:
-    """Everything that follows from the stored sums, which are small beside the raw data."""
-    totals = stage.where(F.col("kind") == "day").select(
-        "Year", "Date", "Tile_Id", "Element", *SUMS
-    )
-    counts = (
-        stage.where(F.col("kind") == "station")
-        .groupBy("Year", "Tile_Id")
-        .agg(F.count(F.lit(1)).alias("Station_count"))
-    )
-    daily = values_from_totals(totals, counts)
-    tiles = initial_tiles(totals, config)
+def climate_tables(daily: DataFrame, config: ClimateConfig) -> ClimateTables:
+    """What follows from the daily tile values, which are small beside the raw data. Coverage
+    needs no raw data either: a day with any record has a daily value."""
+    tiles = initial_tiles(daily, config)
     baseline = baseline_year(restrict_to_tiles(daily, tiles), config)
     in_data = F.col("Year").between(config.year_start_data, config.year_end_data)
     # The join with the baseline keeps only its tiles, so they need no filter of their own.
     differences = anomalies(daily.where(in_data), baseline)
     wide = with_centres(wide_table(differences), config.tile_size)
-    return ClimateTables(totals, counts, daily, tiles, baseline, differences, wide)
+    return ClimateTables(daily, tiles, baseline, differences, wide)
 
 
 def build_yearly_anomalies(
@@ -121,14 +65,15 @@ def build_yearly_anomalies(
     limit: BroadcastLimit = BroadcastLimit(),
 ) -> ClimateTables:
     """Raw observations (``read_observations``) and stations (``read_stations``) to yearly
-    anomalies per tile. Scans the raw data once, into a stage under ``stage_path`` (default: a
-    new path in the scratch folder). Run again with the same path, it starts from the stage."""
+    anomalies per tile. Scans the raw data once, into a table of daily values stored by Year
+    under ``stage_path`` (default: a new path in the scratch folder). Run again with the same
+    path, it starts from that table."""
     tiled = tile_stations(stations, config.tile_size)
-    stage = keep_stage(
+    daily = keep_stage(
         spark,
-        lambda: summarise_observations(observations, tiled, config, limit),
-        stage_path or scratch_path(spark, "observations"),
-        label=repr(config),
-        partition_by=["kind"],
+        lambda: daily_values(observations, tiled, config, limit),
+        stage_path or scratch_path(spark, "daily"),
+        label=repr(config) if stage_path else None,
+        by_year=True,
     )
-    return climate_tables(stage, config)
+    return climate_tables(daily, config)

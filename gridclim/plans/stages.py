@@ -2,32 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sinks.tables import write_by_year
+
 
 def keep_stage(
     spark: SparkSession,
     make: Callable[[], DataFrame],
     path: str,
-    label: str,
-    partition_by: Sequence[str] = (),
+    label: str | None = None,
+    by_year: bool = False,
 ) -> DataFrame:
     """Writes ``make()`` to ``path`` and reads it back; the rest of the plan starts from the
-    files and outlives lost executors. A finished stage with the same ``label`` is reused."""
-    if _finished_label(spark, path) != label:
-        make().write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/table")
-        done = spark.range(1).select(F.lit(label).alias("label"))
-        done.write.mode("overwrite").parquet(f"{path}/done")
-    return spark.read.parquet(f"{path}/table")
+    files and outlives lost executors. With a ``label``, a finished stage that carries the same
+    label is reused. ``by_year`` stores the table by its column Year."""
+    table, done = f"{path}/table", f"{path}/done"
+    if label is None or _finished_label(spark, done) != label:
+        stage = make()
+        if by_year:
+            write_by_year(stage, table)
+        else:
+            stage.write.mode("overwrite").parquet(table)
+        if label is not None:
+            marker = spark.range(1).select(F.lit(label).alias("label"))
+            marker.write.mode("overwrite").parquet(done)
+    return spark.read.parquet(table)
 
 
-def _finished_label(spark: SparkSession, path: str) -> str | None:
+def _finished_label(spark: SparkSession, done: str) -> str | None:
     """The label is written after the table, so it exists only for complete stages."""
     try:
-        return spark.read.parquet(f"{path}/done").first()["label"]
+        return spark.read.parquet(done).first()["label"]
     except AnalysisException:
         return None
