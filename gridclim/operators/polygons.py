@@ -55,7 +55,7 @@ def feature_collections(polygons: DataFrame) -> DataFrame:
         "Year", feature(F.col("geometry"), properties, F.col("id")).alias("feature"), "id"
     )
     ordered = F.transform(
-        F.array_sort(F.collect_list(F.struct("id", "feature"))), lambda f: f["feature"]
+        F.sort_array(F.collect_list(F.struct("id", "feature"))), lambda f: f["feature"]
     )
     return features.groupBy("Year").agg(ordered.alias("features")).select(
         "Year",

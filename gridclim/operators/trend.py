@@ -27,8 +27,10 @@ def local_trend(
     entry = F.struct(
         F.col(x).cast("int").alias("x"), F.col("_n").alias("n"), F.col("_sum").alias("sum")
     )
-    gathered = points.groupBy(*groups).agg(
-        F.array_sort(F.collect_list(entry)).alias("_points"),
+    # A given number of partitions keeps the fits, long work on small data, on many tasks.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    gathered = points.repartition(tasks, *groups).groupBy(*groups).agg(
+        F.sort_array(F.collect_list(entry)).alias("_points"),
         F.floor(F.sum("_n") * F.lit(span) + F.lit(1e-5)).alias("_near"),
     )
     fits = F.transform(
@@ -49,30 +51,45 @@ def local_trend(
 
 def _fit(points: Column, at: Column, near: Column) -> Column:
     """Value of the local quadratic at ``at``."""
-    width = _reach(points, at, near)
-    weighted = F.transform(points, lambda p: _weigh(p, (p["x"] - at) / width))
+    # A one-element array holds the width, so that it is computed once and not per point.
+    return F.get(
+        F.transform(F.array(_reach(points, at, near)), lambda width: _solve(points, at, width)), 0
+    )
+
+
+def _solve(points: Column, at: Column, width: Column) -> Column:
+    """The quadratic over the points closer than ``width``, with tricube weights."""
+    close = F.filter(points, lambda p: F.abs(p["x"] - at) < width)
+    offsets = F.transform(
+        close,
+        lambda p: F.struct(
+            ((p["x"] - at) / width).alias("u"), p["n"].alias("n"), p["sum"].alias("sum")
+        ),
+    )
+    weighted = F.transform(
+        offsets,
+        lambda p: F.struct(
+            p["u"].alias("u"),
+            (_tricube(p["u"]) * p["n"]).alias("w"),
+            (_tricube(p["u"]) * p["sum"]).alias("wy"),
+        ),
+    )
     zero = F.lit(0.0)
     start = F.struct(
         F.lit(0).alias("k"),
         *[zero.alias(f"s{i}") for i in range(5)],
         *[zero.alias(f"t{i}") for i in range(3)],
     )
+    return F.when(width > 0, F.aggregate(weighted, start, _add, _intercept))
 
-    def add(m: Column, p: Column) -> Column:
-        power = [F.lit(1.0), p["u"], p["u"] * p["u"]]
-        power += [power[2] * p["u"], power[2] * power[2]]
-        return F.struct(
-            (m["k"] + F.when(p["w"] > 0, 1).otherwise(0)).alias("k"),
-            *[(m[f"s{i}"] + p["w"] * power[i]).alias(f"s{i}") for i in range(5)],
-            *[(m[f"t{i}"] + p["wy"] * power[i]).alias(f"t{i}") for i in range(3)],
-        )
 
-    return F.when(width > 0, F.aggregate(weighted, start, add, _intercept))
+def _tricube(u: Column) -> Column:
+    return F.pow(F.lit(1.0) - F.abs(u * u * u), F.lit(3.0))
 
 
 def _reach(points: Column, at: Column, near: Column) -> Column:
     """Distance to the ``near``-th nearest point."""
-    distances = F.array_sort(
+    distances = F.sort_array(
         F.transform(
             points, lambda p: F.struct(F.abs(p["x"] - at).alias("d"), p["n"].alias("n"))
         )
@@ -89,11 +106,14 @@ def _reach(points: Column, at: Column, near: Column) -> Column:
     )
 
 
-def _weigh(point: Column, u: Column) -> Column:
-    closeness = F.lit(1.0) - F.abs(u) * F.abs(u) * F.abs(u)
-    tricube = F.when(F.abs(u) < 1, closeness * closeness * closeness).otherwise(F.lit(0.0))
+def _add(m: Column, p: Column) -> Column:
+    """Adds one point to the weighted moments."""
+    u = p["u"]
+    powers = [F.lit(1.0), u, u * u, u * u * u, u * u * u * u]
     return F.struct(
-        u.alias("u"), (tricube * point["n"]).alias("w"), (tricube * point["sum"]).alias("wy")
+        (m["k"] + F.lit(1)).alias("k"),
+        *[(m[f"s{i}"] + p["w"] * powers[i]).alias(f"s{i}") for i in range(5)],
+        *[(m[f"t{i}"] + p["wy"] * powers[i]).alias(f"t{i}") for i in range(3)],
     )
 
 

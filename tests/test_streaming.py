@@ -1,0 +1,64 @@
+import pytest
+from pyspark.sql import functions as F
+
+from gridclim import build_yearly_anomalies
+from gridclim.config import MEASURES
+from gridclim.operators import tile_stations
+from gridclim.sources import read_result
+from gridclim.streaming import YearlyIncrements
+
+from helpers import rows, stations
+from test_anomalies import CONFIG, STATIONS, years_of_observations
+
+COLUMNS = ["Year", "Tile_Id", "Lat", "Long"] + list(MEASURES)
+
+
+def cells(df):
+    return rows(
+        df.select("Year", "Tile_Id", "Lat", "Long", *[F.round(m, 9).alias(m) for m in MEASURES]),
+        *COLUMNS,
+    )
+
+
+@pytest.fixture
+def setup(spark, tmp_path):
+    seen, listed = years_of_observations(spark), stations(spark, STATIONS)
+    tables = build_yearly_anomalies(spark, seen, listed, CONFIG)
+    increments = YearlyIncrements(
+        spark, tile_stations(listed, 10), tables.baseline, str(tmp_path / "store"),
+        str(tmp_path / "result"), CONFIG,
+    )
+    return seen.cache(), tables, increments
+
+
+def lines(seen, condition):
+    kept = seen.where(condition).collect()
+    return "".join(f"{r['Station']},{r['Date']},{r['Element']},{r['Value']},,,,\n" for r in kept)
+
+
+def test_files_arrive_one_after_the_other(spark, setup, tmp_path):
+    seen, tables, increments = setup
+    incoming = tmp_path / "incoming"
+    incoming.mkdir()
+    checkpoint = str(tmp_path / "progress")
+    # The first half of 1918 arrives before the rest of it.
+    (incoming / "1917.csv").write_text(lines(seen, "Year = 1917"))
+    (incoming / "1918a.csv").write_text(lines(seen, "Year = 1918 AND Date < '19180601'"))
+    increments.start(str(incoming), checkpoint).awaitTermination()
+    years = {r["Year"] for r in read_result(spark, increments.result).collect()}
+    assert years == {1917, 1918}
+    (incoming / "1918b.csv").write_text(lines(seen, "Year = 1918 AND Date >= '19180601'"))
+    for year in (1919, 1920, 1921):
+        (incoming / f"{year}.csv").write_text(lines(seen, f"Year = {year}"))
+    increments.start(str(incoming), checkpoint, files_per_batch=2).awaitTermination()
+    assert cells(read_result(spark, increments.result)) == cells(tables.wide)
+
+
+def test_a_repeated_batch_changes_nothing(spark, setup):
+    seen, tables, increments = setup
+    batch = seen.where("Year <= 1918").drop("Year")
+    increments.update(batch, 0)
+    first = cells(read_result(spark, increments.result))
+    increments.update(batch, 0)
+    assert cells(read_result(spark, increments.result)) == first
+    assert first == cells(tables.wide.where("Year <= 1918"))
