@@ -1,7 +1,9 @@
 """Climate anomalies from station observations, on Spark DataFrames."""
 
 from .config import ClimateConfig
-from .operators import *  # noqa: F401,F403
-from .plans import ClimateTables, build_yearly_anomalies, publish_polygons
+from .plans import ClimateTables, build_yearly_anomalies, generate_result, publish_polygons
 
-__all__ = ["ClimateConfig", "ClimateTables", "build_yearly_anomalies", "publish_polygons"]
+__all__ = [
+    "ClimateConfig", "ClimateTables", "build_yearly_anomalies", "generate_result",
+    "publish_polygons",
+]

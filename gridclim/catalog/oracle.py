@@ -350,6 +350,7 @@ def oracle_sql() -> dict[str, str]:
         "yearly_anomalies", "wide_full_join", "restarted_anomalies", "streamed_increments",
     ):
         queries[name] = sql(wide)
+    queries["saved_baseline"] = queries["daily_anomaly"]
     queries["yearly_anomalies_strict"] = sql(wide, **strict)
     # The last year keeps the values that were written first.
     kept = ", ".join(

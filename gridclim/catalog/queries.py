@@ -10,7 +10,9 @@ from .. import sinks, sources
 from ..config import MEASURES
 from ..functions.calendar import year_of
 from ..functions.geojson import FEATURE_COLLECTION
-from ..plans import ClimateTables, build_yearly_anomalies, keep_stage, publish_polygons
+from ..plans import (
+    ClimateTables, build_yearly_anomalies, climate_tables, keep_stage, publish_polygons,
+)
 from ..session import scratch_path
 from ..streaming import YearlyIncrements
 from . import inputs
@@ -53,6 +55,13 @@ def climate(spark: SparkSession, sf_dir: str, config=CONFIG, stage_path=None) ->
     )
 
 
+def stored_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide table, written by Year and read back, for queries that use it more than once."""
+    path = scratch_path(spark, "result")
+    sinks.write_by_year(climate(spark, sf_dir).wide, path)
+    return sources.read_result(spark, path)
+
+
 def co2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.co2_series(inputs.co2_lines(spark, sf_dir))
 
@@ -218,6 +227,16 @@ def baseline_tiles(spark, sf_dir):
     return op.baseline_tiles(climate(spark, sf_dir, STRICT_CONFIG).baseline)
 
 
+@query
+def saved_baseline(spark, sf_dir):
+    """Anomalies against a baseline that was saved as CSV and read back."""
+    tables = climate(spark, sf_dir)
+    path = scratch_path(spark, "baseline")
+    sinks.export_baseline(tables.baseline, path)
+    stored = op.stored_baseline(sources.read_daily_values(spark, path))
+    return rounded(climate_tables(tables.daily, CONFIG, stored).anomalies, "Value")
+
+
 @query
 def daily_anomaly(spark, sf_dir):
     return rounded(climate(spark, sf_dir).anomalies, "Value")
@@ -354,25 +373,25 @@ def tile_trend(spark, sf_dir):
 
 @query
 def year_lookup(spark, sf_dir):
-    shown = op.year_lookup(climate(spark, sf_dir).wide, 1999, "summer")
+    shown = op.year_lookup(stored_result(spark, sf_dir), 1999, "summer")
     return rounded(shown, "TMAX", "PRCP", "WTXX")
 
 
 @query
 def tile_polygons(spark, sf_dir):
-    polygons = op.tile_polygons(climate(spark, sf_dir).wide, SIZE)
+    polygons = op.tile_polygons(stored_result(spark, sf_dir), SIZE)
     return polygons.select("Lat", "Long", "Year", ring_text())
 
 
 @query
 def feature_ids(spark, sf_dir):
-    polygons = op.tile_polygons(climate(spark, sf_dir).wide, SIZE)
+    polygons = op.tile_polygons(stored_result(spark, sf_dir), SIZE)
     return op.feature_ids(polygons).select("id", "Lat", "Long", "Year")
 
 
 @query
 def feature_collections(spark, sf_dir):
-    polygons = op.tile_polygons(climate(spark, sf_dir).wide, SIZE)
+    polygons = op.tile_polygons(stored_result(spark, sf_dir), SIZE)
     return op.feature_collections(op.feature_ids(polygons))
 
 
@@ -380,7 +399,7 @@ def feature_collections(spark, sf_dir):
 def geojson_rows(spark, sf_dir):
     """The polygons published as files, one per year, and read back into rows."""
     path = scratch_path(spark, "geojson")
-    publish_polygons(climate(spark, sf_dir).wide, path, SIZE)
+    publish_polygons(stored_result(spark, sf_dir), path, SIZE)
     features = sources.explode_features(sources.read_feature_collections(spark, path))
     return features.select("id", "Lat", "Long", "Year", ring_text())
 
@@ -388,7 +407,7 @@ def geojson_rows(spark, sf_dir):
 @query
 def point_features(spark, sf_dir):
     """Point features, taken apart again to compare their numbers."""
-    points = op.point_features(climate(spark, sf_dir).wide)
+    points = op.point_features(stored_result(spark, sf_dir))
     properties = ", ".join([f"{m}: DOUBLE" for m in MEASURES])
     schema = (
         f"type STRING, properties STRUCT<Tile_Id: STRING, {properties}>,"
@@ -409,7 +428,7 @@ def point_features(spark, sf_dir):
 @query
 def map_layer(spark, sf_dir):
     """Layers of one year and segment, matched to the polygons of the published collections."""
-    wide = climate(spark, sf_dir).wide
+    wide = stored_result(spark, sf_dir)
     published = op.feature_collections(op.feature_ids(op.tile_polygons(wide, SIZE)))
     collections = published.select(F.from_json("json", FEATURE_COLLECTION).alias("c")).select("c.*")
     layer = op.map_layer(wide, sources.explode_features(collections), 1999, "year")
@@ -418,7 +437,7 @@ def map_layer(spark, sf_dir):
 
 @query
 def color_scale(spark, sf_dir):
-    wide = climate(spark, sf_dir).wide
+    wide = stored_result(spark, sf_dir)
     layer = op.map_layer(wide, op.tile_polygons(wide, SIZE), 2000, "winter")
     colored = op.with_color(layer).select(
         "Lat", "Long", "layer", "value", "scale_position", "color_class"

@@ -1,7 +1,7 @@
 """The steps of the computation: DataFrames in, one lazy DataFrame out."""
 
 from .anomaly import anomalies
-from .baseline import baseline_tiles, baseline_year
+from .baseline import baseline_tiles, baseline_year, stored_baseline
 from .coverage import (
     active_days_per_year, active_tiles, active_tiles_per_year, initial_tiles, restrict_to_tiles,
     tiles_active_in,
@@ -27,8 +27,8 @@ __all__ = [
     "facts_on_tiles", "feature_collections", "feature_ids", "fits_broadcast", "full_join_list",
     "global_series", "initial_tiles", "local_trend", "lookup_join", "map_layer",
     "observation_facts", "point_features", "restrict_to_tiles", "segment_means", "series_long",
-    "spread_segment", "station_counts", "station_tiles", "tile_centres", "tile_polygons",
-    "tile_stations", "tiled_observations", "tiles_active_in", "unknown_station_audit",
-    "wide_from_segments", "wide_table", "with_centres", "with_color", "with_segments",
-    "with_station_count", "year_lookup",
+    "spread_segment", "station_counts", "station_tiles", "stored_baseline", "tile_centres",
+    "tile_polygons", "tile_stations", "tiled_observations", "tiles_active_in",
+    "unknown_station_audit", "wide_from_segments", "wide_table", "with_centres", "with_color",
+    "with_segments", "with_station_count", "year_lookup",
 ]

@@ -22,3 +22,10 @@ def baseline_year(daily: DataFrame, config: ClimateConfig) -> DataFrame:
 
 def baseline_tiles(baseline: DataFrame) -> DataFrame:
     return baseline.select("Tile_Id").distinct()
+
+
+def stored_baseline(stored: DataFrame) -> DataFrame:
+    """A baseline year that was saved in the form of daily values (``read_daily_values``)."""
+    return stored.select(
+        F.col("Date").alias("MonthDay"), "Element", "Tile_Id", F.col("Value").alias("Value_baseline")
+    )

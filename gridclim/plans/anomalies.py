@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import ClimateConfig
 from ..operators.anomaly import anomalies
-from ..operators.baseline import baseline_year
+from ..operators.baseline import baseline_tiles, baseline_year
 from ..operators.coverage import initial_tiles, restrict_to_tiles
 from ..operators.daily import daily_from_facts, facts_on_tiles, observation_facts
 from ..operators.lookups import BroadcastLimit
@@ -44,11 +44,17 @@ def daily_values(
     return daily_from_facts(facts_on_tiles(observation_facts(accepted), tiled_stations, limit))
 
 
-def climate_tables(daily: DataFrame, config: ClimateConfig) -> ClimateTables:
+def climate_tables(
+    daily: DataFrame, config: ClimateConfig, baseline: DataFrame | None = None
+) -> ClimateTables:
     """What follows from the daily tile values, which are small beside the raw data. Coverage
-    needs no raw data either: a day with any record has a daily value."""
-    tiles = initial_tiles(daily, config)
-    baseline = baseline_year(restrict_to_tiles(daily, tiles), config)
+    needs no raw data either: a day with any record has a daily value. An existing ``baseline``
+    takes the place of the one that would be computed, and its tiles those of the coverage."""
+    if baseline is None:
+        tiles = initial_tiles(daily, config)
+        baseline = baseline_year(restrict_to_tiles(daily, tiles), config)
+    else:
+        tiles = baseline_tiles(baseline)
     in_data = F.col("Year").between(config.year_start_data, config.year_end_data)
     # The join with the baseline keeps only its tiles, so they need no filter of their own.
     differences = anomalies(daily.where(in_data), baseline)
@@ -63,6 +69,7 @@ def build_yearly_anomalies(
     config: ClimateConfig = ClimateConfig(),
     stage_path: str | None = None,
     limit: BroadcastLimit = BroadcastLimit(),
+    baseline: DataFrame | None = None,
 ) -> ClimateTables:
     """Raw observations (``read_observations``) and stations (``read_stations``) to yearly
     anomalies per tile. Scans the raw data once, into a table of daily values stored by Year
@@ -76,4 +83,4 @@ def build_yearly_anomalies(
         label=repr(config) if stage_path else None,
         by_year=True,
     )
-    return climate_tables(daily, config)
+    return climate_tables(daily, config, baseline)

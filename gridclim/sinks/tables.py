@@ -25,6 +25,13 @@ def export_csv(df: DataFrame, path: str, append: bool = False, header: bool = Tr
     df.write.mode("append" if append else "overwrite").option("header", header).csv(path)
 
 
+def export_baseline(baseline: DataFrame, path: str) -> None:
+    """The baseline year as CSV in the form of daily values, for a later run."""
+    export_csv(
+        baseline.select("MonthDay", "Element", "Tile_Id", "Value_baseline"), path, header=False
+    )
+
+
 def write_feature_collections(collections: DataFrame, path: str) -> None:
     """One folder per year with one line: the year's FeatureCollection (columns Year, json)."""
     (

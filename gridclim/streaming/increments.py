@@ -61,8 +61,9 @@ class YearlyIncrements:
         stored = self.spark.read.schema(
             "Station STRING, Date STRING, Element STRING, Value INT, Year INT, batch BIGINT"
         ).parquet(self.store)
-        years = stored.where(F.col("batch") == batch_id).select("Year").distinct()
-        touched = stored.join(years, "Year", "left_semi").withColumn(
+        # At most the years of the configuration; as constants they select folders of the store.
+        years = stored.where(F.col("batch") == batch_id).select("Year").distinct().collect()
+        touched = stored.where(F.col("Year").isin([r["Year"] for r in years])).withColumn(
             "QFlag", F.lit(None).cast("string")
         )
         daily = daily_tile_values(tiled_observations(touched, self.tiled_stations))
