@@ -192,6 +192,7 @@ def text_cases(pairs: dict[str, str]) -> str:
 
 
 def titles() -> tuple[str, str]:
+    # Texts of the plots.
     spans = {
         "year": "Jahr",
         "summer": "Sommerliches Halbjahr (4. Mai - 3. Nov.)",
@@ -215,6 +216,7 @@ def titles() -> tuple[str, str]:
 
 
 def color_sql() -> str:
+    # The palettes, from low to high values.
     red_blue = (
         "['#053061', '#2166ac', '#4393c3', '#92c5de', '#d1e5f0', '#f7f7f7', '#fddbc7',"
         " '#f4a582', '#d6604d', '#b2182b', '#67001f']"

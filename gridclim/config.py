@@ -56,6 +56,14 @@ class ClimateConfig:
     def year_end_baseline(self) -> int:
         return self.year_start_baseline + self.year_span_baseline - 1
 
+    @property
+    def years_read(self) -> tuple[int, int]:
+        """First and last year that the baseline or the result needs."""
+        return (
+            min(self.year_start_data, self.year_start_baseline),
+            max(self.year_end_data, self.year_end_baseline),
+        )
+
     @property
     def coverage_days(self) -> int:
         return self.days_divisor or self.year_span_baseline

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import MEASURES
+from ..config import MEASURES, STORM
 
 # Texts of the plots.
 SEGMENT_TEXT = {
@@ -22,6 +22,10 @@ STORM_DETAIL = "(Anz. Unwetter / Anz. Stationen)"
 CO2 = "Total_in_mega_tons"
 CO2_TITLE = "Entwicklung des globalen, geschätzten CO2-Ausstoßes (Mt)"
 CO2_UNIT = "CO2-Ausstoß (Mt)"
+TITLE = (
+    "Entwicklung der globalen {measure}{detail} pro {segment}\n"
+    "im Vergleich zur Baseline (Durchschnittswerte der Jahre {first}-{last})"
+)
 
 SERIES = MEASURES + (CO2,)
 
@@ -30,7 +34,7 @@ def global_series(wide: DataFrame, co2: DataFrame | None = None) -> DataFrame:
     """Mean over all tiles per year, in display units, with emissions where there are any."""
     means = wide.groupBy("Year").agg(
         *[
-            (F.avg(m) if m.startswith("WTXX") else F.avg(m) / F.lit(10)).alias(m)
+            (F.avg(m) if m.startswith(STORM) else F.avg(m) / F.lit(10)).alias(m)
             for m in MEASURES
         ]
     )
@@ -41,11 +45,12 @@ def plot_title(series: str, first_year: int, last_year: int) -> str:
     if series == CO2:
         return CO2_TITLE
     element, segment = series.split("_")
-    detail = f" {STORM_DETAIL}" if element == "WTXX" else ""
-    return (
-        f"Entwicklung der globalen {MEASURE_TEXT[element]}{detail} pro {SEGMENT_TEXT[segment]}\n"
-        "im Vergleich zur Baseline "
-        f"(Durchschnittswerte der Jahre {first_year}-{last_year})"
+    return TITLE.format(
+        measure=MEASURE_TEXT[element],
+        detail=f" {STORM_DETAIL}" if element == STORM else "",
+        segment=SEGMENT_TEXT[segment],
+        first=first_year,
+        last=last_year,
     )
 
 

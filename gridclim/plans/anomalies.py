@@ -38,9 +38,8 @@ def daily_values(
     limit: BroadcastLimit = BroadcastLimit(),
 ) -> DataFrame:
     """Daily tile values of all years that the baseline or the result needs, by one scan."""
-    first = min(config.year_start_data, config.year_start_baseline)
-    last = max(config.year_end_data, config.year_end_baseline)
-    accepted = accepted_observations(observations).where(F.col("Year").between(first, last))
+    needed = F.col("Year").between(*config.years_read)
+    accepted = accepted_observations(observations).where(needed)
     return daily_from_facts(facts_on_tiles(observation_facts(accepted), tiled_stations, limit))
 
 

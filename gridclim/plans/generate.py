@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from ..config import ClimateConfig
 from ..operators.baseline import stored_baseline
 from ..sinks.tables import export_baseline, write_by_year
-from ..sources.observations import read_observations
+from ..sources.observations import read_observations, yearly_files
 from ..sources.stations import read_stations
 from ..sources.tables import read_daily_values
 from .anomalies import ClimateTables, build_yearly_anomalies
@@ -15,7 +15,7 @@ from .anomalies import ClimateTables, build_yearly_anomalies
 
 def generate_result(
     spark: SparkSession,
-    observations_path: str | list[str],
+    observations_folder: str,
     stations_path: str,
     result_path: str,
     config: ClimateConfig = ClimateConfig(),
@@ -23,7 +23,7 @@ def generate_result(
     baseline_path: str | None = None,
     reuse_baseline: bool = False,
 ) -> ClimateTables:
-    """Yearly observation files and the station list to the wide table, stored by Year.
+    """Observation files ``<year>.csv`` and the station list to the wide table, stored by Year.
 
     The baseline is saved under ``baseline_path`` if one is given; with ``reuse_baseline`` it is
     read from there instead."""
@@ -31,7 +31,7 @@ def generate_result(
         raise ValueError("reuse_baseline needs baseline_path")
     tables = build_yearly_anomalies(
         spark,
-        read_observations(spark, observations_path),
+        read_observations(spark, yearly_files(observations_folder, *config.years_read)),
         read_stations(spark, stations_path),
         config,
         stage_path,

@@ -1,7 +1,9 @@
 """Readers. Every reader takes the session and a path and returns a lazy DataFrame."""
 
 from .emissions import co2_series, read_co2
-from .observations import OBSERVATION_SCHEMA, read_observations, with_year, year_mismatch_audit
+from .observations import (
+    OBSERVATION_SCHEMA, read_observations, with_year, year_mismatch_audit, yearly_files,
+)
 from .polygons import explode_features, read_feature_collections
 from .stations import parse_station_lines, read_stations
 from .tables import read_daily_values, read_result, read_result_csv, read_tiles
@@ -10,4 +12,5 @@ __all__ = [
     "OBSERVATION_SCHEMA", "co2_series", "explode_features", "parse_station_lines", "read_co2",
     "read_daily_values", "read_feature_collections", "read_observations", "read_result",
     "read_result_csv", "read_stations", "read_tiles", "with_year", "year_mismatch_audit",
+    "yearly_files",
 ]

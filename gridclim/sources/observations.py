@@ -20,6 +20,11 @@ def with_year(observations: DataFrame) -> DataFrame:
     return observations.withColumn("Year", year_of(F.col("Date")))
 
 
+def yearly_files(folder: str, first_year: int, last_year: int) -> list[str]:
+    """The files of these years, so that no other year is opened."""
+    return [f"{folder.rstrip('/')}/{year}.csv" for year in range(first_year, last_year + 1)]
+
+
 def read_observations(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All yearly files at once. Values that are no numbers become NULL."""
     return with_year(spark.read.schema(OBSERVATION_SCHEMA).csv(path))
