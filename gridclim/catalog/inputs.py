@@ -22,8 +22,17 @@ CO2_HEADER = (
 )
 
 
+SCHEMAS = {
+    "part": "p_partkey BIGINT, p_name STRING, p_size INT",
+    "lineitem": (
+        "l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_returnflag STRING,"
+        " l_shipdate TIMESTAMP_NTZ"
+    ),
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stations(spark: SparkSession, sf_dir: str) -> DataFrame:

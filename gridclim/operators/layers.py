@@ -23,7 +23,8 @@ def year_lookup(wide: DataFrame, year: int, segment: str) -> DataFrame:
 
 def map_layer(wide: DataFrame, polygons: DataFrame, year: int, segment: str) -> DataFrame:
     """One row per tile and layer with value in display units, label and geometry. Temperatures
-    are matched to their polygon by (Year, Lat, Long); the other layers are drawn at the centre."""
+    are matched to their polygon by (Year, Lat, Long), and a tile without a polygon keeps its
+    values; the other layers are drawn at the centre."""
     tiles = year_lookup(wide, year, segment)
     squares = polygons.where(F.col("Year") == year).select(
         "Year", "Lat", "Long", F.to_json("geometry").alias("square")
@@ -31,7 +32,7 @@ def map_layer(wide: DataFrame, polygons: DataFrame, year: int, segment: str) ->
     long = tiles.unpivot(
         ["Year", "Lat", "Long"], [element for element, *_ in LAYERS.values()], "element", "raw"
     )
-    shown = long.join(squares, ["Year", "Lat", "Long"]).select(
+    shown = long.join(squares, ["Year", "Lat", "Long"], "left").select(
         "Year", "Lat", "Long",
         _by_element({spec[0]: F.lit(name) for name, spec in LAYERS.items()}).alias("layer"),
         _by_element(

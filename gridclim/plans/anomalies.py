@@ -51,7 +51,8 @@ def climate_tables(
     takes the place of the one that would be computed, and its tiles those of the coverage."""
     if baseline is None:
         tiles = initial_tiles(daily, config)
-        baseline = baseline_year(restrict_to_tiles(daily, tiles), config)
+        # Restricted after the mean over the years, when one row per calendar day is left.
+        baseline = restrict_to_tiles(baseline_year(daily, config), tiles)
     else:
         tiles = baseline_tiles(baseline)
     in_data = F.col("Year").between(config.year_start_data, config.year_end_data)
