@@ -59,7 +59,8 @@ def plot_unit(series: str) -> str:
 
 
 def series_long(series: DataFrame, first_year: int = 1917, last_year: int = 1946) -> DataFrame:
-    """One row per year and series, with the title and the axis text of its plot."""
+    """One row per year and series, with the title and the axis text of its plot. Emissions are
+    left out if ``series`` has none."""
     texts = F.create_map(
         *[
             F.lit(part) if isinstance(part, str) else F.struct(*map(F.lit, part))
@@ -67,7 +68,8 @@ def series_long(series: DataFrame, first_year: int = 1917, last_year: int = 1946
             for part in (name, (plot_title(name, first_year, last_year), plot_unit(name)))
         ]
     )
-    long = series.unpivot("Year", list(SERIES), "series", "value")
+    present = [name for name in SERIES if name in series.columns]
+    long = series.unpivot("Year", present, "series", "value")
     text = texts[F.col("series")]
     return long.select("Year", "series", "value", text["col1"].alias("title"),
                        text["col2"].alias("unit"))

@@ -147,6 +147,7 @@ def test_global_series(spark):
     ]
     long = series_long(series)
     assert long.count() == 2 * len(SERIES)
+    assert series_long(global_series(given)).count() == 2 * len(MEASURES)
     storm = long.where("series = 'WTXX_summer'").first()
     assert storm["title"] == (
         "Entwicklung der globalen Differenz der normierten Unwetteranzahl (Anz. Unwetter / Anz."

@@ -62,3 +62,11 @@ def test_a_repeated_batch_changes_nothing(spark, setup):
     increments.update(batch, 0)
     assert cells(read_result(spark, increments.result)) == first
     assert first == cells(tables.wide.where("Year <= 1918"))
+
+
+def test_a_batch_without_accepted_rows(spark, setup):
+    seen, _, increments = setup
+    increments.update(seen.where("Year = 1917").drop("Year"), 0)
+    before = cells(read_result(spark, increments.result))
+    increments.update(seen.where("Year < 1900").drop("Year"), 1)
+    assert cells(read_result(spark, increments.result)) == before
