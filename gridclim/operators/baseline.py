@@ -26,6 +26,4 @@ def baseline_tiles(baseline: DataFrame) -> DataFrame:
 
 def stored_baseline(stored: DataFrame) -> DataFrame:
     """A baseline year that was saved in the form of daily values (``read_daily_values``)."""
-    return stored.select(
-        F.col("Date").alias("MonthDay"), "Element", "Tile_Id", F.col("Value").alias("Value_baseline")
-    )
+    return stored.withColumnsRenamed({"Date": "MonthDay", "Value": "Value_baseline"})

@@ -70,7 +70,8 @@ def test_missing_elements_are_null(spark):
 def random_differences(spark, n=3000):
     random.seed(11)
     made = [
-        (random.randrange(1917, 1920), f"{random.randrange(1, 13):02d}{random.randrange(1, 29):02d}",
+        (random.randrange(1917, 1920),
+         f"{random.randrange(1, 13):02d}{random.randrange(1, 29):02d}",
          random.choice(["PRCP", "TMAX", "WTXX"]), random.choice(["9-18", "8-18", "0-0"]),
          random.choice([None, random.uniform(-9, 9)]))
         for _ in range(n)

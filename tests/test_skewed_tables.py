@@ -42,7 +42,6 @@ def skewed(tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "tiled_observations", "unknown_station_audit", "active_days_per_year", "initial_tiles",
     "station_count", "daily_tile_values", "daily_anomaly", "yearly_anomalies", "global_series",
-    "tile_trend", "streamed_increments",
 ])
 def test_skewed(spark, skewed, name):
     result = QUERIES[name](spark, skewed).toPandas()
