@@ -103,6 +103,20 @@ def test_salted_join_keeps_every_row(spark, tiled_list):
     )
 
 
+def test_salted_join_spreads_a_hot_station(spark, tiled_list):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tiled = tiled_observations(hot_observations(spark), tiled_list, broadcast=False)
+        sizes = [
+            r["count"]
+            for r in tiled.where("Station = 'A'").groupBy(F.spark_partition_id()).count().collect()
+        ]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert len(sizes) >= 6
+    assert max(sizes) < sum(sizes) / 2
+
+
 def test_hot_rows_shrink_before_the_shuffle(spark, tiled_list):
     """The rows of a tile are summed in the task that reads them."""
     facts = facts_on_tiles(
