@@ -7,12 +7,13 @@ import pytest
 import __spark_entry__ as entry
 from check import database, difference
 
+from gridclim import catalog
 from gridclim.config import MEASURES
 
 from helpers import plan
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalog.QUERIES, catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")
