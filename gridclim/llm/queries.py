@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .bpe import encode_and_decode
+from .licenses import scan_licenses
+from .lines import dedup_lines
 from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_documents
@@ -24,6 +27,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id",
+        F.col("line_n_lines").alias("n_lines"),
+        F.col("line_n_dropped").alias("n_dropped"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -41,6 +57,8 @@ QUERIES = {
     for run in (
         op3_byte_bpe,
         op4_sharding,
+        op5_licenses,
+        op6_line_dedup,
         op8_quality_rules,
         op9_toxicity,
         op10_packing,
