@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_and_decode
 from .licenses import scan_licenses
 from .lines import dedup_lines
+from .ngram_join import ngram_components
 from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_documents
@@ -19,6 +20,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_components(documents(spark, sf_dir))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     run.__name__: run
     for run in (
+        op1_ngram_jaccard,
         op3_byte_bpe,
         op4_sharding,
         op5_licenses,
