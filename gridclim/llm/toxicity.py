@@ -26,14 +26,16 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 TOXIC_FROM = 0.7
 EDGES = b".,;:!?\"'()[]{}<>*#"
 #: Distinct words that a task remembers with their logits; then it starts anew.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 200_000
+#: Bytes of text whose words are held at a time; one text is never cut.
+RUN_BYTES = 2_000_000
 
 
 @dataclass(frozen=True)
 class Training:
     """``rows_per_class`` bounds the sample: so many labelled rows of each class, those with the
-    smallest hash of doc_id, of at most ``text_bytes`` bytes each (longer texts are not cut but
-    left to others). All else follows from the sample."""
+    smallest hash of doc_id, but for texts of more than ``text_bytes`` bytes (which are left out,
+    not cut). All else follows from the sample."""
 
     rows_per_class: int = 2000
     text_bytes: int = 20_000
@@ -152,6 +154,17 @@ class Scorer:
         self.known: dict[bytes, float] = {}
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
+        """The texts' scores, a run of some texts at a time."""
+        parts, run, size = [np.zeros(0)], [], 0
+        for text in texts:
+            run.append(text)
+            size += len(text)
+            if size >= RUN_BYTES:
+                parts.append(self._scores(run))
+                run, size = [], 0
+        return np.concatenate([*parts, self._scores(run)])
+
+    def _scores(self, texts: list[bytes]) -> np.ndarray:
         if len(self.known) > REMEMBERED_WORDS:
             self.known = {}
         words = [words_of(text) for text in texts]
@@ -166,7 +179,7 @@ class Scorer:
         most = [
             window_means(x, self.training.window).max() if len(x) else 0.0 for x in logits
         ]
-        return sigmoid(np.array(most) + self.bias)
+        return sigmoid(np.array(most, float) + self.bias)
 
 
 def held_out(doc_id: F.Column) -> F.Column:
@@ -176,26 +189,25 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, t: Training) -> pd.DataFrame:
-    """(text, toxic) of at most ``rows_per_class`` rows of each class; ids choose, nothing else."""
+    """(text, toxic) of at most ``rows_per_class`` rows of each class. Ids choose, nothing else;
+    they are few, so the texts are met where they are read."""
+    doc_id = F.col("doc_id")
     marked = (
-        labels.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
-        )
-        .where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
-        .where(~held_out(F.col("doc_id")))
+        labels.select(doc_id.cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        .where(doc_id.isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(doc_id))
         .dropDuplicates(["doc_id"])
+        .withColumn("place", F.xxhash64("doc_id"))
     )
-    short = text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).where(
-        F.length("text") <= t.text_bytes
-    )
-    joined = short.join(marked, "doc_id").withColumn("place", F.xxhash64("doc_id"))
-    parts = [
-        joined.where(F.col("toxic") == label)
-        .orderBy("place", "doc_id", "text")
-        .limit(t.rows_per_class)
+    ids = [
+        marked.where(F.col("toxic") == label).orderBy("place", "doc_id").limit(t.rows_per_class)
         for label in (0, 1)
     ]
-    return parts[0].unionByName(parts[1]).select("text", "toxic").toPandas()
+    chosen = F.broadcast(ids[0].unionByName(ids[1]))
+    rows = text_bytes(docs, doc_id.cast("long").alias("doc_id"))
+    short = rows.where(F.length("text") <= t.text_bytes).join(chosen, "doc_id")
+    # A doc_id that comes again cannot widen the sample.
+    least = short.orderBy("place", "doc_id", "text").limit(2 * t.rows_per_class)
+    return least.select("text", "toxic").toPandas()
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, t: Training = Training()) -> DataFrame:
