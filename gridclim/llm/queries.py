@@ -12,6 +12,7 @@ from .ngram_join import ngram_components
 from .packing import pack_documents
 from .quality import quality_rules
 from .sharding import shard_documents
+from .suffix import dedup_passages
 from .tables import read_table
 from .toxicity import score_toxicity
 
@@ -45,6 +46,16 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_passages(documents(spark, sf_dir).select("doc_id", "text")).select(
+        "doc_id",
+        F.col("suffix_n_bytes").alias("n_bytes"),
+        F.col("suffix_n_removed").alias("n_removed"),
+        F.col("suffix_n_spans").alias("n_spans"),
+        F.sha2("suffix_kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
@@ -65,6 +76,7 @@ QUERIES = {
         op4_sharding,
         op5_licenses,
         op6_line_dedup,
+        op7_suffix_dedup,
         op8_quality_rules,
         op9_toxicity,
         op10_packing,
