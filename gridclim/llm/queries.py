@@ -15,6 +15,7 @@ from .sharding import shard_documents
 from .suffix import dedup_passages
 from .tables import read_table
 from .toxicity import score_toxicity
+from .vectors import embedding_components
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(documents(spark, sf_dir))
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(read_table(spark, sf_dir, "embeddings"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_and_decode(documents(spark, sf_dir))
 
@@ -72,6 +77,7 @@ QUERIES = {
     run.__name__: run
     for run in (
         op1_ngram_jaccard,
+        op2_embedding_dedup,
         op3_byte_bpe,
         op4_sharding,
         op5_licenses,
