@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import WordHasher, runs, shingle_sets
-from .tables import bytes_and_offsets, mix, stored, text_bytes
+from .tables import bytes_and_offsets, chosen, mix, stored, text_bytes
 
 #: Least similarity in percent. The quarter and the ninth below follow from it.
 PERCENT = 80
@@ -35,8 +35,6 @@ PERCENT = 80
 SMALLEST = 4
 #: Blocks per shingle that may differ; what exceeds 1 lets a set leave out its commonest blocks.
 SPARE = 1.33
-#: Ids up to which the texts to be compared are chosen by a broadcast.
-BROADCAST_IDS = 1_000_000
 NODES = "doc_id long, n_shingles long, node long, sketch binary"
 
 
@@ -263,9 +261,9 @@ def shingle_table(docs: DataFrame, node_table: DataFrame, needed: DataFrame) ->
         .groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     )
     first = stored(first.select("doc_id", F.col("node").alias("needed")), "ngram-needed")
-    if first.count() <= BROADCAST_IDS:
-        first = F.broadcast(first)
-    texts = text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).join(first, "doc_id")
+    texts = text_bytes(
+        chosen(docs, first, "left_semi"), F.col("doc_id").cast("long").alias("doc_id")
+    ).join(first, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, owner, value, sizes in sets_of(batches):
@@ -345,6 +343,13 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     return with_components(node_table, components(links))
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component. Rows without doc_id
+    stay."""
+    found = ngram_components(docs).where(F.col("doc_id") != F.col("component_id"))
+    return chosen(docs, stored(found.select("doc_id").distinct(), "ngram-dropped"), "left_anti")
+
+
 def with_components(node_table: DataFrame, labels: DataFrame) -> DataFrame:
     label: Column = F.coalesce("least", "node")
     linked = (

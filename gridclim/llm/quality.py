@@ -126,5 +126,21 @@ def quality_rules(docs: DataFrame, rules: CompressionBands = CompressionBands())
     return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, SCHEMA)
 
 
+def accepted_documents(
+    docs: DataFrame, rules: CompressionBands = CompressionBands()
+) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=rules.level).compress
+        for batch in batches:
+            texts = (t.as_py() or "" for t in batch.column(place))
+            kept = [judge(None, text.encode(), rules, squeeze)[-1] for text in texts]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 TYPES = [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
 NAMES = [field.split()[0] for field in SCHEMA.split(", ")]

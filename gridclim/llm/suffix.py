@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import bytes_and_offsets, mix, stored, text_bytes
+from .tables import bytes_and_offsets, chosen, mix, stored, text_bytes
 
 LENGTH = 50
 ANCHOR = 32
@@ -41,8 +41,6 @@ BUCKET_CONTEXTS = 20_000
 LEAST_BUCKETS = 64
 #: Anchors with more contexts than this are not gathered; their strings are counted one by one.
 GATHERED = 4096
-#: Ids up to which documents are chosen by a broadcast.
-BROADCAST_IDS = 1_000_000
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
 ALL, SOME, SOME_OF_MANY = 1, 2, 3
@@ -428,14 +426,6 @@ def removed(data: np.ndarray, marks: list[dict] | None) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Documents with (left_semi) or without (left_anti) their doc_id in a stored table of ids."""
-    known = ids.withColumnRenamed("doc_id", "__id")
-    if ids.count() <= BROADCAST_IDS:
-        known = F.broadcast(known)
-    return docs.join(known, F.col("doc_id").cast("long") == F.col("__id"), how)
-
-
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id) of the documents whose text a smaller document has, too."""
     digest = F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary")), 256)
@@ -478,8 +468,9 @@ def repeated_marks(docs: DataFrame, copied: DataFrame) -> DataFrame:
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` with the text that is left (bytes that are no UTF-8 any more are
-    replaced), and suffix_n_bytes, suffix_n_removed, suffix_n_spans and suffix_kept, its bytes.
+    """All columns of ``docs`` with the text that is left, and suffix_n_bytes, suffix_n_removed,
+    suffix_n_spans and suffix_kept, the bytes that are left. A removed string can end within a
+    character; what is left of such a character is in suffix_kept, but not in the text.
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller
     doc_id; matches never cross documents. A null or empty text stays an empty one. Rows without
@@ -525,7 +516,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
                     gone[:] = True
                 kept = data[~gone].tobytes()
                 spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                texts.append(kept.decode("utf-8", "replace"))
+                texts.append(kept.decode("utf-8", "ignore"))
                 counts.append((len(data), int(gone.sum()), spans, kept))
             columns = [
                 pa.array(texts, pa.string()) if name == "text" else batch.column(name)

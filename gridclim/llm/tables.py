@@ -24,6 +24,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Ids up to which documents are chosen by a broadcast; some 16 MB.
+BROADCAST_IDS = 1_000_000
+
+
+def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """Documents with (left_semi) or without (left_anti) their doc_id in a stored table of ids. The
+    ids are counted: few enough, they go to all tasks and no text moves; else both are shuffled."""
+    known = ids.select(F.col("doc_id").alias("__id"))
+    if ids.count() <= BROADCAST_IDS:
+        known = F.broadcast(known)
+    return docs.join(known, F.col("doc_id").cast("long") == F.col("__id"), how)
+
+
 def text_bytes(docs: DataFrame, *columns: str) -> DataFrame:
     """``columns`` and the text as UTF-8 bytes; a null text is empty."""
     text = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
