@@ -12,8 +12,9 @@ smaller one. Two sketches serve:
 * A dense one of about two bits a shingle for the Hamming bound, checked before the sets are.
 
 Sets that meet are compared with the smallest of their block first; linked ones become one
-component, and only pairs of different components are compared after that. Every link between
-components is found; links within a component that is known already add nothing to it."""
+component. After that only sets of different components are compared, first each with its nearest
+by the sketches, then all that are left. Every link between components is found; links within a
+component that is known already add nothing to it."""
 
 from __future__ import annotations
 
@@ -35,6 +36,9 @@ PERCENT = 80
 SMALLEST = 4
 #: Blocks per shingle that may differ; what exceeds 1 lets a set leave out its commonest blocks.
 SPARE = 1.33
+#: Members of a block that are compared in one task, and members of all blocks that a task gets.
+BLOCK_ROWS = 2000
+TASK_ROWS = 20_000
 NODES = "doc_id long, n_shingles long, node long, sketch binary"
 
 
@@ -217,8 +221,8 @@ def meetings(docs: DataFrame) -> DataFrame:
     return stored(offered.select("token", "node"), "ngram-meetings")
 
 
-def similar(pairs: DataFrame, node_table: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are linked."""
+def near(pairs: DataFrame, node_table: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow a link."""
     sides = [
         node_table.select(
             F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}"),
@@ -226,14 +230,17 @@ def similar(pairs: DataFrame, node_table: DataFrame, sets: DataFrame) -> DataFra
         )
         for side in "ab"
     ]
-    near = pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_near, "a long, b long")
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_near, "a long, b long")
+
+
+def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
-    return near.join(left, "a").join(right, "b").mapInArrow(_linked, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(_linked, "a long, b long")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps pairs whose sizes and Hamming distance allow a link."""
     for batch in batches:
         n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
         keep = 5 * np.minimum(n_a, n_b) >= 4 * np.maximum(n_a, n_b)
@@ -282,36 +289,95 @@ def shingle_table(docs: DataFrame, node_table: DataFrame, needed: DataFrame) ->
     return stored(made.dropDuplicates(["node"]), "ngram-sets")
 
 
-def pairs_of_components(meeting: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b) of different components that share a block, but for pairs with the block's least
-    node, which were compared. In each block the largest component does not meet itself, so what
-    comes out is the small rest against all."""
-    labelled = meeting.join(labels, "node", "left").select(
-        "token", "node", F.coalesce("least", "node").alias("label")
-    )
+def mixed_blocks(meeting: DataFrame, labels: DataFrame, node_table: DataFrame) -> DataFrame:
+    """Members of the blocks in which components meet, dealt to tasks: (task, token, i, j, side).
+    A block of many members is split; each two of its splits are compared in a task of their own."""
     by_token = Window.partitionBy("token")
-    by_label = Window.partitionBy("token", "label")
-    mixed = (
-        labelled.withColumns({
-            "size": F.count("*").over(by_label),
-            "first": F.min("node").over(by_token),
+    labelled = (
+        meeting.join(labels, "node", "left")
+        .select("token", "node", F.coalesce("least", "node").alias("label"))
+        .withColumns({
             "low": F.min("label").over(by_token),
             "high": F.max("label").over(by_token),
+            "members": F.count("*").over(by_token),
         })
-        .where((F.col("low") < F.col("high")) & (F.col("node") != F.col("first")))
-        .withColumn("largest", F.max(F.struct("size", "label")).over(by_token)["label"])
-    )
-    mixed = stored(mixed.select("token", "node", "label", "largest"), "ngram-mixed")
-    rest = mixed.where(F.col("label") != F.col("largest")).select(
-        "token", F.col("node").alias("x"), F.col("label").alias("label_x")
+        .where(F.col("low") < F.col("high"))
+        .select("token", "node", "label", "members")
     )
-    others = mixed.select("token", F.col("node").alias("y"), F.col("label").alias("label_y"))
-    return (
-        rest.join(others, "token")
-        .where(F.col("label_x") != F.col("label_y"))
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
+    mixed = stored(labelled, "ngram-mixed")
+    tasks = 1 + mixed.count() // TASK_ROWS
+    splits = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
+    own = F.pmod(F.xxhash64("node"), F.col("splits")).cast("int")
+    # With itself and every other split, the smaller number first.
+    place = F.explode(F.transform(
+        F.sequence(F.lit(0), F.col("splits") - 1),
+        lambda other: F.struct(
+            F.least("own", other).alias("i"), F.greatest("own", other).alias("j")
+        ),
+    ))
+    spread = (
+        mixed.withColumn("splits", splits).withColumn("own", own).withColumn("place", place)
+        .select("token", "node", "label", "own", "place.*")
+        .withColumn("task", F.pmod(F.xxhash64("token", "i", "j"), F.lit(tasks)))
     )
+    return spread.join(node_table, "node")
+
+
+def near_pairs(blocks: DataFrame, best: bool) -> DataFrame:
+    """(a, b) of different components in a block whose sketches allow a link; with ``best`` only
+    the nearest such partner of each member. Pairs are compared within the task and not passed on
+    before."""
+
+    def run(table: pa.Table) -> pa.Table:
+        columns = {n: table.column(n).to_numpy() for n in ("token", "i", "j", "own", "node", "label")}
+        sizes, sketches = table.column("n_shingles").to_numpy(), table.column("sketch").to_pylist()
+        order = np.lexsort([columns["j"], columns["i"], columns["token"]])
+        key = np.stack([columns[n][order] for n in ("token", "i", "j")])
+        edges = np.flatnonzero((np.diff(key, prepend=key[:, :1] - 1) != 0).any(axis=0))
+        found = [np.zeros((0, 2), np.int64)]
+        for rows in np.split(order, edges[1:]):
+            i, j = columns["i"][rows[0]], columns["j"][rows[0]]
+            left, right = rows[columns["own"][rows] == i], rows[columns["own"][rows] == j]
+            x, y = compared(left, right, sizes, sketches, columns["label"], best)
+            found.append(np.stack([columns["node"][x], columns["node"][y]], axis=1))
+        pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return blocks.groupBy("task").applyInArrow(run, "a long, b long").distinct()
+
+
+def compared(left, right, sizes, sketches, label, best: bool) -> tuple[list[int], list[int]]:
+    """Pairs of rows of ``left`` and ``right`` that differ in label and may be linked. Both are
+    ordered by their distance from one sketch; as distances obey the triangle inequality, only rows
+    about as far from it are compared."""
+    width = min(len(sketches[n]) for n in (*left, *right)) if len(left) and len(right) else 0
+    if not width:
+        return [], []
+
+    def folded(rows):
+        bits = [fold(np.frombuffer(sketches[n], np.uint8), width) for n in rows]
+        return np.stack(bits).view(np.uint64)
+
+    a, b = folded(left), folded(right)
+    from_first = np.bitwise_count(b ^ b[0]).sum(axis=1).astype(np.int64)
+    order = np.argsort(from_first, kind="stable")
+    b, right, from_first = b[order], right[order], from_first[order]
+    x, y = [], []
+    for row, bits in zip(left, a):
+        # The bound below is at most a quarter of the smaller set.
+        reach = sizes[row] // 4
+        distance = int(np.bitwise_count(bits ^ b[0]).sum())
+        low = int(np.searchsorted(from_first, distance - reach, side="left"))
+        high = int(np.searchsorted(from_first, distance + reach, side="right"))
+        apart = np.bitwise_count(b[low:high] ^ bits).sum(axis=1).astype(np.int64)
+        other = right[low:high]
+        allowed = (9 * apart <= sizes[row] + sizes[other]) & (label[other] != label[row])
+        hits = np.flatnonzero(allowed)
+        if best and len(hits):
+            hits = hits[[np.argmin(apart[hits])]]
+        x.extend([row] * len(hits))
+        y.extend(other[hits].tolist())
+    return x, y
 
 
 def ngram_components(docs: DataFrame) -> DataFrame:
@@ -337,9 +403,11 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         meeting.join(first, "token").where(F.col("a") != F.col("node"))
         .select("a", F.col("node").alias("b")).distinct()
     )
-    links = stored(similar(stars, one_each, sets), "ngram-links")
-    more = similar(pairs_of_components(meeting, components(links)), one_each, sets)
-    links = stored(links.unionByName(more), "ngram-all-links")
+    links = stored(linked(near(stars, one_each), sets), "ngram-links")
+    for best in (True, False):
+        blocks = mixed_blocks(meeting, components(links), one_each)
+        more = linked(near_pairs(blocks, best), sets)
+        links = stored(links.unionByName(more), "ngram-links")
     return with_components(node_table, components(links))
 
 
