@@ -55,8 +55,8 @@ def long_key(line: bytes, least_chars: int) -> bytes | None:
 
 
 class CuckooFilter:
-    """Two candidate buckets of four 16-bit fingerprints for each key. Grows when a key finds no
-    place, by starting anew with twice the buckets from the keys that the caller supplies."""
+    """Two candidate buckets of four 16-bit fingerprints for each key. Each key is added once, so
+    that a fingerprint can be taken out again."""
 
     def __init__(self, table: np.ndarray):
         self.table = table  # buckets x SLOTS; 0 is free
@@ -150,7 +150,7 @@ class LineState:
 
 
 def line_references(docs: DataFrame, rules: LineRules) -> DataFrame:
-    """Distinct (key, doc_id) of long lines. Rows without doc_id have no references."""
+    """(key, doc_id) of long lines, once for each row. Rows without doc_id have no references."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,11 +170,10 @@ def line_references(docs: DataFrame, rules: LineRules) -> DataFrame:
 
 
 def reference_counts(references: DataFrame, rules: LineRules) -> DataFrame:
-    """Exact counts of the keys at the threshold. Summed before they move, so a line that all
-    documents share is a few rows."""
+    """Exact counts of the keys at the threshold, of distinct references. Summed before they move,
+    so a line that all documents share is a few rows."""
     return (
-        references.distinct()
-        .groupBy("key")
+        references.groupBy("key")
         .agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("keep_doc"))
         .where(F.col("n_docs") >= rules.least_docs)
     )
@@ -202,7 +201,7 @@ def with_shard(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def build_state(docs: DataFrame, rules: LineRules = LineRules()) -> LineState:
-    return _state(stored(line_references(docs, rules), "line-references"), rules)
+    return _state(stored(line_references(docs, rules).distinct(), "line-references"), rules)
 
 
 def _state(references: DataFrame, rules: LineRules) -> LineState:
@@ -241,17 +240,18 @@ def _changed(state: LineState, references: DataFrame, changed: DataFrame) -> Lin
     def update(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         shard = int((left if len(left) else right)["shard"].iloc[0])
         made = CuckooFilter.from_bytes(left["slots"].iloc[0]) if len(left) else CuckooFilter.of([])
-        for key, step in zip(right["key"], right["step"]):
-            if step < 0:
-                made.remove(bytes(key))
-            elif not made.add(bytes(key)):
-                raise OverflowError("a filter is full; build the state anew")
-        return pd.DataFrame({"shard": [shard], "slots": [made.to_bytes()]})
+        fits = all(
+            made.remove(bytes(key)) if step < 0 else made.add(bytes(key))
+            for step, key in sorted(zip(right["step"], map(bytes, right["key"])))
+        )
+        return pd.DataFrame({"shard": [shard], "slots": [made.to_bytes() if fits else None]})
 
     filters = state.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInPandas(
         update, "shard long, slots binary"
     )
     filters = stored(filters, "line-filters")
+    if filters.where(F.col("slots").isNull()).count():  # one is full: larger ones from the counts
+        filters = stored(cuckoo_filters(counts, state.shards), "line-filters")
     return LineState(references, counts, filters, state.shards, state.rules)
 
 

@@ -482,7 +482,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     names = docs.columns
     copied = stored(copies(docs).select("doc_id").distinct(), "suffix-copies")
     marks = repeated_marks(docs, copied)
-    known = marks.withColumnRenamed("doc_id", "__id")
+    known = marks.withColumnsRenamed({"doc_id": "__id", "marks": "__marks"})
     with_marks = chosen(docs, marks.select("doc_id"), "left_semi").join(
         known, F.col("doc_id").cast("long") == F.col("__id")
     ).drop("__id").withColumn("__copy", F.lit(False))
@@ -492,9 +492,9 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         chosen(docs.where(F.col("doc_id").isNotNull()), hit, "left_anti")
     )
     rows = with_marks.unionByName(
-        untouched.withColumns({"marks": no_marks, "__copy": F.lit(False)})
+        untouched.withColumns({"__marks": no_marks, "__copy": F.lit(False)})
     ).unionByName(
-        chosen(docs, copied, "left_semi").withColumns({"marks": no_marks, "__copy": F.lit(True)})
+        chosen(docs, copied, "left_semi").withColumns({"__marks": no_marks, "__copy": F.lit(True)})
     )
     schema = docs.select(*[
         F.lit("").alias("text") if name == "text" else F.col(f"`{name}`") for name in names
@@ -506,7 +506,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts, counts = [], []
             own = zip(
-                batch.column("text").to_pylist(), batch.column("marks").to_pylist(),
+                batch.column("text").to_pylist(), batch.column("__marks").to_pylist(),
                 batch.column("__copy").to_pylist(),
             )
             for text, marked, copy in own:
@@ -527,4 +527,4 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
             columns += [pa.array(c, t) for c, t in zip(counts, types)]
             yield pa.RecordBatch.from_arrays(columns, [*names, *new])
 
-    return rows.select(*[F.col(f"`{n}`") for n in names], "marks", "__copy").mapInArrow(run, schema)
+    return rows.select(*[F.col(f"`{n}`") for n in names], "__marks", "__copy").mapInArrow(run, schema)

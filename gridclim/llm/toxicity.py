@@ -39,13 +39,13 @@ class Training:
 
     rows_per_class: int = 2000
     text_bytes: int = 20_000
-    lengths: tuple[int, ...] = (3, 4, 5)
+    lengths: tuple[int, ...] = (2, 3, 4)
     buckets: int = 1 << 16
     dimensions: int = 8
-    window: int = 4
+    window: int = 3
     epochs: int = 50
     rate: float = 0.4
-    dropped: float = 0.3
+    dropped: float = 0.5
     decay: float = 1e-4
     seed: int = 7
 
