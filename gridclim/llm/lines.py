@@ -222,7 +222,8 @@ def remove_documents(state: LineState, ids: DataFrame) -> LineState:
     """The state without the documents in ``ids`` (doc_id), as if they had never come."""
     ids = ids.select(F.col("doc_id").cast("long").alias("doc_id"))
     gone = state.references.join(ids, "doc_id", "left_semi")
-    references = stored(state.references.join(ids, "doc_id", "left_anti"), "line-references")
+    left = state.references.join(ids, "doc_id", "left_anti").select("key", "doc_id")
+    references = stored(left, "line-references")
     return _changed(state, references, gone)
 
 
