@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .inputs import STRICT_CONFIG
+
 ELEMENTS = (
     "'PRCP', 'TMAX', 'WT02', 'WT03', 'WT04', 'WT05', 'WT07',"
     " 'WT10', 'WT11', 'WT16', 'WT17', 'WT18'"
@@ -103,7 +105,7 @@ def steps(days_divisor: int) -> list[tuple[str, str]]:
         ("co2", """
             SELECT CAST(year(l_shipdate) AS INTEGER) AS Year,
                    sum(CAST(l_quantity AS INTEGER)) * 3.667e0 AS Total_in_mega_tons
-            FROM lineitem WHERE year(l_shipdate) <= 2000 GROUP BY 1"""),
+            FROM lineitem GROUP BY 1"""),
         ("global_means", "SELECT Year, " + ", ".join(
             f"avg({m}){'' if m.startswith('WTXX') else ' / 10.0e0'} AS {m}" for m in MEASURES
         ) + " FROM wide GROUP BY Year"),
@@ -249,11 +251,12 @@ def map_sql() -> str:
         FROM layer""").replace("\n, layer AS", ",\nlayer AS", 1)
 
 
-def oracle_sql() -> dict[str, str]:
+def oracle_sql(strict_days: int = STRICT_CONFIG.coverage_days) -> dict[str, str]:
+    """SQL for each query. ``strict_days`` is the day count of the queries with strict coverage."""
     measures = rounded(MEASURES)
     wide = f"SELECT Year, Tile_Id, Lat, Long, {measures} FROM wide"
     daily = f"SELECT Year, Date, Element, Tile_Id, {r('Value')} AS Value FROM "
-    strict = {"days_divisor": 131}
+    strict = {"days_divisor": strict_days}
     title, unit = titles()
     tile_list = "SELECT Id, Tile_Id, Lat, Long FROM tiled_stations"
     co2 = f"SELECT Year, {r('Total_in_mega_tons', 3)} AS Total_in_mega_tons FROM co2"
@@ -350,8 +353,10 @@ def oracle_sql() -> dict[str, str]:
     }
     for name in (
         "yearly_anomalies", "wide_full_join", "restarted_anomalies", "streamed_increments",
+        "generated_result", "generated_with_saved_baseline",
     ):
         queries[name] = sql(wide)
+    queries["rerun_replaces_result"] = sql(f"{wide} WHERE Year <= 1999")
     queries["saved_baseline"] = queries["daily_anomaly"]
     queries["yearly_anomalies_strict"] = sql(wide, **strict)
     # The last year keeps the values that were written first.

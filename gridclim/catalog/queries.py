@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,11 +11,11 @@ from .. import operators as op
 from .. import sinks, sources
 from ..config import MEASURES
 from ..functions.calendar import year_of
-from ..functions.geojson import FEATURE_COLLECTION
 from ..plans import (
-    ClimateTables, build_yearly_anomalies, climate_tables, keep_stage, publish_polygons,
+    ClimateTables, build_yearly_anomalies, climate_tables, generate_result, keep_stage,
+    publish_polygons,
 )
-from ..session import scratch_path
+from ..session import files_label, rename_path, scratch_path
 from ..streaming import YearlyIncrements
 from . import inputs
 from .inputs import CONFIG, STRICT_CONFIG
@@ -49,9 +51,12 @@ def tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def climate(spark: SparkSession, sf_dir: str, config=CONFIG, stage_path=None) -> ClimateTables:
+    label = None
+    if stage_path:
+        label = files_label(spark, f"{sf_dir}/lineitem.parquet", f"{sf_dir}/part.parquet")
     return build_yearly_anomalies(
         spark, inputs.observations(spark, sf_dir), inputs.stations(spark, sf_dir), config,
-        stage_path,
+        stage_path, inputs=label,
     )
 
 
@@ -176,7 +181,7 @@ def saved_tiles(spark, sf_dir):
 @query
 def restrict_to_tiles(spark, sf_dir):
     tiles = climate(spark, sf_dir, STRICT_CONFIG).tiles
-    return op.restrict_to_tiles(tiled(spark, sf_dir), tiles, op.fits_broadcast(tiles))
+    return op.restrict_to_tiles(tiled(spark, sf_dir), tiles)
 
 
 # Daily values, baseline and anomalies
@@ -206,13 +211,13 @@ def daily_tile_values(spark, sf_dir):
 
 @query
 def daily_values_reread(spark, sf_dir):
-    """Daily values written as CSV year by year, read back with their schema, and averaged."""
+    """Daily values written as CSV, the last year appended, read back and averaged."""
     daily = climate(spark, sf_dir).daily
     path = scratch_path(spark, "daily")
-    first, last = CONFIG.year_start_baseline, CONFIG.year_end_baseline
-    for year in range(first, last + 1):
-        one_year = daily.where(F.col("Year") == year).select("Date", "Element", "Tile_Id", "Value")
-        sinks.export_csv(one_year, path, append=year > first, header=False)
+    last = F.col("Year") == CONFIG.year_end_baseline
+    for chosen in (~last, last):
+        part = daily.where(chosen).select("Date", "Element", "Tile_Id", "Value")
+        sinks.export_csv(part, path, append=chosen is last, header=False)
     stored = sources.with_year(sources.read_daily_values(spark, path))
     return rounded(op.baseline_year(stored, CONFIG), "Value_baseline")
 
@@ -286,7 +291,7 @@ def restarted_anomalies(spark, sf_dir):
 @query
 def yearly_increment(spark, sf_dir):
     """All years written with wrong values first, then replaced year by year except the last."""
-    wide = climate(spark, sf_dir).wide
+    wide = stored_result(spark, sf_dir)
     path = scratch_path(spark, "increment")
     sinks.write_by_year(wide.withColumns({m: F.col(m) + 1 for m in MEASURES}), path)
     for year in range(CONFIG.year_start_data, CONFIG.year_end_data):
@@ -294,6 +299,47 @@ def yearly_increment(spark, sf_dir):
     return rounded(sources.read_result(spark, path), *MEASURES)
 
 
+def yearly_input_files(spark, sf_dir) -> tuple[str, str]:
+    """The observations as ``<year>.csv`` and the station list, as files."""
+    folder, listed = _write_yearly_csv(spark, sf_dir, "by-year", F.col("Date")), (
+        scratch_path(spark, "stations")
+    )
+    for year in CONFIG.years_read():
+        rename_path(spark, f"{folder}/Year={year}", f"{folder}/{year}.csv")
+    inputs.station_lines(spark, sf_dir).write.text(listed)
+    return folder, listed
+
+
+@query
+def generated_result(spark, sf_dir):
+    """The whole batch run, from yearly files to the stored result."""
+    path = scratch_path(spark, "result")
+    generate_result(spark, *yearly_input_files(spark, sf_dir), path, CONFIG)
+    return rounded(sources.read_result(spark, path), *MEASURES)
+
+
+@query
+def generated_with_saved_baseline(spark, sf_dir):
+    """A second batch run that takes its baseline from the file that the first one saved."""
+    files, path = yearly_input_files(spark, sf_dir), scratch_path(spark, "result")
+    baseline = scratch_path(spark, "baseline")
+    generate_result(spark, *files, path, CONFIG, baseline_path=baseline)
+    generate_result(
+        spark, *files, path, CONFIG, baseline_path=baseline, reuse_baseline=True
+    )
+    return rounded(sources.read_result(spark, path), *MEASURES)
+
+
+@query
+def rerun_replaces_result(spark, sf_dir):
+    """A run over fewer years into the result of an earlier one leaves none of its years."""
+    files, path = yearly_input_files(spark, sf_dir), scratch_path(spark, "result")
+    generate_result(spark, *files, path, CONFIG)
+    shorter = dataclasses.replace(CONFIG, year_end_data=CONFIG.year_end_data - 2)
+    generate_result(spark, *files, path, shorter)
+    return rounded(sources.read_result(spark, path), *MEASURES)
+
+
 @query
 def streamed_increments(spark, sf_dir):
     """The wide table kept up to date while the yearly files arrive as a stream."""
@@ -427,12 +473,12 @@ def point_features(spark, sf_dir):
 
 @query
 def map_layer(spark, sf_dir):
-    """Layers of one year and segment, matched to the polygons of the published collections."""
+    """Layers of one year and segment, matched to that year's published polygons."""
     wide = stored_result(spark, sf_dir)
-    published = op.feature_collections(op.feature_ids(op.tile_polygons(wide, SIZE)))
-    collections = published.select(F.from_json("json", FEATURE_COLLECTION).alias("c")).select("c.*")
-    layer = op.map_layer(wide, sources.explode_features(collections), 1999, "year")
-    return rounded(layer, "value", digits=5)
+    path = scratch_path(spark, "geojson")
+    publish_polygons(wide, path, SIZE)
+    published = sources.explode_features(sources.read_feature_collections(spark, path, 1999))
+    return rounded(op.map_layer(wide, published, 1999, "year"), "value", digits=5)
 
 
 @query

@@ -30,7 +30,7 @@ CARBON_TO_CO2 = 3.667
 
 @dataclass(frozen=True)
 class ClimateConfig:
-    """What to compute. ``days_divisor`` is the number of days that daily coverage is measured
+    """What to compute. The defaults are fixed values. ``days_divisor`` is the number of days that daily coverage is measured
     against; left out, it is the length of the baseline in years."""
 
     year_start_data: int = 1917
@@ -56,13 +56,13 @@ class ClimateConfig:
     def year_end_baseline(self) -> int:
         return self.year_start_baseline + self.year_span_baseline - 1
 
-    @property
-    def years_read(self) -> tuple[int, int]:
-        """First and last year that the baseline or the result needs."""
-        return (
-            min(self.year_start_data, self.year_start_baseline),
-            max(self.year_end_data, self.year_end_baseline),
-        )
+    def years_read(self, with_baseline: bool = True) -> list[int]:
+        """The years that the result needs, and the baseline unless there is one already. Years
+        between the two are left out."""
+        years = set(range(self.year_start_data, self.year_end_data + 1))
+        if with_baseline:
+            years |= set(range(self.year_start_baseline, self.year_end_baseline + 1))
+        return sorted(years)
 
     @property
     def coverage_days(self) -> int:

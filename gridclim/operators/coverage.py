@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ClimateConfig
+from .lookups import BroadcastLimit, fits_broadcast, lookup_join
 
 
 def active_days_per_year(days: DataFrame) -> DataFrame:
@@ -69,8 +70,17 @@ def initial_tiles(days: DataFrame, config: ClimateConfig) -> DataFrame:
     )
 
 
-def restrict_to_tiles(df: DataFrame, tiles: DataFrame, broadcast: bool = False) -> DataFrame:
-    """Rows of the considered tiles. ``broadcast`` is for raw rows and a list of tiles that was
-    found to fit (``fits_broadcast``): it spares a shuffle by tile, and tiles differ in size."""
-    chosen = tiles.select("Tile_Id")
-    return df.join(F.broadcast(chosen) if broadcast else chosen, "Tile_Id", "left_semi")
+def restrict_to_tiles(
+    df: DataFrame, tiles: DataFrame, broadcast: bool | None = None,
+    limit: BroadcastLimit = BroadcastLimit(),
+) -> DataFrame:
+    """Rows of the considered tiles. ``broadcast`` None measures the list of tiles: one that fits
+    is broadcast, which spares a shuffle by tile, as tiles differ in size; a longer one is joined
+    with salted keys. A caller that knows the list to be small (or ``df`` to hold few rows a tile)
+    says so and spares the measuring."""
+    chosen = tiles.select("Tile_Id").distinct()
+    if broadcast is None:
+        broadcast = fits_broadcast(chosen, limit)
+    spread = [c for c in ("Date", "MonthDay", "Element", "Year") if c in df.columns]
+    joined = lookup_join(df, chosen, ["Tile_Id"], spread, broadcast, salts=32 if spread else 1)
+    return joined.select(*df.columns)

@@ -24,16 +24,13 @@ def observation_facts(accepted: DataFrame) -> DataFrame:
     )
 
 
-def facts_on_tiles(
-    facts: DataFrame, tiled_stations: DataFrame, limit: BroadcastLimit = BroadcastLimit()
-) -> DataFrame:
+def facts_on_tiles(facts: DataFrame, tiled_stations: DataFrame, broadcast: bool) -> DataFrame:
     """Facts with the tile of their station; unknown stations drop out.
 
-    A station list that can be broadcast meets the rows where they are read. A longer list needs
-    a shuffle by station; there the rows are first summed per station, day and element, so that
-    a station with very many records is small before it moves."""
+    A station list that can be broadcast (``fits_broadcast``) meets the rows where they are read.
+    A longer list needs a shuffle by station; there the rows are first summed per station, day and
+    element, so that a station with very many records is small before it moves."""
     stations = tiled_stations.select(F.col("Id").alias("Station"), "Tile_Id")
-    broadcast = fits_broadcast(stations, limit)
     if not broadcast:
         facts = facts.groupBy("Station", "Year", "Date", "Element").agg(*_sums())
     return lookup_join(facts, stations, ["Station"], ["Date"], broadcast, salts=1)
@@ -46,15 +43,31 @@ def daily_from_facts(facts: DataFrame) -> DataFrame:
     year and tile; they combine before the shuffle, whatever the size of a tile. The stations
     are then counted (again before a shuffle), and the count joins the days of its tile and year
     in a window that holds little more than three rows per day of the year."""
-    days = ["Year", "Tile_Id", "Date", "Element"]
-    sets = [days, ["Year", "Tile_Id", "Station"]]
-    grouped = (
+    return _daily(summed_facts(facts))
+
+
+DAYS = ["Year", "Tile_Id", "Date", "Element"]
+
+
+def summed_facts(facts: DataFrame) -> DataFrame:
+    """Facts summed per day, tile and element, and the distinct stations per year and tile. Rows of
+    the second kind have a station and no element, the first ones the other way round. Tables of
+    this form can be put together and summed again."""
+    sets = [DAYS, ["Year", "Tile_Id", "Station"]]
+    return (
         facts.where(F.col("Tile_Id").isNotNull() & F.col("Year").isNotNull())
-        .groupingSets([[F.col(c) for c in s] for s in sets], *days, "Station")
+        .groupingSets([[F.col(c) for c in s] for s in sets], *DAYS, "Station")
         .agg(*_sums())
     )
-    # Rows of the second set have a station and no element; the first set the other way round.
-    counted = grouped.groupBy(*days).agg(*_sums(), F.count("Station").alias("stations"))
+
+
+def daily_from_sums(sums: DataFrame) -> DataFrame:
+    """Daily tile values from tables of ``summed_facts`` that were put together."""
+    return _daily(sums.groupBy(*DAYS, "Station").agg(*_sums()))
+
+
+def _daily(sums: DataFrame) -> DataFrame:
+    counted = sums.groupBy(*DAYS).agg(*_sums(), F.count("Station").alias("stations"))
     in_tile_year = Window.partitionBy("Year", "Tile_Id")
     storm_rate = F.col("n") / F.col("Station_count")
     value = F.when(F.col("Element") == STORM, storm_rate).otherwise(_mean())

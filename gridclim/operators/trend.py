@@ -8,40 +8,47 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPAN = 0.75
+# Fits of a group that are made in one row.
+FITS = 16
 
 
 def local_trend(
     df: DataFrame, groups: Sequence[str], x: str, y: str, span: float = SPAN
 ) -> DataFrame:
-    """Per group and year ``x``: the mean of ``y`` and its locally fitted ``trend``.
+    """Per group and ``x``, of any numeric type: the mean of ``y`` and its locally fitted
+    ``trend``.
 
     Each fit is a quadratic over the nearest ``span`` share of the points with tricube weights.
     Rows without ``y`` take no part. Fits depend on the points only through the count and the sum
-    per year, so these are combined first, whatever the size of a group; what is gathered per
-    group is one entry per distinct year. Fewer than three years with weight give NULL."""
+    per ``x``, so these are combined first, whatever the size of a group; what is gathered per
+    group is one entry per distinct ``x``. The fits of a group, some at a time, are spread over
+    many tasks. Fewer than three points with weight give NULL."""
     points = (
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*groups, x)
         .agg(F.count(F.lit(1)).alias("_n"), F.sum(F.col(y).cast("double")).alias("_sum"))
     )
     entry = F.struct(
-        F.col(x).cast("int").alias("x"), F.col("_n").alias("n"), F.col("_sum").alias("sum")
+        F.col(x).cast("double").alias("x"), F.col(x).alias("at"), F.col("_n").alias("n"),
+        F.col("_sum").alias("sum"),
     )
-    # A given number of partitions keeps the fits, long work on small data, on many tasks.
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    gathered = points.repartition(tasks, *groups).groupBy(*groups).agg(
+    gathered = points.groupBy(*groups).agg(
         F.sort_array(F.collect_list(entry)).alias("_points"),
         F.floor(F.sum("_n") * F.lit(span) + F.lit(1e-5)).alias("_near"),
     )
+    starts = F.sequence(F.lit(1), F.size("_points"), F.lit(FITS))
+    # A given number of partitions keeps the fits, long work on small data, on many tasks.
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = gathered.withColumn("_start", F.explode(starts)).repartition(tasks, *groups, "_start")
     fits = F.transform(
-        "_points",
+        F.slice("_points", F.col("_start"), F.lit(FITS)),
         lambda at: F.struct(
-            at["x"].alias("x"),
+            at["at"].alias("x"),
             (at["sum"] / at["n"]).alias("y"),
             _fit(F.col("_points"), at["x"], F.col("_near")).alias("trend"),
         ),
     )
-    return gathered.select(*groups, F.explode(fits).alias("_fit")).select(
+    return parts.select(*groups, F.explode(fits).alias("_fit")).select(
         *groups,
         F.col("_fit.x").alias(x),
         F.col("_fit.y").alias(y),
@@ -94,7 +101,7 @@ def _reach(points: Column, at: Column, near: Column) -> Column:
             points, lambda p: F.struct(F.abs(p["x"] - at).alias("d"), p["n"].alias("n"))
         )
     )
-    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("d"))
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("double").alias("d"))
     return F.aggregate(
         distances,
         start,

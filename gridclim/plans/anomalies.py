@@ -12,7 +12,7 @@ from ..operators.anomaly import anomalies
 from ..operators.baseline import baseline_tiles, baseline_year
 from ..operators.coverage import initial_tiles, restrict_to_tiles
 from ..operators.daily import daily_from_facts, facts_on_tiles, observation_facts
-from ..operators.lookups import BroadcastLimit
+from ..operators.lookups import BroadcastLimit, fits_broadcast
 from ..operators.observe import accepted_observations
 from ..operators.stations import tile_stations
 from ..operators.wide import wide_table, with_centres
@@ -36,11 +36,17 @@ def daily_values(
     tiled_stations: DataFrame,
     config: ClimateConfig,
     limit: BroadcastLimit = BroadcastLimit(),
+    with_baseline: bool = True,
 ) -> DataFrame:
-    """Daily tile values of all years that the baseline or the result needs, by one scan."""
-    needed = F.col("Year").between(*config.years_read)
+    """Daily tile values of all years that the result needs, and the baseline unless there is one
+    already, by one scan."""
+    needed = F.col("Year").between(config.year_start_data, config.year_end_data)
+    if with_baseline:
+        needed |= F.col("Year").between(config.year_start_baseline, config.year_end_baseline)
     accepted = accepted_observations(observations).where(needed)
-    return daily_from_facts(facts_on_tiles(observation_facts(accepted), tiled_stations, limit))
+    facts = observation_facts(accepted)
+    broadcast = fits_broadcast(tiled_stations, limit)
+    return daily_from_facts(facts_on_tiles(facts, tiled_stations, broadcast))
 
 
 def climate_tables(
@@ -51,8 +57,9 @@ def climate_tables(
     takes the place of the one that would be computed, and its tiles those of the coverage."""
     if baseline is None:
         tiles = initial_tiles(daily, config)
-        # Restricted after the mean over the years, when one row per calendar day is left.
-        baseline = restrict_to_tiles(baseline_year(daily, config), tiles)
+        # Restricted after the mean over the years, when one row per calendar day is left. The
+        # grid bounds the list of tiles.
+        baseline = restrict_to_tiles(baseline_year(daily, config), tiles, broadcast=True)
     else:
         tiles = baseline_tiles(baseline)
     in_data = F.col("Year").between(config.year_start_data, config.year_end_data)
@@ -70,17 +77,22 @@ def build_yearly_anomalies(
     stage_path: str | None = None,
     limit: BroadcastLimit = BroadcastLimit(),
     baseline: DataFrame | None = None,
+    inputs: str | None = None,
 ) -> ClimateTables:
     """Raw observations (``read_observations``) and stations (``read_stations``) to yearly
     anomalies per tile. Scans the raw data once, into a table of daily values stored by Year
-    under ``stage_path`` (default: a new path in the scratch folder). Run again with the same
-    path, it starts from that table."""
+    under ``stage_path`` (default: a new path in the scratch folder).
+
+    ``inputs`` names the content of observations and stations, as ``files_label`` does for files.
+    Run again with the same path, configuration and inputs, it starts from that table; without
+    ``inputs`` nothing is reused."""
     tiled = tile_stations(stations, config.tile_size)
+    label = f"{config!r} {baseline is None} {inputs}" if stage_path and inputs else None
     daily = keep_stage(
         spark,
-        lambda: daily_values(observations, tiled, config, limit),
+        lambda: daily_values(observations, tiled, config, limit, baseline is None),
         stage_path or scratch_path(spark, "daily"),
-        label=repr(config) if stage_path else None,
+        label=label,
         by_year=True,
     )
     return climate_tables(daily, config, baseline)

@@ -6,6 +6,7 @@ from pyspark.sql import SparkSession
 
 from ..config import ClimateConfig
 from ..operators.baseline import stored_baseline
+from ..session import files_label
 from ..sinks.tables import export_baseline, write_by_year
 from ..sources.observations import read_observations, yearly_files
 from ..sources.stations import read_stations
@@ -23,22 +24,25 @@ def generate_result(
     baseline_path: str | None = None,
     reuse_baseline: bool = False,
 ) -> ClimateTables:
-    """Observation files ``<year>.csv`` and the station list to the wide table, stored by Year.
+    """Observation files ``<year>.csv`` and the station list to the wide table, stored by Year; it
+    replaces an earlier result as a whole. Files that a needed year lacks are an error.
 
     The baseline is saved under ``baseline_path`` if one is given; with ``reuse_baseline`` it is
     read from there instead."""
     if reuse_baseline and not baseline_path:
         raise ValueError("reuse_baseline needs baseline_path")
+    files = yearly_files(observations_folder, config.years_read(not reuse_baseline))
     tables = build_yearly_anomalies(
         spark,
-        read_observations(spark, yearly_files(observations_folder, *config.years_read)),
+        read_observations(spark, files),
         read_stations(spark, stations_path),
         config,
         stage_path,
         baseline=stored_baseline(read_daily_values(spark, baseline_path))
         if reuse_baseline else None,
+        inputs=files_label(spark, *files, stations_path) if stage_path else None,
     )
     if baseline_path and not reuse_baseline:
         export_baseline(tables.baseline, baseline_path)
-    write_by_year(tables.wide, result_path)
+    write_by_year(tables.wide, result_path, whole=True)
     return tables

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import path_exists
 from ..sinks.tables import write_by_year
 
 
@@ -18,27 +19,32 @@ def keep_stage(
     label: str | None = None,
     by_year: bool = False,
 ) -> DataFrame:
-    """Writes ``make()`` to ``path`` and reads it back; the rest of the plan starts from the
+    """Writes ``make()`` below ``path`` and reads it back; the rest of the plan starts from the
     files and outlives lost executors. With a ``label``, a finished stage that carries the same
-    label is reused. ``by_year`` stores the table by its column Year."""
-    table, done = f"{path}/table", f"{path}/done"
-    if label is None or _finished_label(spark, done) != label:
-        stage = make()
-        if by_year:
-            write_by_year(stage, table)
-        else:
-            stage.write.mode("overwrite").parquet(table)
-        if label is not None:
-            marker = spark.range(1).select(F.lit(label).alias("label"))
-            marker.write.mode("overwrite").parquet(done)
-        # The known schema spares a look into the files.
-        return spark.read.schema(stage.schema).parquet(table)
-    return spark.read.parquet(table)
-
-
-def _finished_label(spark: SparkSession, done: str) -> str | None:
-    """The label is written after the table, so it exists only for complete stages."""
-    try:
-        return spark.read.parquet(done).first()["label"]
-    except AnalysisException:
+    label is reused; the label has to name all that the stage depends on. ``by_year`` stores the
+    table by its column Year.
+
+    Every attempt writes a folder of its own. A marker names label and folder of the finished
+    attempt and is written last, so a run that dies in between leaves the earlier stage as it was."""
+    done = f"{path}/done"
+    finished = _finished(spark, done) if label is not None else None
+    if finished is not None and finished["label"] == label:
+        return spark.read.parquet(f"{path}/{finished['folder']}")
+    folder = f"attempt-{uuid.uuid4().hex}"
+    stage = make()
+    if by_year:
+        write_by_year(stage, f"{path}/{folder}")
+    else:
+        stage.write.parquet(f"{path}/{folder}")
+    if label is not None:
+        marker = spark.range(1).select(F.lit(label).alias("label"), F.lit(folder).alias("folder"))
+        marker.coalesce(1).write.mode("overwrite").parquet(done)
+    # The known schema spares a look into the files.
+    return spark.read.schema(stage.schema).parquet(f"{path}/{folder}")
+
+
+def _finished(spark: SparkSession, done: str):
+    """Label and folder of the finished attempt, if there is one."""
+    if not path_exists(spark, f"{done}/_SUCCESS"):
         return None
+    return spark.read.schema("label STRING, folder STRING").parquet(done).first()

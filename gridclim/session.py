@@ -2,29 +2,70 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-@functools.cache
-def _local_scratch() -> str:
-    return tempfile.mkdtemp(prefix="gridclim-")
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session. Only a local session may go without; its
-    driver and executors are one process, so a temporary folder is shared by all of them."""
+    """``spark.checkpoint.dir`` of the session; where it is unset, a folder in the session's
+    warehouse, which driver and executors share as well."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if spark.conf.get("spark.master", "").startswith("local"):
-        return _local_scratch()
-    raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not root:
+        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return root.rstrip("/")
+
+
+def run_scratch(spark: SparkSession) -> str:
+    """The folder of this application's intermediate tables."""
+    return f"{scratch_root(spark)}/gridclim/{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A path of its own for every call, so that two runs never share files."""
-    return f"{scratch_root(spark)}/gridclim/{name}-{uuid.uuid4().hex}"
+    return f"{run_scratch(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Removes the intermediate tables of this application. Results that still read them are void
+    afterwards, so this is for the end of a run."""
+    remove_path(spark, run_scratch(spark))
+
+
+def _located(spark: SparkSession, path: str):
+    located = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return located.getFileSystem(spark._jsc.hadoopConfiguration()), located
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    system, located = _located(spark, path)
+    return system.exists(located)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    system, located = _located(spark, path)
+    system.delete(located, True)
+
+
+def rename_path(spark: SparkSession, path: str, new: str) -> None:
+    system, located = _located(spark, path)
+    if not system.rename(located, spark._jvm.org.apache.hadoop.fs.Path(new)):
+        raise OSError(f"{path} cannot become {new}")
+
+
+def files_label(spark: SparkSession, *paths: str) -> str:
+    """Names the content of files: path, length and modification time of each file below
+    ``paths``. It changes when one of them does."""
+    found = []
+    for path in paths:
+        system, located = _located(spark, path)
+        if not system.exists(located):
+            found.append(f"{path} missing")
+            continue
+        files = system.listFiles(located, True)
+        while files.hasNext():
+            status = files.next()
+            found.append(
+                f"{status.getPath()} {status.getLen()} {status.getModificationTime()}"
+            )
+    return uuid.uuid5(uuid.NAMESPACE_URL, "\n".join(sorted(found))).hex

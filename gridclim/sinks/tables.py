@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_by_year(df: DataFrame, path: str) -> None:
-    """Replaces the years in ``df`` and leaves the others, so any year can be run again.
+def write_by_year(df: DataFrame, path: str, whole: bool = False) -> None:
+    """Replaces the years in ``df`` and leaves the others, so any year can be run again; with
+    ``whole``, nothing of an earlier table is left.
 
     The rebalance hint gathers a year into few files and lets adaptive execution split a year
     that is too large for one task."""
     (
         df.hint("rebalance", F.col("Year"))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
         .partitionBy("Year")
         .parquet(path)
     )
@@ -33,11 +34,12 @@ def export_baseline(baseline: DataFrame, path: str) -> None:
 
 
 def write_feature_collections(collections: DataFrame, path: str) -> None:
-    """One folder per year with one line: the year's FeatureCollection (columns Year, json)."""
+    """One folder per year with one line: the year's FeatureCollection (columns Year, json).
+    Replaces all that was published before, as the ids run on across the years."""
     (
         collections.select("Year", F.col("json").alias("value"))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static")
         .partitionBy("Year")
         .text(path)
     )

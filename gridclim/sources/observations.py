@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,15 +16,14 @@ OBSERVATION_SCHEMA = (
 
 
 def with_year(observations: DataFrame) -> DataFrame:
-    """Adds Year from Date; a table that is stored by Year keeps its partition column."""
-    if "Year" in observations.columns:
-        return observations
+    """Adds Year from Date. A column Year that names file or folder gives way: it serves the
+    choice of files, and a misfiled row counts in the year of its date."""
     return observations.withColumn("Year", year_of(F.col("Date")))
 
 
-def yearly_files(folder: str, first_year: int, last_year: int) -> list[str]:
+def yearly_files(folder: str, years: Iterable[int]) -> list[str]:
     """The files of these years, so that no other year is opened."""
-    return [f"{folder.rstrip('/')}/{year}.csv" for year in range(first_year, last_year + 1)]
+    return [f"{folder.rstrip('/')}/{year}.csv" for year in years]
 
 
 def read_observations(spark: SparkSession, path: str | list[str]) -> DataFrame:

@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.geojson import FEATURE_COLLECTION
 
 
-def read_feature_collections(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """One row per file; a file holds at most one feature per tile of the grid."""
-    return spark.read.schema(FEATURE_COLLECTION).option("multiLine", True).json(path)
+def read_feature_collections(
+    spark: SparkSession, path: str | list[str], year: int | None = None
+) -> DataFrame:
+    """One row per file; a file holds at most one feature per tile of the grid. With ``year``, only
+    the files of that year are opened; ``path`` is then the folder of ``publish_polygons``."""
+    files = spark.read.schema(FEATURE_COLLECTION).option("multiLine", True).json(path)
+    if year is not None:
+        files = files.where(F.col("Year") == year)
+    return files.drop("Year")
 
 
 def explode_features(collections: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ one and brings the affected years of the result up to date."""
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,16 +12,26 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ClimateConfig
 from ..operators.anomaly import anomalies
-from ..operators.daily import daily_tile_values
-from ..operators.observe import accepted_observations, tiled_observations
+from ..operators.daily import (
+    daily_from_sums, facts_on_tiles, observation_facts, summed_facts,
+)
+from ..operators.lookups import fits_broadcast
+from ..operators.observe import accepted_observations
 from ..operators.wide import wide_table, with_centres
+from ..plans.stages import keep_stage
+from ..session import path_exists, remove_path, scratch_path
 from ..sinks.tables import write_by_year
 from ..sources.observations import OBSERVATION_SCHEMA
 
+SUMS_SCHEMA = (
+    "Tile_Id STRING, Date STRING, Element STRING, Station STRING, n BIGINT, n_value BIGINT,"
+    " sum_value BIGINT, Year INT, batch BIGINT"
+)
+
 
 @dataclass(frozen=True)
 class YearlyIncrements:
-    """Keeps accepted observations under ``store`` and the wide table under ``result``.
+    """Keeps the sums of accepted observations under ``store`` and the wide table under ``result``.
 
     ``baseline`` is a finished baseline year; ``tiled_stations`` comes from ``tile_stations``."""
 
@@ -45,27 +56,58 @@ class YearlyIncrements:
             .start()
         )
 
+    @functools.cached_property
+    def _lookups(self) -> tuple[DataFrame, bool, DataFrame]:
+        """The station list, whether it fits a broadcast, and the baseline, found out and stored
+        once for all batches."""
+        tiled = keep_stage(
+            self.spark, lambda: self.tiled_stations, scratch_path(self.spark, "stations")
+        )
+        baseline = keep_stage(
+            self.spark, lambda: self.baseline, scratch_path(self.spark, "baseline")
+        )
+        return tiled, fits_broadcast(tiled), baseline
+
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        """Stores the batch and recomputes its years from all that is stored for them. The batch
-        number is part of the stored path, so a repeated batch replaces its first attempt."""
+        """Stores the sums of the batch and recomputes its years from all sums stored for them. The
+        batch number is part of the stored path, so a repeated batch replaces its first attempt."""
+        tiled, broadcast, baseline = self._lookups
+        facts = facts_on_tiles(
+            observation_facts(accepted_observations(batch)).where(
+                F.col("Year").between(self.config.year_start_data, self.config.year_end_data)
+            ),
+            tiled, broadcast,
+        )
+        sums = summed_facts(facts).withColumn("batch", F.lit(batch_id))
+        before = self._stored()
+        touched = [] if before is None else _years(before.where(F.col("batch") == batch_id))
+        # An earlier attempt may have held years that this one does not.
+        for year in touched:
+            remove_path(self.spark, f"{self.store}/Year={year}/batch={batch_id}")
         (
-            accepted_observations(batch)
-            .where(F.col("Year").between(self.config.year_start_data, self.config.year_end_data))
-            .withColumn("batch", F.lit(batch_id))
-            .hint("rebalance", F.col("Year"))
+            sums.hint("rebalance", F.col("Year"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("Year", "batch")
             .parquet(self.store)
         )
-        stored = self.spark.read.schema(
-            "Station STRING, Date STRING, Element STRING, Value INT, Year INT, batch BIGINT"
-        ).parquet(self.store)
+        stored = self._stored()
+        if stored is None:
+            return
         # At most the years of the configuration; as constants they select folders of the store.
-        years = stored.where(F.col("batch") == batch_id).select("Year").distinct().collect()
-        touched = stored.where(F.col("Year").isin([r["Year"] for r in years])).withColumn(
-            "QFlag", F.lit(None).cast("string")
-        )
-        daily = daily_tile_values(tiled_observations(touched, self.tiled_stations))
-        wide = wide_table(anomalies(daily, self.baseline))
-        write_by_year(with_centres(wide, self.config.tile_size), self.result)
+        years = sorted({*touched, *_years(stored.where(F.col("batch") == batch_id))})
+        daily = daily_from_sums(stored.where(F.col("Year").isin(years)))
+        wide = with_centres(wide_table(anomalies(daily, baseline)), self.config.tile_size)
+        # A year without rows would keep its old ones; a batch that fails here is repeated.
+        for year in years:
+            remove_path(self.spark, f"{self.result}/Year={year}")
+        write_by_year(wide, self.result)
+
+    def _stored(self) -> DataFrame | None:
+        if not path_exists(self.spark, self.store):
+            return None
+        return self.spark.read.schema(SUMS_SCHEMA).parquet(self.store)
+
+
+def _years(rows: DataFrame) -> list[int]:
+    return [r["Year"] for r in rows.select("Year").distinct().collect()]

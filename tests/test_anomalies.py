@@ -175,11 +175,15 @@ def test_long_station_lists_give_the_same_result(spark):
 def test_restart_uses_the_stored_stage(spark, tmp_path):
     path = str(tmp_path / "stage")
     seen, listed = years_of_observations(spark), stations(spark, STATIONS)
-    first = build_yearly_anomalies(spark, seen, listed, CONFIG, path)
+    first = build_yearly_anomalies(spark, seen, listed, CONFIG, path, inputs="one")
     columns = ["Year", "Tile_Id"] + list(MEASURES)
     expected = rows(first.wide.select("Year", "Tile_Id", *cells()), *columns)
-    again = build_yearly_anomalies(spark, seen.limit(0), listed, CONFIG, path)
+    again = build_yearly_anomalies(spark, seen.limit(0), listed, CONFIG, path, inputs="one")
     assert rows(again.wide.select("Year", "Tile_Id", *cells()), *columns) == expected
+    # Other input under the same path, named or not, is computed.
+    for label in ("two", None):
+        none = build_yearly_anomalies(spark, seen.limit(0), listed, CONFIG, path, inputs=label)
+        assert none.wide.count() == 0
     changed = ClimateConfig(1917, 1918, 1917, 2, 0.8, 10, days_divisor=1)
     other = build_yearly_anomalies(spark, seen, listed, changed, path)
     assert {r["Year"] for r in other.wide.collect()} == {1917, 1918}

@@ -28,6 +28,12 @@ def test_wrong_parameters_are_rejected(wrong):
         ClimateConfig(**wrong)
 
 
+def test_only_needed_years_are_read():
+    config = ClimateConfig(1990, 1992, 1917, 3)
+    assert config.years_read() == [1917, 1918, 1919, 1990, 1991, 1992]
+    assert config.years_read(with_baseline=False) == [1990, 1991, 1992]
+
+
 def test_fixed_values():
     assert len(ELEMENTS) == 12
     assert MEASURES[:3] == ("PRCP_year", "TMAX_year", "WTXX_year")

@@ -56,6 +56,6 @@ def test_initial_tiles_equal_the_step_by_step_selection(spark):
 def test_restriction_does_not_multiply_rows(spark):
     days = daily(spark, [("19170101", "PRCP", "a", 1.0), ("19170101", "PRCP", "b", 2.0)])
     tiles = spark.createDataFrame([("a",), ("a",), ("z",)], "Tile_Id STRING")
-    for broadcast in (True, False):
+    for broadcast in (True, False, None):
         kept = restrict_to_tiles(days, tiles, broadcast)
         assert rows(kept, "Tile_Id", "Value") == [("a", 1.0)]

@@ -82,9 +82,8 @@ def hot_observations(spark, n=6000):
 
 def test_long_station_lists_give_the_same_values(spark, tiled_list):
     facts = observation_facts(accepted_observations(hot_observations(spark)))
-    none = BroadcastLimit(rows=0)
-    small = daily_from_facts(facts_on_tiles(facts, tiled_list))
-    large = daily_from_facts(facts_on_tiles(facts, tiled_list, none))
+    small = daily_from_facts(facts_on_tiles(facts, tiled_list, broadcast=True))
+    large = daily_from_facts(facts_on_tiles(facts, tiled_list, broadcast=False))
     assert "BroadcastHashJoin" in plan(small) and "BroadcastHashJoin" not in plan(large)
     columns = ("Year", "Date", "Element", "Tile_Id", "Value")
     assert rows(small, *columns) == rows(large, *columns)
@@ -120,7 +119,7 @@ def test_salted_join_spreads_a_hot_station(spark, tiled_list):
 def test_hot_rows_shrink_before_the_shuffle(spark, tiled_list):
     """The rows of a tile are summed in the task that reads them."""
     facts = facts_on_tiles(
-        observation_facts(accepted_observations(hot_observations(spark))), tiled_list
+        observation_facts(accepted_observations(hot_observations(spark))), tiled_list, True
     )
     text = plan(daily_from_facts(facts))
     first_exchange = text.rindex("Exchange hashpartitioning")

@@ -1,15 +1,22 @@
 """Queries on tables with a hot station, a large group of copies and missing values."""
 
+import dataclasses
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-import __spark_entry__ as entry
 from check import database, difference
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+from gridclim import catalog
+from gridclim.catalog import queries
+from gridclim.catalog.inputs import STRICT_CONFIG
+
+# A day count that some tiles of these tables reach and some do not.
+STRICT_DAYS = 14
+QUERIES, ORACLE = catalog.QUERIES, catalog.oracle_sql(STRICT_DAYS)
 SOURCE = "/root/testdata/sf0.001"
 
 
@@ -42,7 +49,12 @@ def skewed(tmp_path_factory):
 @pytest.mark.parametrize("name", [
     "tiled_observations", "unknown_station_audit", "active_days_per_year", "initial_tiles",
     "station_count", "daily_tile_values", "daily_anomaly", "yearly_anomalies", "global_series",
+    "active_tiles", "restrict_to_tiles", "baseline_year", "yearly_anomalies_strict",
+    "streamed_increments",
 ])
-def test_skewed(spark, skewed, name):
+def test_skewed(spark, skewed, monkeypatch, name):
+    strict = dataclasses.replace(STRICT_CONFIG, days_divisor=STRICT_DAYS)
+    monkeypatch.setattr(queries, "STRICT_CONFIG", strict)
     result = QUERIES[name](spark, skewed).toPandas()
+    assert len(result)
     assert difference(result, database(skewed).execute(ORACLE[name]).df()) is None

@@ -64,6 +64,26 @@ def test_a_repeated_batch_changes_nothing(spark, setup):
     assert first == cells(tables.wide.where("Year <= 1918"))
 
 
+def test_a_repeated_batch_may_lose_a_year(spark, setup):
+    """The first attempt held two years, the second one only one: the other year is empty now."""
+    seen, tables, increments = setup
+    increments.update(seen.where("Year <= 1918").drop("Year"), 0)
+    increments.update(seen.where("Year = 1917").drop("Year"), 0)
+    assert cells(read_result(spark, increments.result)) == cells(tables.wide.where("Year = 1917"))
+
+
+def test_sums_are_stored_and_not_rows(spark, setup):
+    seen, _, increments = setup
+    increments.update(seen.where("Year = 1917").drop("Year"), 0)
+    stored = spark.read.parquet(increments.store)
+    assert set(stored.columns) == {
+        "Tile_Id", "Date", "Element", "Station", "n", "n_value", "sum_value", "Year", "batch"
+    }
+    rows_in = seen.where("Year = 1917").count()
+    assert stored.count() < rows_in
+    assert stored.agg(F.sum("n")).first()[0] > rows_in  # once by day, once by station
+
+
 def test_a_batch_without_accepted_rows(spark, setup):
     seen, _, increments = setup
     increments.update(seen.where("Year = 1917").drop("Year"), 0)

@@ -54,6 +54,26 @@ def test_trend_equals_least_squares(spark):
     assert ("gaps", 1920) not in found
 
 
+def test_fractional_positions(spark):
+    """Positions in steps of 0.25 stay apart and keep their type."""
+    rng = np.random.default_rng(4)
+    x, y = np.arange(0, 9, 0.25), rng.normal(0, 3, 36)
+    df = spark.createDataFrame(
+        [("g", float(a), float(b)) for a, b in zip(x, y)], "g STRING, x DOUBLE, v DOUBLE"
+    )
+    found = {r["x"]: r["trend"] for r in local_trend(df, ["g"], "x", "v").collect()}
+    assert sorted(found) == x.tolist()
+    for at, value in zip(x, expected_trend(x, y)):
+        assert found[at] == pytest.approx(value, rel=1e-8, abs=1e-8)
+
+
+def test_fits_of_one_group_run_on_many_tasks(spark):
+    df = spark.range(1500).selectExpr("'g' AS g", "id AS x", "CAST(id % 7 AS DOUBLE) AS v")
+    trend = local_trend(df, ["g"], "x", "v")
+    parts = trend.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert len(parts) >= 6 and sum(r["count"] for r in parts) == 1500
+
+
 def test_a_parabola_is_its_own_trend(spark):
     points = [(y, 2.0 + 0.5 * (y - 1950) ** 2) for y in range(1940, 1961)]
     found = check(spark, {"p": points})
