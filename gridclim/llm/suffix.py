@@ -7,21 +7,23 @@ is its context; the strings that hold the anchor lie within it.
 1. Anchors meet by hash. Where all documents show one context, all its strings repeat, and all but
    the smallest document lose them: no text is moved.
 2. Where an anchor has several contexts, the smallest document of each context brings it. The
-   suffixes that start in these contexts are sorted to the depth of a string: multikey sorting to a
-   shallow depth, then a blind trie for each group that is alike so far and differs below. Equal
-   neighbours are equal strings; again the smallest document keeps its own.
+   suffixes that start at the anchor, and those that run backwards from its end, are sorted to the
+   depth of a string: multikey sorting to a shallow depth, then a blind trie for each group that is
+   alike so far and differs below. What neighbours have in common tells equal strings; again the
+   smallest document keeps its own.
 3. Each document removes the union of its repeated strings."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import bytes_and_offsets, chosen, mix, stored, text_bytes
+from .tables import binary_array, bytes_and_offsets, chosen, mix, stored, text_bytes
 
 LENGTH = 50
 ANCHOR = 32
@@ -33,8 +35,9 @@ OFFSETS = SIDE + 1
 PIECE = 4 + (ANCHOR - 4) % OFFSETS
 #: Depth in bytes to which all suffixes are sorted at once.
 SHALLOW = 40
-#: Window starts whose hashes are formed together.
+#: Window starts whose hashes are formed together; a place among them fits PLACE_BITS.
 SEGMENT = 1 << 20
+PLACE_BITS = np.uint64(21)
 #: Bytes of text, and contexts, that one task gets, about.
 BUCKET_BYTES = 16_000_000
 BUCKET_CONTEXTS = 20_000
@@ -43,73 +46,106 @@ LEAST_BUCKETS = 64
 GATHERED = 4096
 
 BASE = np.uint64(0x9E3779B97F4A7C15)
+STEP = np.uint64(0xD1342543DE82EF95)
 ALL, SOME, SOME_OF_MANY = 1, 2, 3
 
 
-def word_hash(rows: np.ndarray) -> np.ndarray:
-    """Hash of each row of bytes; the row length is a multiple of eight."""
-    value = np.full(len(rows), rows.shape[1], np.uint64)
-    for word in np.ascontiguousarray(rows).view("<u8").T:
-        value = mix(value * BASE + word)
-    return value
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; the view copies nothing."""
+    n = max(len(data) - 7, 0)
+    return np.ndarray((n,), "<u8", buffer=data, strides=(1,)) if n else np.zeros(0, np.uint64)
+
+
+def word_hash(words: Iterable[np.ndarray], start: int) -> np.ndarray:
+    """Hash of columns of words, row by row."""
+    value = np.uint64(start)
+    for word in words:
+        value = (value ^ word) * BASE
+        value = value ^ (value >> np.uint64(29))
+    return mix(value)
 
 
 def selected(data: np.ndarray) -> np.ndarray:
     """For each window of ``data`` the place of its anchor: the smallest piece's offset in the
-    window, reduced to the offsets that an anchor can have."""
+    window, reduced to the offsets that an anchor can have. As anchor and piece lengths differ by a
+    multiple of their number, places never fall from one window to the next."""
+    words = words_at(data)
     n = len(data) - PIECE + 1
-    value = np.zeros(n, np.uint64)
-    wide = data.astype(np.uint64) + np.uint64(1)
-    for j in range(PIECE):
-        value = value * BASE + wide[j : j + n]
+    value = (words[:n] * BASE) ^ (words[PIECE - 8 : PIECE - 8 + n] * STEP)
+    value ^= value >> np.uint64(32)
+    value *= BASE
     # The place in the low bits: the first of equal pieces is the smallest.
-    bits = np.uint64(21)
-    value = (mix(value) >> bits << bits) | np.arange(n, dtype=np.uint64)
+    value >>= PLACE_BITS
+    value <<= PLACE_BITS
+    value |= np.arange(n, dtype=np.uint64)
     span, size = LENGTH - PIECE + 1, 1
     while size < span:
         step = min(size, span - size)
         value = np.minimum(value[:-step], value[step:])
         size += step
     start = np.arange(len(value))
-    smallest = (value & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    return start + (smallest - start) % OFFSETS
+    offset = (value & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64) - start
+    # An offset is below twice the number of anchor offsets.
+    return start + np.where(offset >= OFFSETS, offset - OFFSETS, offset)
 
 
 def anchors(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, place) of the anchors of texts that lie behind each other in ``data``."""
-    ends = starts[1:]
-    found = []
+    end_of = np.repeat(starts[1:], np.diff(starts))
+    found = [np.zeros(0, np.int64)]
     for low in range(0, max(len(data) - LENGTH + 1, 0), SEGMENT):
-        part = data[low : low + SEGMENT + LENGTH - 1]
-        place = selected(part) + low
-        start = np.arange(low, low + len(place))
-        text = np.searchsorted(starts, start, side="right") - 1
+        place = selected(data[low : low + SEGMENT + LENGTH - 1]) + low
         # A window of a text ends before the text does.
-        found.append(np.unique(place[start + LENGTH <= ends[text]]))
-    place = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        start = np.arange(low, low + len(place))
+        found.append(place[start + LENGTH <= end_of[start]])
+    place = np.concatenate(found)
+    place = place[np.diff(place, prepend=-1) > 0]
     return np.searchsorted(starts, place, side="right") - 1, place
 
 
-def contexts(data, starts, text, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The contexts as rows of bytes (zero outside of the text), and how many bytes of the text
-    there are before and after each anchor, up to SIDE."""
-    left = np.minimum(place - starts[text], SIDE)
-    right = np.minimum(starts[text + 1] - place - ANCHOR, SIDE)
-    at = np.arange(-SIDE, ANCHOR + SIDE)
-    rows = data[np.clip(place[:, None] + at, 0, max(len(data) - 1, 0))]
-    inside = (at >= -left[:, None]) & (at < (ANCHOR + right)[:, None])
-    return np.where(inside, rows, 0).astype(np.uint8), left, right
-
-
-def context_keys(rows, left, right) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the anchor, and of the whole context with its bounds."""
-    padded = np.zeros((len(rows), -(-CONTEXT // 8) * 8), np.uint8)
-    padded[:, :CONTEXT] = rows
-    bounds = (left * (SIDE + 1) + right).astype(np.uint64)
-    return word_hash(rows[:, SIDE : SIDE + ANCHOR]), mix(word_hash(padded) ^ mix(bounds))
+class Contexts:
+    """The contexts of anchors: ``left`` and ``right`` are the bytes of the text before and after
+    each anchor, up to SIDE; what lies outside of the text counts as zero."""
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray):
+        self.text, place = anchors(data, starts)
+        self.left = np.minimum(place - starts[self.text], SIDE)
+        self.right = np.minimum(starts[self.text + 1] - place - ANCHOR, SIDE)
+        self.padded = np.concatenate([np.zeros(SIDE, np.uint8), data, np.zeros(SIDE, np.uint8)])
+        self.place = place  # of the context in the padded bytes
+
+    def rows(self, chosen: np.ndarray) -> np.ndarray:
+        """The bytes of the chosen contexts."""
+        if not len(chosen):
+            return np.zeros((0, CONTEXT), np.uint8)
+        views = np.lib.stride_tricks.sliding_window_view(self.padded, CONTEXT)
+        rows, at = views[self.place[chosen]], np.arange(-SIDE, ANCHOR + SIDE)
+        left, right = self.left[chosen, None], self.right[chosen, None]
+        cut = np.flatnonzero((left + right)[:, 0] < 2 * SIDE)
+        inside = (at >= -left[cut]) & (at < ANCHOR + right[cut])
+        rows[cut] = np.where(inside, rows[cut], 0)
+        return rows
+
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the anchor, and of the whole context with its bounds."""
+        words = words_at(self.padded)
+        # The last word overlaps the one before it.
+        offsets = [*range(0, CONTEXT - 7, 8), CONTEXT - 8]
+        context = np.zeros(len(self.place), np.uint64)
+        whole = np.flatnonzero(self.left + self.right == 2 * SIDE)
+        context[whole] = word_hash((words[self.place[whole] + n] for n in offsets), 1)
+        cut = np.flatnonzero(self.left + self.right < 2 * SIDE)
+        rows = self.rows(cut)
+        parts = (np.ascontiguousarray(rows[:, n : n + 8]).view("<u8").ravel() for n in offsets)
+        bounds = (self.left[cut] * (SIDE + 1) + self.right[cut] + 2).astype(np.uint64)
+        context[cut] = mix(word_hash(parts, 1) ^ mix(bounds))
+        anchor = word_hash(
+            (words[self.place + SIDE + n] for n in range(0, ANCHOR, 8)), 2
+        )
+        return anchor, context
 
 
-def runs_of(batch: pa.RecordBatch, column: int = 1, most: int = SEGMENT):
+def runs_of(batch: pa.RecordBatch, column: int, most: int = SEGMENT):
     """(rows of the batch, bytes, starts) for runs of whole texts."""
     data, starts = bytes_and_offsets(batch.column(column))
     low = 0
@@ -121,6 +157,32 @@ def runs_of(batch: pa.RecordBatch, column: int = 1, most: int = SEGMENT):
         low = high
 
 
+def listed(column: pa.Array, *names: str) -> tuple[np.ndarray, ...]:
+    """The row of each entry of a column of lists of structs, and the entries' fields."""
+    counts = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()
+    entries = column.flatten()
+    rows = np.repeat(np.arange(len(column)), counts)
+    return rows, *(pa.compute.struct_field(entries, name).to_numpy() for name in names)
+
+
+def in_row(row: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """One number for a key within a row."""
+    return mix(key.view(np.uint64) ^ mix(row.astype(np.uint64) + np.uint64(1)))
+
+
+def looked_up(wanted: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each wanted key, 0 where there is none; values of a key that comes again are
+    put together bit by bit."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    order = np.argsort(keys, kind="stable")
+    keys, values = keys[order], values[order]
+    heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    keys, values = keys[heads], np.bitwise_or.reduceat(values, heads)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
 # Step 1: anchors by hash.
 
 PACKED = (
@@ -135,53 +197,73 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     equal contexts in a batch the smallest document's goes; the others are sure to repeat it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([
+            ("bucket", pa.int32()), *((n.split()[0], pa.binary()) for n in PACKED.split(", ")[1:])
+        ])
         for batch in batches:
             ids = batch.column(0).to_numpy()
             parts, before = [], 0
-            for rows, data, starts in runs_of(batch):
-                text, place = anchors(data, starts)
-                if len(place):
-                    parts.append((*context_keys(*contexts(data, starts, text, place)), text + before))
+            for rows, data, starts in runs_of(batch, 1):
+                found = Contexts(data, starts)
+                parts.append((*found.keys(), found.text + before))
                 before += len(rows)
             if parts:
-                yield pa.RecordBatch.from_pylist(
-                    list(dealt(*map(np.concatenate, zip(*parts)), ids, buckets)),
-                    schema=pa.schema([
-                        ("bucket", pa.int32()), *((name.split()[0], pa.binary())
-                                                  for name in PACKED.split(", ")[1:])
-                    ]),
-                )
+                packed = list(dealt(*map(np.concatenate, zip(*parts)), ids, buckets))
+                yield pa.RecordBatch.from_pylist(packed, schema=schema)
 
     return docs.mapInArrow(run, PACKED)
 
 
+def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
+    """Rises with the anchor, so that sorted anchors lie in order of their buckets."""
+    return ((anchor >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def by_anchor(anchor, context, ids) -> np.ndarray:
+    """Order by anchor, and within an anchor by context and id. Few anchors repeat, so one sort
+    does nearly all."""
+    order = np.argsort(anchor)
+    ordered = anchor[order]
+    alike = np.zeros(len(order), bool)
+    alike[1:] = ordered[1:] == ordered[:-1]
+    alike[:-1] |= alike[1:].copy()
+    again = order[alike]
+    order[alike] = again[np.lexsort([ids[again], context[again], anchor[again]])]
+    return order
+
+
 def dealt(anchor, context, doc, ids, buckets: int) -> Iterator[dict]:
-    order = np.lexsort([ids[doc], context, anchor])
+    order = by_anchor(anchor, context, ids[doc])
     anchor, context, doc = anchor[order], context[order], doc[order]
     new = np.ones(len(anchor), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (context[1:] != context[:-1])
-    head = np.flatnonzero(new)
-    least = ids[doc[head]][np.cumsum(new) - 1]
+    least = ids[doc[new]][np.cumsum(new) - 1]
     # A document that shows a context twice is no larger than itself.
     sure = ~new & (ids[doc] > least)
-    bucket = np.where(new, anchor % np.uint64(buckets), (doc % buckets).astype(np.uint64))
+    sure_context, sure_doc = context[sure], doc[sure]
+    spread = np.argsort(sure_doc % buckets, kind="stable")
+    sure_context, sure_doc = sure_context[spread], sure_doc[spread]
+    anchor, context, doc = anchor[new], context[new], doc[new]
+    numbers = np.arange(buckets + 1)
+    cuts = np.searchsorted(bucket_of(anchor, buckets), numbers)
+    sure_cuts = np.searchsorted(sure_doc % buckets, numbers)
     for one in range(buckets):
-        here = bucket == one
-        rows, known = np.flatnonzero(here & new), np.flatnonzero(here & sure)
-        if not len(rows) and not len(known):
+        rows, known = slice(*cuts[one : one + 2]), slice(*sure_cuts[one : one + 2])
+        both = np.concatenate([doc[rows], sure_doc[known]])
+        if not len(both):
             continue
-        used, number = np.unique(np.concatenate([doc[rows], doc[known]]), return_inverse=True)
+        used, number = np.unique(both, return_inverse=True)
         number = number.astype("<u2" if len(used) < 1 << 16 else "<u4")
+        n = rows.stop - rows.start
         yield {
             "bucket": one,
             "docs": ids[used].astype("<i8").tobytes(),
-            # The bucket holds the lowest bits; 40 more tell the anchors of a bucket apart.
-            "anchor": (anchor[rows] >> np.uint64(24)).astype("<u8").view(np.uint8)
-            .reshape(-1, 8)[:, :5].tobytes(),
+            # The bucket holds the highest bits; the lowest 40 tell the anchors of a bucket apart.
+            "anchor": anchor[rows].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes(),
             "context": context[rows].astype("<u8").tobytes(),
-            "doc": number[: len(rows)].tobytes(),
-            "sure_context": context[known].astype("<u8").tobytes(),
-            "sure_doc": number[len(rows) :].tobytes(),
+            "doc": number[:n].tobytes(),
+            "sure_context": sure_context[known].astype("<u8").tobytes(),
+            "sure_doc": number[n:].tobytes(),
         }
 
 
@@ -205,7 +287,7 @@ def replies(table: pa.Table) -> pa.Table:
     or that it is the smallest with this context but not with this anchor."""
     parts = [unpacked(row) for row in table.to_pylist()]
     anchor, context, doc, sure_context, sure_doc = map(np.concatenate, zip(*parts))
-    order = np.lexsort([doc, context, anchor])
+    order = by_anchor(anchor, context, doc)
     anchor, context, doc = anchor[order], context[order], doc[order]
     new_anchor = np.ones(len(anchor), bool)
     new_anchor[1:] = anchor[1:] != anchor[:-1]
@@ -312,23 +394,48 @@ def sorted_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
+def common_lengths(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of suffixes, and how many bytes each has in common with the one before it."""
+    order, _ = sorted_suffixes(rows)
+    differs = rows[order[1:]] != rows[order[:-1]]
+    common = np.zeros(len(rows), np.int64)
+    common[1:] = np.where(differs.any(axis=1), differs.argmax(axis=1), rows.shape[1])
+    return order, common
+
+
+def classes_at(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """A number for each suffix that those alike to this depth share."""
+    classes = np.empty(len(order), np.int64)
+    classes[order] = np.cumsum(common < depth)
+    return classes
+
+
 def repeated_masks(table: pa.Table) -> pa.Table:
     """(doc_id, context, mask): bit o says that the string at offset o of the context also starts
-    in a smaller document. All contexts of an anchor are in the table."""
+    in a smaller document. All contexts of an anchor are in the table.
+
+    A string is an anchor with some bytes before and the others behind it. So two orders tell equal
+    strings: that of the suffixes that start with the anchor, and that of the texts read backwards
+    from the anchor's end, each with the lengths that neighbours have in common."""
     rows = np.frombuffer(
         b"".join(table.column("bytes").to_pylist()), np.uint8
     ).reshape(-1, CONTEXT)
     doc = table.column("doc_id").to_numpy()
     left, right = table.column("left").to_numpy(), table.column("right").to_numpy()
+    forwards = common_lengths(rows[:, SIDE:])
+    backwards = common_lengths(rows[:, : SIDE + ANCHOR][:, ::-1])
     mask = np.zeros(len(doc), np.int64)
     for offset in range(OFFSETS):
         valid = np.flatnonzero((offset >= SIDE - left) & (offset <= right))
         if len(valid) < 2:
             continue
-        order, new = sorted_suffixes(rows[valid, offset : offset + LENGTH])
-        own = doc[valid][order]
-        heads = np.flatnonzero(new)
-        least = np.minimum.reduceat(own, heads)[np.cumsum(new) - 1]
+        before = classes_at(*backwards, ANCHOR + SIDE - offset)
+        behind = classes_at(*forwards, ANCHOR + offset)
+        string = (before * (len(doc) + 1) + behind)[valid]
+        order = np.argsort(string, kind="stable")
+        string, own = string[order], doc[valid][order]
+        heads = np.flatnonzero(np.diff(string, prepend=-1))
+        least = np.repeat(np.minimum.reduceat(own, heads), np.diff(np.append(heads, len(own))))
         mask[valid[order[own > least]]] |= 1 << offset
     hit = mask > 0
     return pa.table({
@@ -346,29 +453,22 @@ def brought_contexts(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            before = 0
-            for part, data, starts in runs_of(batch):
-                asked = [
-                    {x["context"]: x["kind"] for x in own}
-                    for own in part.column("asked").to_pylist()
-                ]
-                text, place = anchors(data, starts)
-                rows, left, right = contexts(data, starts, text, place)
-                anchor, key = context_keys(rows, left, right)
-                key = key.view(np.int64)
-                kind = np.array(
-                    [asked[t].get(k, 0) for t, k in zip(text.tolist(), key.tolist())], np.int32
-                )
-                hit = kind > 0
-                ids = part.column(0).to_numpy()
+            for part, data, starts in runs_of(batch, 1):
+                found = Contexts(data, starts)
+                anchor, key = found.keys()
+                row, asked, kinds = listed(part.column("asked"), "context", "kind")
+                kind = looked_up(in_row(found.text, key), in_row(row, asked), kinds)
+                hit = np.flatnonzero(kind)
+                rows = found.rows(hit)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[hit].view(np.int64)), pa.array(ids[text[hit]]),
-                     pa.array(key[hit]), pa.array(kind[hit]),
-                     pa.array([bytes(x) for x in rows[hit]], pa.binary()),
-                     pa.array(left[hit].astype(np.int32)), pa.array(right[hit].astype(np.int32))],
+                    [pa.array(anchor[hit].view(np.int64)),
+                     pa.array(part.column(0).to_numpy()[found.text[hit]]),
+                     pa.array(key[hit].view(np.int64)), pa.array(kind[hit]),
+                     binary_array(rows.ravel(), np.arange(len(hit) + 1) * CONTEXT),
+                     pa.array(found.left[hit].astype(np.int32)),
+                     pa.array(found.right[hit].astype(np.int32))],
                     BROUGHT_NAMES,
                 )
-                before += len(part)
 
     return texts.select("doc_id", "text", "asked").mapInArrow(run, BROUGHT)
 
@@ -406,23 +506,20 @@ def masks_of_many(brought: DataFrame) -> DataFrame:
 # Step 3: removal.
 
 
-def removed(data: np.ndarray, marks: list[dict] | None) -> np.ndarray:
-    """Which bytes of a text its marks cover."""
+def removed(data: np.ndarray, starts: np.ndarray, marks: pa.Array) -> np.ndarray:
+    """Which bytes of some texts their marks cover."""
     edges = np.zeros(len(data) + 1, np.int32)
-    if marks and len(data) >= LENGTH:
-        starts = np.array([0, len(data)])
-        text, place = anchors(data, starts)
-        rows, left, right = contexts(data, starts, text, place)
-        key = context_keys(rows, left, right)[1].view(np.int64)
-        mask_of: dict[int, int] = {}
-        for mark in marks:
-            mask_of[mark["context"]] = mask_of.get(mark["context"], 0) | mark["mask"]
-        mask = np.array([mask_of.get(k, 0) for k in key.tolist()], np.int64)
+    row, context, masks = listed(marks, "context", "mask")
+    if len(row):
+        found = Contexts(data, starts)
+        key = found.keys()[1]
+        mask = looked_up(in_row(found.text, key), in_row(row, context), masks)
         for offset in range(OFFSETS):
-            valid = (mask >> offset & 1 > 0) & (offset >= SIDE - left) & (offset <= right)
-            start = place[valid] - SIDE + offset
-            np.add.at(edges, start, 1)
-            np.add.at(edges, start + LENGTH, -1)
+            valid = (mask >> offset & 1 > 0) & (offset >= SIDE - found.left)
+            valid &= offset <= found.right
+            start = found.place[valid] - SIDE + offset
+            edges += np.bincount(start, minlength=len(edges)).astype(np.int32)
+            edges -= np.bincount(start + LENGTH, minlength=len(edges)).astype(np.int32)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -504,27 +601,26 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
-            own = zip(
-                batch.column("text").to_pylist(), batch.column("__marks").to_pylist(),
-                batch.column("__copy").to_pylist(),
-            )
-            for text, marked, copy in own:
-                data = np.frombuffer((text or "").encode(), np.uint8)
-                gone = removed(data, marked)
-                if copy and len(data) >= LENGTH:
-                    gone[:] = True
-                kept = data[~gone].tobytes()
-                spans = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
-                texts.append(kept.decode("utf-8", "ignore"))
-                counts.append((len(data), int(gone.sum()), spans, kept))
-            columns = [
-                pa.array(texts, pa.string()) if name == "text" else batch.column(name)
-                for name in names
-            ]
-            types = [pa.int64()] * 3 + [pa.binary()]
-            counts = zip(*counts) if counts else [()] * 4
-            columns += [pa.array(c, t) for c, t in zip(counts, types)]
-            yield pa.RecordBatch.from_arrays(columns, [*names, *new])
-
-    return rows.select(*[F.col(f"`{n}`") for n in names], "__marks", "__copy").mapInArrow(run, schema)
+            for part, data, starts in runs_of(batch, batch.schema.get_field_index("text")):
+                gone = removed(data, starts, part.column("__marks"))
+                size = np.diff(starts)
+                copy = part.column("__copy").to_numpy(zero_copy_only=False) & (size >= LENGTH)
+                gone |= np.repeat(copy, size)
+                # A run opens where the byte before, in the same text, stays.
+                opens = gone.copy()
+                opens[1:] &= ~gone[:-1]
+                opens[starts[:-1][size > 0]] = gone[starts[:-1][size > 0]]
+                counted = [np.concatenate([[0], np.cumsum(x)])[starts] for x in (gone, opens)]
+                lost, spans = (np.diff(x) for x in counted)
+                kept = binary_array(data[~gone], starts - counted[0])
+                texts = [t.as_py().decode("utf-8", "ignore") for t in kept]
+                columns = [
+                    pa.array(texts, pa.string()) if name == "text" else part.column(name)
+                    for name in names
+                ]
+                columns += [pa.array(x.astype(np.int64)) for x in (size, lost, spans)]
+                yield pa.RecordBatch.from_arrays([*columns, kept], [*names, *new])
+
+    return rows.select(*[F.col(f"`{n}`") for n in names], "__marks", "__copy").mapInArrow(
+        run, schema
+    )

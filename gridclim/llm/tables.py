@@ -44,10 +44,11 @@ def text_bytes(docs: DataFrame, *columns: str) -> DataFrame:
 
 
 def bytes_and_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All bytes of a binary column without nulls, and where each value starts and ends."""
+    """All bytes of a column of bytes or text, and where each value starts and ends; a null is as
+    empty as Spark hands it over."""
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    wide = pa.types.is_large_binary(column.type)
+    wide = pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type)
     _, offsets, data = column.buffers()
     starts = np.frombuffer(offsets, np.int64 if wide else np.int32)
     starts = starts[column.offset : column.offset + len(column) + 1].astype(np.int64)
@@ -55,6 +56,12 @@ def bytes_and_offsets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[starts[0] : starts[-1]], starts - starts[0]
 
 
+def binary_array(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A column of bytes from all its bytes and where each value starts and ends."""
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(data)]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
+
+
 def mix(values: np.ndarray) -> np.ndarray:
     """Scatters 64-bit values (a bijection), so that any of their bits can serve as a hash."""
     x = values.astype(np.uint64)
