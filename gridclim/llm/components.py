@@ -60,8 +60,8 @@ def components(links: DataFrame) -> DataFrame:
     first, second = links.columns
     links = links.select(F.col(first).alias("node"), F.col(second).alias("least"))
     links = links.where(F.col("node") != F.col("least"))
-    current = stored(contracted(links).distinct(), "links")
-    seen = None
+    current = stored(contracted(links).distinct(), "links", links.count())
+    seen, n = None, current.count()
     while True:
         large = _with_least(current).where(F.col("v") > F.col("u"))
         large = large.select(F.col("v").alias("node"), F.col("m").alias("least")).distinct()
@@ -74,9 +74,9 @@ def components(links: DataFrame) -> DataFrame:
             .where(F.col("node") != F.col("least"))
             .distinct()
         )
-        current = stored(small, "links")
+        current = stored(small, "links", n)
         sign = current.agg(F.count("*"), F.sum(F.xxhash64("node", "least").cast("decimal(38,0)")))
         sign = tuple(sign.first())
         if sign == seen:
             return current
-        seen = sign
+        seen, n = sign, sign[0]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import WordHasher, runs, shingle_sets
-from .tables import bytes_and_offsets, chosen, mix, stored, text_bytes
+from .tables import bytes_and_offsets, chosen, in_files, mix, stored, text_bytes
 
 #: Least similarity in percent. The quarter and the ninth below follow from it.
 PERCENT = 80
@@ -218,7 +218,7 @@ def meetings(docs: DataFrame) -> DataFrame:
     offered = counted.withColumn("place", F.row_number().over(commonest)).where(
         F.col("place") > F.col("spare")
     )
-    return stored(offered.select("token", "node"), "ngram-meetings")
+    return stored(offered.select("token", "node"), "ngram-meetings", 16 * docs.count())
 
 
 def near(pairs: DataFrame, node_table: DataFrame) -> DataFrame:
@@ -267,7 +267,8 @@ def shingle_table(docs: DataFrame, node_table: DataFrame, needed: DataFrame) ->
         node_table.join(needed, "node", "left_semi").where(F.col("doc_id").isNotNull())
         .groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     )
-    first = stored(first.select("doc_id", F.col("node").alias("needed")), "ngram-needed")
+    first = first.select("doc_id", F.col("node").alias("needed"))
+    first = stored(first, "ngram-needed", needed.count())
     texts = text_bytes(
         chosen(docs, first, "left_semi"), F.col("doc_id").cast("long").alias("doc_id")
     ).join(first, "doc_id")
@@ -286,7 +287,7 @@ def shingle_table(docs: DataFrame, node_table: DataFrame, needed: DataFrame) ->
             )
 
     made = texts.select("doc_id", "text", "needed").mapInArrow(run, "node long, hashes binary")
-    return stored(made.dropDuplicates(["node"]), "ngram-sets")
+    return stored(made.dropDuplicates(["node"]), "ngram-sets", 100 * needed.count())
 
 
 def mixed_blocks(meeting: DataFrame, labels: DataFrame, node_table: DataFrame) -> DataFrame:
@@ -304,7 +305,7 @@ def mixed_blocks(meeting: DataFrame, labels: DataFrame, node_table: DataFrame) -
         .where(F.col("low") < F.col("high"))
         .select("token", "node", "label", "members")
     )
-    mixed = stored(labelled, "ngram-mixed")
+    mixed = stored(labelled, "ngram-mixed", meeting.count())
     tasks = 1 + mixed.count() // TASK_ROWS
     splits = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("splits")).cast("int")
@@ -389,6 +390,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
     doc_id get no component and link nothing. Repeated rows have equal sets. An empty table gives
     an empty one. Sets are told apart by 64-bit hashes of their shingles."""
     node_table = stored(nodes(docs), "ngram-nodes")
+    n = node_table.count()
     meeting = meetings(docs)
     one_each = stored(
         node_table.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
@@ -396,6 +398,7 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         .groupBy("node")
         .agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")),
         "ngram-classes",
+        10 * n,
     )
     sets = shingle_table(docs, node_table, one_each)
     first = meeting.groupBy("token").agg(F.min("node").alias("a"))
@@ -403,19 +406,20 @@ def ngram_components(docs: DataFrame) -> DataFrame:
         meeting.join(first, "token").where(F.col("a") != F.col("node"))
         .select("a", F.col("node").alias("b")).distinct()
     )
-    links = stored(linked(near(stars, one_each), sets), "ngram-links")
+    links = stored(linked(near(stars, one_each), sets), "ngram-links", 20 * n)
     for best in (True, False):
         blocks = mixed_blocks(meeting, components(links), one_each)
         more = linked(near_pairs(blocks, best), sets)
-        links = stored(links.unionByName(more), "ngram-links")
-    return with_components(node_table, components(links))
+        links = stored(links.unionByName(more), "ngram-links", 20 * n)
+    return in_files(with_components(node_table, components(links)), 4 * n)
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its component. Rows without doc_id
     stay."""
     found = ngram_components(docs).where(F.col("doc_id") != F.col("component_id"))
-    return chosen(docs, stored(found.select("doc_id").distinct(), "ngram-dropped"), "left_anti")
+    found = found.select("doc_id").distinct()
+    return chosen(docs, stored(found, "ngram-dropped", docs.count()), "left_anti")
 
 
 def with_components(node_table: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+#: Rows of a file of a stored table, about, and files that any table may have.
+FILE_ROWS = 250_000
+LEAST_FILES = 6
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -16,11 +20,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def in_files(df: DataFrame, rows: int) -> DataFrame:
+    """At most as many partitions as ``rows`` narrow rows need (callers count wide rows, or rows of
+    long work, several times). A table of few rows then is few files, whatever the number of
+    shuffle partitions, and the number grows with the data."""
+    return df.coalesce(LEAST_FILES + rows // FILE_ROWS)
+
+
+def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes a step to the shared folder and reads it back: the plan behind it is cut, and a lost
-    executor costs no more than the tasks that run."""
+    executor costs no more than the tasks that run. ``rows`` is as for ``in_files``."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df if rows is None else in_files(df, rows)).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
