@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import stored
+from .tables import in_files, stored
 
 SHARDS = 8
 #: Groups under 1/ITEMS of all bytes are bundled: at most ITEMS groups are above it, and at most
@@ -52,22 +52,17 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         ),
         "shard-rows",
     )
-    groups = stored(
-        rows.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")),
-        "shard-groups",
-    )
-    total, n_groups, n_rows = groups.agg(F.sum("bytes"), F.count("*"), F.sum("n")).first()
-    least = (total or 0) / ITEMS
-    items = bundled(groups, least, n_groups)
-    placed = schedule(stored(items, "shard-items"), shards)
-    shard_of = items.join(placed, "item").select("digest", "shard")
-    return with_slots(rows.join(shard_of, "digest"), n_rows or 0)
+    total, n_rows = rows.agg(F.sum("size"), F.count("*")).first()
+    groups = rows.groupBy("digest").agg(F.sum("size").alias("bytes"))
+    items = stored(bundled(groups, (total or 0) / ITEMS, n_rows), "shard-items", 4 * n_rows)
+    shard_of = items.join(schedule(items, shards), "item").select("digest", "shard")
+    return in_files(with_slots(rows.join(shard_of, "digest"), n_rows), 4 * n_rows)
 
 
-def bundled(groups: DataFrame, least: float, n_groups: int) -> DataFrame:
+def bundled(groups: DataFrame, least: float, n_rows: int) -> DataFrame:
     """(digest, bytes, item): large groups alone, small ones in bundles. Small groups are dealt by
     their digest to cells of about ITEMS / 8 bundles in all; a running sum cuts each cell."""
-    cells = max(1, min(ITEMS // 8, n_groups // SLOT_ROWS))
+    cells = max(1, min(ITEMS // 8, n_rows // SLOT_ROWS))
     small = F.col("bytes") < least
     cell = F.pmod(F.xxhash64("digest"), F.lit(cells))
     running = Window.partitionBy("cell").orderBy(F.desc("bytes"), "digest")
@@ -100,7 +95,7 @@ def with_slots(rows: DataFrame, n_rows: int) -> DataFrame:
     # Rows alike in doc_id and text have the same place in the order; which is first is no matter.
     order = ["doc_id", "digest"]
     rows = rows.withColumn("piece", F.pmod(F.xxhash64(*order), F.lit(pieces)))
-    rows = stored(rows, "shard-placed")
+    rows = stored(rows, "shard-placed", 4 * n_rows)
     before = Window.partitionBy("shard").orderBy("piece")
     starts = rows.groupBy("shard", "piece").agg(F.count("*").alias("n"))
     starts = starts.select(
