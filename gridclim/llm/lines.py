@@ -201,13 +201,15 @@ def with_shard(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def build_state(docs: DataFrame, rules: LineRules = LineRules()) -> LineState:
-    return _state(stored(line_references(docs, rules).distinct(), "line-references"), rules)
+    references = line_references(docs, rules).distinct()
+    return _state(stored(references, "line-references", 20 * docs.count()), rules)
 
 
 def _state(references: DataFrame, rules: LineRules) -> LineState:
-    counts = stored(reference_counts(references, rules), "line-counts")
+    most = references.count() // rules.least_docs
+    counts = stored(reference_counts(references, rules), "line-counts", most)
     shards = 1 + counts.count() // SHARD_KEYS
-    filters = stored(cuckoo_filters(counts, shards), "line-filters")
+    filters = stored(cuckoo_filters(counts, shards), "line-filters", SHARD_KEYS * shards)
     return LineState(references, counts, filters, shards, rules)
 
 

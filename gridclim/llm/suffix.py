@@ -541,16 +541,17 @@ def repeated_marks(docs: DataFrame, copied: DataFrame) -> DataFrame:
     own = own.where(F.length("text") >= LENGTH)
     size = own.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
+    n = docs.count()
     told = stored(
         packed_anchors(own, buckets).groupBy("bucket").applyInArrow(replies, REPLIES),
-        "suffix-replies",
+        "suffix-replies", 40 * n,
     )
     some = told.where(F.col("kind") != ALL).groupBy("doc_id").agg(
         F.collect_list(F.struct("context", "kind")).alias("asked")
     )
-    some = stored(some, "suffix-asked")
+    some = stored(some, "suffix-asked", 10 * n)
     texts = chosen(own, some.select("doc_id"), "left_semi").join(some, "doc_id")
-    brought = stored(brought_contexts(texts), "suffix-contexts")
+    brought = stored(brought_contexts(texts), "suffix-contexts", 100 * n)
     groups = 1 + brought.count() // BUCKET_CONTEXTS
     masks = (
         told.where(F.col("kind") == ALL)
@@ -560,7 +561,7 @@ def repeated_marks(docs: DataFrame, copied: DataFrame) -> DataFrame:
     )
     return stored(
         masks.groupBy("doc_id").agg(F.collect_list(F.struct("context", "mask")).alias("marks")),
-        "suffix-marks",
+        "suffix-marks", 40 * n,
     )
 
 
@@ -577,13 +578,14 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     new = ["suffix_n_bytes", "suffix_n_removed", "suffix_n_spans", "suffix_kept"]
     docs = docs.drop(*new)
     names = docs.columns
-    copied = stored(copies(docs).select("doc_id").distinct(), "suffix-copies")
+    n = docs.count()
+    copied = stored(copies(docs).select("doc_id").distinct(), "suffix-copies", n)
     marks = repeated_marks(docs, copied)
     known = marks.withColumnsRenamed({"doc_id": "__id", "marks": "__marks"})
     with_marks = chosen(docs, marks.select("doc_id"), "left_semi").join(
         known, F.col("doc_id").cast("long") == F.col("__id")
     ).drop("__id").withColumn("__copy", F.lit(False))
-    hit = stored(marks.select("doc_id").unionByName(copied), "suffix-hit")
+    hit = stored(marks.select("doc_id").unionByName(copied), "suffix-hit", n)
     no_marks = F.lit(None).cast(marks.schema["marks"].dataType)
     untouched = docs.where(F.col("doc_id").isNull()).unionByName(
         chosen(docs.where(F.col("doc_id").isNotNull()), hit, "left_anti")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .tables import stored
+from .tables import in_files, stored
 
 FOUND = "node long, links long, other long"
 #: Vectors of a cell that are compared in one task; a fuller cell is split.
@@ -221,12 +221,13 @@ def embedding_components(vectors: DataFrame, p: Projections = Projections()) ->
     component_id is the smallest vec_id of the component, null without vec_id. An empty table gives
     an empty one. Equal vectors are compared once, whatever their number."""
     rows = stored(classes(vectors), "vector-rows")
+    n = rows.count()
     usable = rows.where(F.col("node").isNotNull())
     nodes = usable.groupBy("node").agg(
         F.count("*").alias("copies"), F.first("label").cast("string").alias("label"),
         F.first("embedding").alias("embedding"),
     )
-    spots = stored(placed(nodes, p), "vector-cells")
+    spots = stored(placed(nodes, p), "vector-cells", 100 * n)
     cell = ["label", "grp", "cell_x", "cell_y"]
     parts = (
         spots.where(F.col("home") == 1).groupBy(*cell).agg(F.count("*").alias("n"))
@@ -244,11 +245,12 @@ def embedding_components(vectors: DataFrame, p: Projections = Projections()) ->
     def run(table: pa.Table) -> pa.Table:
         return linked_in_cell(table, p)
 
-    found = stored(dealt.groupBy(*cell, "part").applyInArrow(run, FOUND), "vector-links")
+    found = dealt.groupBy(*cell, "part").applyInArrow(run, FOUND)
+    found = stored(found, "vector-links", 100 * n)
     counts = found.groupBy("node").agg(F.sum("links").alias("found"))
     joined = components(found.where(F.col("other").isNotNull()).select("node", "other"))
     # A vector that cannot be used has its node, but no place in a cell.
-    real = stored(spots.select("node", "copies").distinct(), "vector-nodes")
+    real = stored(spots.select("node", "copies").distinct(), "vector-nodes", n)
     member = (
         rows.select("vec_id", "node").join(real, "node", "left").join(counts, "node", "left")
         .join(joined, "node", "left")
@@ -264,4 +266,4 @@ def embedding_components(vectors: DataFrame, p: Projections = Projections()) ->
         F.coalesce("smallest", "vec_id").alias("component_id"),
     )
     kept = F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))
-    return out.withColumn("kept", kept)
+    return in_files(out.withColumn("kept", kept), 4 * n)
