@@ -38,6 +38,8 @@ SHALLOW = 40
 #: Window starts whose hashes are formed together; a place among them fits PLACE_BITS.
 SEGMENT = 1 << 20
 PLACE_BITS = np.uint64(21)
+#: Bytes of texts whose anchors are packed together.
+PACKED_BYTES = 8_000_000
 #: Bytes of text, and contexts, that one task gets, about.
 BUCKET_BYTES = 16_000_000
 BUCKET_CONTEXTS = 20_000
@@ -193,21 +195,21 @@ REPLIES = "doc_id long, context long, kind int"
 
 
 def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
-    """The anchors of a batch, dealt to buckets by their hash and packed as columns of bytes. Of
-    equal contexts in a batch the smallest document's goes; the others are sure to repeat it."""
+    """The anchors of some texts, dealt to buckets by their hash and packed as columns of bytes. Of
+    equal contexts among them the smallest document's goes; the others are sure to repeat it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
             ("bucket", pa.int32()), *((n.split()[0], pa.binary()) for n in PACKED.split(", ")[1:])
         ])
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            parts, before = [], 0
-            for rows, data, starts in runs_of(batch, 1):
-                found = Contexts(data, starts)
-                parts.append((*found.keys(), found.text + before))
-                before += len(rows)
-            if parts:
+            for rows, data, starts in runs_of(batch, 1, PACKED_BYTES):
+                parts, before = [], 0
+                for part, own, own_starts in runs_of(rows, 1):
+                    found = Contexts(own, own_starts)
+                    parts.append((*found.keys(), found.text + before))
+                    before += len(part)
+                ids = rows.column(0).to_numpy()
                 packed = list(dealt(*map(np.concatenate, zip(*parts)), ids, buckets))
                 yield pa.RecordBatch.from_pylist(packed, schema=schema)
 
@@ -572,8 +574,8 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller
     doc_id; matches never cross documents. A null or empty text stays an empty one. Rows without
-    doc_id lose nothing and take nothing from others. Rows that repeat a doc_id do not take from
-    each other. An empty table gives an empty one. Extra columns come back as they are; only
+    doc_id lose nothing and take nothing from others. Rows that repeat a doc_id are one
+    document with one text and do not take from each other. An empty table gives an empty one. Extra columns come back as they are; only
     columns named like the new ones are replaced."""
     new = ["suffix_n_bytes", "suffix_n_removed", "suffix_n_spans", "suffix_kept"]
     docs = docs.drop(*new)
@@ -582,19 +584,23 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     copied = stored(copies(docs).select("doc_id").distinct(), "suffix-copies", n)
     marks = repeated_marks(docs, copied)
     known = marks.withColumnsRenamed({"doc_id": "__id", "marks": "__marks"})
-    with_marks = chosen(docs, marks.select("doc_id"), "left_semi").join(
+    marked = chosen(docs, marks.select("doc_id"), "left_semi").join(
         known, F.col("doc_id").cast("long") == F.col("__id")
-    ).drop("__id").withColumn("__copy", F.lit(False))
+    ).drop("__id")
     hit = stored(marks.select("doc_id").unionByName(copied), "suffix-hit", n)
-    no_marks = F.lit(None).cast(marks.schema["marks"].dataType)
     untouched = docs.where(F.col("doc_id").isNull()).unionByName(
         chosen(docs.where(F.col("doc_id").isNotNull()), hit, "left_anti")
     )
-    rows = with_marks.unionByName(
-        untouched.withColumns({"__marks": no_marks, "__copy": F.lit(False)})
-    ).unionByName(
-        chosen(docs, copied, "left_semi").withColumns({"__marks": no_marks, "__copy": F.lit(True)})
-    )
+    data = F.coalesce(F.col("text").cast("binary"), F.lit("").cast("binary"))
+    size, nothing = F.length(data).cast("long"), F.lit(0).cast("long")
+    untouched = untouched.withColumns(dict(zip(new, (size, nothing, nothing, data))))
+    # A copy loses all, if it is long enough to hold a string.
+    gone = F.length(data) >= LENGTH
+    copied_rows = chosen(docs, copied, "left_semi").withColumns(dict(zip(new, (
+        size, F.when(gone, size).otherwise(nothing), gone.cast("long"),
+        F.when(gone, F.lit("").cast("binary")).otherwise(data),
+    ))))
+    whole = untouched.unionByName(copied_rows).withColumn("text", F.col(new[-1]).cast("string"))
     schema = docs.select(*[
         F.lit("").alias("text") if name == "text" else F.col(f"`{name}`") for name in names
     ]).schema
@@ -606,8 +612,6 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
             for part, data, starts in runs_of(batch, batch.schema.get_field_index("text")):
                 gone = removed(data, starts, part.column("__marks"))
                 size = np.diff(starts)
-                copy = part.column("__copy").to_numpy(zero_copy_only=False) & (size >= LENGTH)
-                gone |= np.repeat(copy, size)
                 # A run opens where the byte before, in the same text, stays.
                 opens = gone.copy()
                 opens[1:] &= ~gone[:-1]
@@ -623,6 +627,5 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
                 columns += [pa.array(x.astype(np.int64)) for x in (size, lost, spans)]
                 yield pa.RecordBatch.from_arrays([*columns, kept], [*names, *new])
 
-    return rows.select(*[F.col(f"`{n}`") for n in names], "__marks", "__copy").mapInArrow(
-        run, schema
-    )
+    cut = marked.select(*[F.col(f"`{n}`") for n in names], "__marks").mapInArrow(run, schema)
+    return cut.unionByName(whole.select(*cut.columns))
