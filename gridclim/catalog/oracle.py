@@ -242,13 +242,31 @@ def color_sql() -> str:
 
 
 def map_sql() -> str:
-    hundredths = "floor(round(value, 6) * 100 + 0.5e0) / 100"
-    return sql(f""", layer AS ({layers(1999, 'year', ring=True)})
+    return sql(f""", layer AS ({layers(1999, 'year', ring=True)}),
+        sized AS (SELECT *, abs(round(value, 9)) AS size FROM layer),
+        powers AS (
+          SELECT *, CASE WHEN size > 0 THEN floor(log10(size)) END AS power FROM sized),
+        tenths AS (SELECT *, round(size / 10 ** power * 10) AS tens FROM powers),
+        needed AS (
+          SELECT *, greatest(0, coalesce(CASE WHEN tens % 10 = 0 THEN 0 ELSE 1 END
+                 - CASE WHEN tens >= 100 THEN power + 1 ELSE power END, 0)) AS decimals
+          FROM tenths),
+        shared AS (
+          SELECT *, CAST(max(decimals) OVER (PARTITION BY layer) AS INTEGER) AS places
+          FROM needed),
+        texts AS (
+          SELECT *, CASE
+            WHEN value IS NULL THEN NULL
+            WHEN layer = 'storm' THEN
+              regexp_replace(regexp_replace(printf('%.9f', round(value, 9)), '0+$', ''), '[.]$', '')
+            ELSE regexp_replace(printf('%.' || places || 'f', round(round(value, 9), places)),
+                                '^-(0([.]0*)?)$', '\\1') END AS text
+          FROM shared),
+        widths AS (SELECT *, max(length(text)) OVER (PARTITION BY layer) AS width FROM texts)
         SELECT Year, Lat, Long, layer, {r('value', 5)} AS value, geometry,
-               CASE WHEN value IS NOT NULL
-                    THEN CAST(CAST({hundredths} AS DECIMAL(18, 2)) AS VARCHAR) || suffix
-               END AS label
-        FROM layer""").replace("\n, layer AS", ",\nlayer AS", 1)
+               CASE WHEN layer = 'storm' THEN text ELSE lpad(text, CAST(width AS INTEGER), ' ') END || suffix
+                 AS label
+        FROM widths""").replace("\n, layer AS", ",\nlayer AS", 1)
 
 
 def oracle_sql(strict_days: int = STRICT_CONFIG.coverage_days) -> dict[str, str]:

@@ -15,7 +15,8 @@ PURPLE_GREEN = (
     "#d9f0d3", "#a6dba0", "#5aae61", "#1b7837", "#00441b",
 )
 
-# Layer -> (element, multiplier, divisor, half domain, palette, label suffix).
+# Layer -> (element, multiplier, divisor, half domain, palette, label suffix). Labels
+# of the first two share a format with two significant digits, the third one is not rounded.
 LAYERS = {
     "temp": ("TMAX", 1, 10, 12.0, RED_BLUE, " &#176;C"),
     "prec": ("PRCP", 1, 10, 20.0, RED_BLUE, "  mm"),
@@ -36,7 +37,29 @@ def color_class(position: Column, palette: tuple[str, ...]) -> Column:
     return F.get(anchors, step)
 
 
-def value_label(value: Column, suffix: str) -> Column:
-    """Value with two decimals and its unit; NULL stays NULL, so labels stay on their rows."""
-    hundredths = F.floor(F.round(value, 6) * F.lit(100) + F.lit(0.5))
-    return F.concat((hundredths / F.lit(100)).cast("decimal(18,2)").cast("string"), F.lit(suffix))
+def decimals_needed(value: Column) -> Column:
+    """Decimals that show two significant digits of a value, without a closing zero."""
+    size = F.abs(F.round(value, 9))
+    power = F.floor(F.log10(F.when(size > 0, size)))
+    tenths = F.round(size / F.pow(F.lit(10.0), power) * F.lit(10))
+    # Two digits, as 99.6 becomes 100, or one if the second is zero.
+    power = F.when(tenths >= 100, power + 1).otherwise(power)
+    digits = F.when(tenths % 10 == 0, 1).otherwise(2)
+    return F.greatest(F.coalesce(digits - 1 - power, F.lit(0)), F.lit(0)).cast("int")
+
+
+def common_format(value: Column, decimals: Column) -> Column:
+    """Value with a number of decimals that all values of a layer share. A value halfway between
+    two, once noise of the summation is gone, goes away from zero."""
+    pattern = F.concat(F.lit("%."), decimals, F.lit("f"))
+    text = F.call_function("format_string", pattern, F.round(value, 9))
+    return F.when(value.isNotNull(), F.regexp_replace(text, "^-(0(?:[.]0*)?)$", "$1"))
+
+
+def plain_number(value: Column) -> Column:
+    """Value as it is, up to the ninth decimal, where noise of the summation begins."""
+    text = F.round(value, 9).cast("decimal(28,9)").cast("string")
+    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), "[.]$", "")
+
+
+ROUNDED_LAYERS = ("temp", "prec")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SEGMENTS
 from ..functions.geojson import point
-from ..functions.scales import LAYERS, color_class, scale_position, value_label
+from ..functions.scales import (
+    LAYERS, ROUNDED_LAYERS, color_class, common_format, decimals_needed, plain_number,
+    scale_position,
+)
 
 
 def year_lookup(wide: DataFrame, year: int, segment: str) -> DataFrame:
@@ -22,7 +25,9 @@ def year_lookup(wide: DataFrame, year: int, segment: str) -> DataFrame:
 
 
 def map_layer(wide: DataFrame, polygons: DataFrame, year: int, segment: str) -> DataFrame:
-    """One row per tile and layer with value in display units, label and geometry. Temperatures
+    """One row per tile and layer with value in display units, label and geometry. Labels of
+    temperature and rain have the decimals that show two significant digits of every value, and one
+    width; a missing value has none. Temperatures
     are matched to their polygon by (Year, Lat, Long), and a tile without a polygon keeps its
     values; the other layers are drawn at the centre."""
     tiles = year_lookup(wide, year, segment)
@@ -42,8 +47,19 @@ def map_layer(wide: DataFrame, polygons: DataFrame, year: int, segment: str) ->
         .otherwise(F.to_json(point(F.col("Lat"), F.col("Long"))))
         .alias("geometry"),
     )
-    label = _by_layer({n: value_label(F.col("value"), spec[5]) for n, spec in LAYERS.items()})
-    return shown.withColumn("label", label)
+    # A layer holds at most one row per tile of the grid.
+    of_layer = Window.partitionBy("layer")
+    value = F.col("value")
+    shown = shown.withColumn("_text", F.when(
+        F.col("layer").isin(*ROUNDED_LAYERS),
+        common_format(value, F.max(decimals_needed(value)).over(of_layer)),
+    ).otherwise(plain_number(value)))
+    width = F.when(
+        F.col("layer").isin(*ROUNDED_LAYERS), F.max(F.length("_text")).over(of_layer)
+    ).otherwise(F.length("_text"))
+    suffix = _by_layer({name: F.lit(spec[5]) for name, spec in LAYERS.items()})
+    label = F.concat(F.lpad("_text", width, F.lit(" ")), suffix)
+    return shown.withColumn("label", label).drop("_text")
 
 
 def with_color(layer: DataFrame) -> DataFrame:

@@ -98,19 +98,36 @@ def test_layers_and_labels(spark):
     found = {(r["Lat"], r["layer"]): r for r in layer.collect()}
     assert len(found) == 6
     hot = found[15, "temp"]
-    assert (hot["value"], hot["label"]) == (12.5, "12.50 &#176;C")
+    assert (hot["value"], hot["label"]) == (12.5, "13 &#176;C")
     assert hot["scale_position"] is None and hot["color_class"] is None
     assert json.loads(hot["geometry"])["type"] == "Polygon"
     rain = found[15, "prec"]
-    assert (rain["value"], rain["label"]) == (-0.3, "-0.30  mm")
+    assert (rain["value"], rain["label"]) == (-0.3, "-0.3  mm")
     assert rain["color_class"] == "#f7f7f7"
     assert json.loads(rain["geometry"]) == {"type": "Point", "coordinates": [5, 15]}
-    assert (found[25, "storm"]["value"], found[25, "storm"]["label"]) == (12.5, "12.50 Unwetter")
+    assert (found[25, "storm"]["value"], found[25, "storm"]["label"]) == (12.5, "12.5 Unwetter")
     assert found[25, "temp"]["value"] is None and found[25, "temp"]["label"] is None
     assert found[25, "temp"]["color_class"] is None
     assert found[15, "storm"]["label"] is None
 
 
+@pytest.mark.parametrize("raw, labels", [
+    ([125.0, -7.0, 3.04], ["12.5", "-0.7", " 0.3"]),
+    ([996.0, 5.0, 0.0], ["99.6", " 0.5", " 0.0"]),
+    ([1234.0, -250.0, None], ["123", "-25", None]),
+    ([0.1, 0.123, 100.0], [" 0.010", " 0.012", "10.000"]),
+])
+def test_labels_share_a_format(spark, raw, labels):
+    """As many decimals as two significant digits of every value need, and one width."""
+    rows = [(1917, 5, 10 * n + 5) for n in range(3)]
+    values = F.element_at(F.array(*[F.lit(v).cast("double") for v in raw]),
+                          ((F.col("Long") - 5) / 10 + 1).cast("int"))
+    given = wide(spark, rows).withColumn("PRCP_year", values)
+    layer = map_layer(given, tile_polygons(given, 10), 1917, "year").where("layer = 'prec'")
+    found = [r["label"] for r in layer.orderBy("Long").collect()]
+    assert found == [None if x is None else x + "  mm" for x in labels]
+
+
 def test_a_tile_without_polygon_keeps_its_values(spark):
     given = wide(spark, [(1917, 15, 5)])
     layer = map_layer(given, tile_polygons(given, 10).limit(0), 1917, "winter")
