@@ -45,9 +45,12 @@ def tiled_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.tiled_observations(
-        inputs.observations(spark, sf_dir), tiled_stations(spark, sf_dir)
-    )
+    return on_tiles(spark, sf_dir, inputs.observations(spark, sf_dir))
+
+
+def on_tiles(spark: SparkSession, sf_dir: str, observations: DataFrame) -> DataFrame:
+    listed = tiled_stations(spark, sf_dir)
+    return op.tiled_observations(observations, listed, op.fits_broadcast(listed))
 
 
 def climate(spark: SparkSession, sf_dir: str, config=CONFIG, stage_path=None) -> ClimateTables:
@@ -115,7 +118,7 @@ def observation_files(spark, sf_dir):
     """Yearly CSV files, read with their fixed schema, up to the daily values."""
     path = _write_yearly_csv(spark, sf_dir, "observations", F.col("Date"))
     read = sources.read_observations(spark, path)
-    daily = op.daily_tile_values(op.tiled_observations(read, tiled_stations(spark, sf_dir)))
+    daily = op.daily_tile_values(on_tiles(spark, sf_dir, read))
     return rounded(daily, "Value")
 
 
@@ -191,7 +194,7 @@ def restrict_to_tiles(spark, sf_dir):
 def station_count(spark, sf_dir):
     rows = tiled(spark, sf_dir)
     counts = keep_stage(spark, lambda: op.station_counts(rows), scratch_path(spark, "counts"))
-    return op.with_station_count(rows, counts)
+    return op.with_station_count(rows, counts, op.fits_broadcast(counts))
 
 
 @query

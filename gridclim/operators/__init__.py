@@ -7,8 +7,9 @@ from .coverage import (
     tiles_active_in,
 )
 from .daily import (
-    daily_from_facts, daily_from_sums, daily_storm_rate, daily_tile_mean, daily_tile_values, facts_on_tiles,
-    observation_facts, station_counts, station_tiles, summed_facts, with_station_count,
+    daily_from_facts, daily_from_sums, daily_storm_rate, daily_tile_mean, daily_tile_values,
+    facts_on_tiles, observation_facts, station_counts, station_tiles, summed_facts,
+    with_station_count,
 )
 from .layers import map_layer, with_color, year_lookup
 from .lookups import BroadcastLimit, fits_broadcast, full_join_list, lookup_join

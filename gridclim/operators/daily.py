@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import MEAN_ELEMENTS, STORM
 from ..functions.elements import fold_storms
-from .lookups import BroadcastLimit, fits_broadcast, lookup_join
+from .lookups import lookup_join
 
 SUMS = ("n", "n_value", "sum_value")
 
@@ -113,15 +113,15 @@ def station_counts(tiled: DataFrame) -> DataFrame:
 
 
 def with_station_count(
-    tiled: DataFrame, counts: DataFrame, limit: BroadcastLimit = BroadcastLimit()
+    tiled: DataFrame, counts: DataFrame, broadcast: bool = False
 ) -> DataFrame:
     """Every observation with the station count of its tile and year, without its station.
 
-    ``counts`` comes from ``station_counts`` and is best stored first (``keep_stage``): it is
-    measured, and then broadcast or joined with salted keys."""
+    ``counts`` comes from ``station_counts`` and is best stored first (``keep_stage``).
+    ``broadcast`` is for counts that were found to fit (``fits_broadcast``); else the join salts
+    its keys."""
     return lookup_join(
-        tiled.drop("Station"), counts, ["Year", "Tile_Id"], ["Date", "Element", "Value"],
-        fits_broadcast(counts, limit),
+        tiled.drop("Station"), counts, ["Year", "Tile_Id"], ["Date", "Element", "Value"], broadcast
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.elements import is_accepted
 from ..sources.observations import with_year
-from .lookups import BroadcastLimit, fits_broadcast, lookup_join
+from .lookups import lookup_join
 
 
 def accepted_observations(observations: DataFrame) -> DataFrame:
@@ -22,14 +22,11 @@ def accepted_observations(observations: DataFrame) -> DataFrame:
 def tiled_observations(
     observations: DataFrame,
     tiled_stations: DataFrame,
-    broadcast: bool | None = None,
-    limit: BroadcastLimit = BroadcastLimit(),
+    broadcast: bool = False,
 ) -> DataFrame:
     """Accepted observations with the tile of their station; unknown stations drop out.
 
-    ``broadcast`` None measures the station list first."""
-    if broadcast is None:
-        broadcast = fits_broadcast(tiled_stations, limit)
+    ``broadcast`` is for a station list that was found to fit (``fits_broadcast``)."""
     return lookup_join(
         accepted_observations(observations),
         tiled_stations.withColumnRenamed("Id", "Station"),

@@ -97,8 +97,8 @@ def test_salted_join_keeps_every_row(spark, tiled_list):
     assert rows(one, *columns) == rows(other, *columns)
     counts = station_counts(one)
     columns = ("Date", "Element", "Value", "Tile_Id", "Station_count")
-    assert rows(with_station_count(one, counts), *columns) == rows(
-        with_station_count(one, counts, BroadcastLimit(rows=0)), *columns
+    assert rows(with_station_count(one, counts, broadcast=True), *columns) == rows(
+        with_station_count(one, counts, broadcast=False), *columns
     )
 
 
