@@ -39,12 +39,12 @@ class CompressionBands:
         (128, 0.45, 1.05),
         (256, 0.50, 0.95),
         (512, 0.45, 0.85),
-        (1024, 0.43, 0.75),
-        (2048, 0.41, 0.70),
-        (4096, 0.39, 0.65),
-        (8192, 0.37, 0.62),
-        (16384, 0.35, 0.60),
-        (65536, 0.33, 0.60),
+        (1024, 0.45, 0.75),
+        (2048, 0.43, 0.70),
+        (4096, 0.41, 0.65),
+        (8192, 0.39, 0.62),
+        (16384, 0.37, 0.60),
+        (65536, 0.35, 0.60),
     )
     chunk: int = 4096
     chunk_band: tuple[float, float] = (0.40, 0.62)
