@@ -35,8 +35,8 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Ids up to which documents are chosen by a broadcast; some 16 MB.
-BROADCAST_IDS = 1_000_000
+#: Ids up to which documents are chosen by a broadcast; some 30 MB in memory.
+BROADCAST_IDS = 250_000
 
 
 def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
