@@ -46,7 +46,8 @@ def contracted(links: DataFrame) -> DataFrame:
 def _with_least(links: DataFrame) -> DataFrame:
     """Each node's links, either way, with the least node among itself and its neighbours. Minima
     are formed before rows move; adaptive execution splits the links of a node that has many."""
-    both = links.unionByName(links.select(F.col("least").alias("node"), F.col("node").alias("least")))
+    turned = links.select(F.col("least").alias("node"), F.col("node").alias("least"))
+    both = links.unionByName(turned)
     both = both.select(F.col("node").alias("u"), F.col("least").alias("v"))
     least = both.groupBy("u").agg(F.min("v").alias("m"))
     least = least.select("u", F.least("u", "m").alias("m"))

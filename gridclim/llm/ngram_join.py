@@ -159,7 +159,8 @@ def block_signatures(owner, value, sizes, band_of: np.ndarray):
     filled = cell[heads]
     signature = np.bitwise_xor.reduceat(hashes, heads) if len(heads) else hashes
     row = np.searchsorted(first + blocks, filled, side="right")
-    number = (filled - first[row]).astype(np.uint64) + (band_of[row].astype(np.uint64) << np.uint64(40))
+    band = band_of[row].astype(np.uint64) << np.uint64(40)
+    number = (filled - first[row]).astype(np.uint64) + band
     token = mix(signature ^ mix(number + np.uint64(1)))
     spare = np.bincount(row, minlength=len(sizes)) - (allowed + 1)
     short = np.flatnonzero(chosen & (spare < 0))
@@ -330,7 +331,8 @@ def near_pairs(blocks: DataFrame, best: bool) -> DataFrame:
     before."""
 
     def run(table: pa.Table) -> pa.Table:
-        columns = {n: table.column(n).to_numpy() for n in ("token", "i", "j", "own", "node", "label")}
+        names = ("token", "i", "j", "own", "node", "label")
+        columns = {name: table.column(name).to_numpy() for name in names}
         sizes, sketches = table.column("n_shingles").to_numpy(), table.column("sketch").to_pylist()
         order = np.lexsort([columns["j"], columns["i"], columns["token"]])
         key = np.stack([columns[n][order] for n in ("token", "i", "j")])

@@ -574,9 +574,9 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
 
     A byte goes if a 50-byte string that covers it also starts in a document with a smaller
     doc_id; matches never cross documents. A null or empty text stays an empty one. Rows without
-    doc_id lose nothing and take nothing from others. Rows that repeat a doc_id are one
-    document with one text and do not take from each other. An empty table gives an empty one. Extra columns come back as they are; only
-    columns named like the new ones are replaced."""
+    doc_id lose nothing and take nothing from others. Rows that repeat a doc_id are one document
+    with one text and do not take from each other. An empty table gives an empty one. Extra columns
+    come back as they are; only columns named like the new ones are replaced."""
     new = ["suffix_n_bytes", "suffix_n_removed", "suffix_n_spans", "suffix_kept"]
     docs = docs.drop(*new)
     names = docs.columns

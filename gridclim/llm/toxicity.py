@@ -8,7 +8,6 @@ most n-grams with the words it saw."""
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -193,7 +192,9 @@ def training_sample(docs: DataFrame, labels: DataFrame, t: Training) -> pd.DataF
     they are few, so the texts are met where they are read."""
     doc_id = F.col("doc_id")
     marked = (
-        labels.select(doc_id.cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+        labels.select(
+            doc_id.cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")
+        )
         .where(doc_id.isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(doc_id))
         .dropDuplicates(["doc_id"])
         .withColumn("place", F.xxhash64("doc_id"))

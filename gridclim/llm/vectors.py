@@ -9,6 +9,7 @@ Pairs with enough collisions are verified by their cosine in double precision.""
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -88,9 +89,12 @@ def cells_of(values: np.ndarray, p: Projections) -> Iterator[tuple[int, int, int
     for group in range(p.groups):
         x, y = (float(v) for v in values[3 * group : 3 * group + 2])
         yield group, math.floor(x / p.cell), math.floor(y / p.cell), 1
-        for a in range(math.floor((x - p.half) / p.cell), math.floor((x + p.half) / p.cell) + 1):
-            for b in range(math.floor((y - p.half) / p.cell), math.floor((y + p.half) / p.cell) + 1):
-                yield group, a, b, 0
+        touched = [
+            range(math.floor((v - p.half) / p.cell), math.floor((v + p.half) / p.cell) + 1)
+            for v in (x, y)
+        ]
+        for a, b in itertools.product(*touched):
+            yield group, a, b, 0
 
 
 def classes(vectors: DataFrame) -> DataFrame:
@@ -141,7 +145,9 @@ def placed(nodes: DataFrame, p: Projections) -> DataFrame:
     return nodes.mapInArrow(run, PLACED)
 
 
-def collisions(group: int, home: dict, query: dict, p: Projections) -> tuple[np.ndarray, np.ndarray]:
+def collisions(
+    group: int, home: dict, query: dict, p: Projections
+) -> tuple[np.ndarray, np.ndarray]:
     """(query, home) of the pairs of one cell that pass the count. A pair is met from its larger
     node, and only in the first group of lines in which it collides, so it is counted once."""
     third = 3 * group + 2

@@ -49,7 +49,8 @@ def test_each_id_lies_in_one_piece(spark, tokenizer, monkeypatch, packer_rows):
 def test_repeated_and_null_rows(spark):
     rows = [(1, "same words"), (1, "same words"), (None, "no id"), (None, None), (2, "")]
     pieces = pack_documents(table(spark, rows)).collect()
-    assert sorted((p.doc_id or 0, p.length) for p in pieces) == [(0, 1), (0, 3), (1, 3), (1, 3), (2, 1)]
+    found = sorted((p.doc_id or 0, p.length) for p in pieces)
+    assert found == [(0, 1), (0, 3), (1, 3), (1, 3), (2, 1)]
     assert pack_documents(table(spark, [])).count() == 0
 
 
