@@ -264,8 +264,8 @@ def map_sql() -> str:
           FROM shared),
         widths AS (SELECT *, max(length(text)) OVER (PARTITION BY layer) AS width FROM texts)
         SELECT Year, Lat, Long, layer, {r('value', 5)} AS value, geometry,
-               CASE WHEN layer = 'storm' THEN text ELSE lpad(text, CAST(width AS INTEGER), ' ') END || suffix
-                 AS label
+               CASE WHEN layer = 'storm' THEN text
+                    ELSE lpad(text, CAST(width AS INTEGER), ' ') END || suffix AS label
         FROM widths""").replace("\n, layer AS", ",\nlayer AS", 1)
 
 

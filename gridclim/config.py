@@ -30,8 +30,8 @@ CARBON_TO_CO2 = 3.667
 
 @dataclass(frozen=True)
 class ClimateConfig:
-    """What to compute. The defaults are fixed values. ``days_divisor`` is the number of days that daily coverage is measured
-    against; left out, it is the length of the baseline in years."""
+    """What to compute. The defaults are fixed values. ``days_divisor`` is the number of days that
+    daily coverage is measured against; left out, it is the length of the baseline in years."""
 
     year_start_data: int = 1917
     year_end_data: int = 2016

@@ -24,11 +24,13 @@ from .wide import attach_centres, spread_segment, wide_from_segments, wide_table
 __all__ = [
     "BroadcastLimit", "SERIES", "accepted_observations", "active_days_per_year", "active_tiles",
     "active_tiles_per_year", "anomalies", "attach_centres", "baseline_tiles", "baseline_year",
-    "daily_from_facts", "daily_from_sums", "daily_storm_rate", "daily_tile_mean", "daily_tile_values",
+    "daily_from_facts", "daily_from_sums", "daily_storm_rate", "daily_tile_mean",
+    "daily_tile_values",
     "facts_on_tiles", "feature_collections", "feature_ids", "fits_broadcast", "full_join_list",
     "global_series", "initial_tiles", "local_trend", "lookup_join", "map_layer",
     "observation_facts", "point_features", "restrict_to_tiles", "segment_means", "series_long",
-    "spread_segment", "station_counts", "summed_facts", "station_tiles", "stored_baseline", "tile_centres",
+    "spread_segment", "station_counts", "station_tiles", "stored_baseline", "summed_facts",
+    "tile_centres",
     "tile_polygons", "tile_stations", "tiled_observations", "tiles_active_in",
     "unknown_station_audit", "wide_from_segments", "wide_table", "with_centres", "with_color",
     "with_segments", "with_station_count", "year_lookup",

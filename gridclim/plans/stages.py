@@ -25,7 +25,7 @@ def keep_stage(
     table by its column Year.
 
     Every attempt writes a folder of its own. A marker names label and folder of the finished
-    attempt and is written last, so a run that dies in between leaves the earlier stage as it was."""
+    attempt and is written last, so a run that dies before leaves the earlier stage as it was."""
     done = f"{path}/done"
     finished = _finished(spark, done) if label is not None else None
     if finished is not None and finished["label"] == label:
