@@ -1,9 +1,18 @@
 """Quality rules against plain counting."""
 
+from pathlib import Path
+from pydoc_data.topics import topics
+
 import pytest
 import zstandard
 
-from gridclim.llm.quality import CompressionBands, accepted_documents, compression, quality_rules
+from gridclim.llm.quality import (
+    CompressionBands,
+    accepted_documents,
+    compression,
+    judge,
+    quality_rules,
+)
 
 from .corpus import odd_rows, table
 
@@ -80,3 +89,17 @@ def test_accepted_documents_keep_all_columns(spark):
 @pytest.mark.parametrize("run", [quality_rules, accepted_documents])
 def test_empty_table(spark, run):
     assert run(table(spark, [])).count() == 0
+
+
+def test_real_prose_is_kept():
+    rules, squeeze = CompressionBands(), zstandard.ZstdCompressor(level=3).compress
+    texts = {name: text.encode() for name, text in topics.items()}
+    texts |= {p.name: p.read_bytes() for p in Path("/usr/share/common-licenses").glob("*")}
+    judged = {name: judge(None, text, rules, squeeze) for name, text in texts.items()}
+    passed = {name: row for name, row in judged.items() if not row[6] and len(texts[name]) > 4000}
+    assert len(passed) > 20
+    assert [name for name, row in passed.items() if not row[-1]] == []
+    # Half of a text that is one passage over and over is still too much.
+    prose = texts["objects"][:8192]
+    assert judge(None, prose, rules, squeeze)[-1]
+    assert not compression(prose + prose[:300] * 28, rules, squeeze)[2]
