@@ -6,8 +6,10 @@ band, incompressible text lies above it."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +30,12 @@ WINDOW = 8
 @dataclass(frozen=True)
 class CompressionBands:
     """Limits by length. ``bands`` holds (shortest length in bytes, least ratio, largest ratio);
-    texts shorter than the first band are not judged. Full chunks of ``chunk`` bytes share one
-    band, ``chunk_band``; a text fails when more than ``odd_share`` of them lie outside.
+    texts shorter than the first band are not judged. A text is also cut into chunks, of the length
+    that ``chunks`` names for the text's (shortest length, chunk); the last chunk is what remains,
+    or joins the one before if too short to be judged. A text fails when chunks outside their limits
+    hold more than ``odd_share`` of its bytes. A full chunk of ``chunk`` bytes has ``chunk_band``;
+    shorter ones lie between the points of ``short_chunks`` (as ``bands``, and the largest ratio of
+    characters of several bytes, which have little room to repeat), by their own length.
 
     Short texts compress badly (a frame has some bytes of its own, and there is no history), so
     both limits fall with the length. Natural prose reaches 0.33, structured text 0.25 and less,
@@ -49,8 +55,38 @@ class CompressionBands:
     )
     chunk: int = 4096
     chunk_band: tuple[float, float] = (0.18, 0.62)
+    chunks: tuple[tuple[int, int], ...] = ((0, 256), (1024, 512), (4096, 4096))
+    short_chunks: tuple[tuple[int, float, float, float], ...] = (
+        (128, 0.40, 1.05, 1.07),
+        (256, 0.35, 0.93, 1.05),
+        (512, 0.28, 0.83, 0.95),
+        (1024, 0.25, 0.75, 0.85),
+        (2048, 0.24, 0.70, 0.75),
+    )
     odd_share: float = 0.25
 
+    def pieces(self, length: int) -> list[tuple[int, int]]:
+        """Where each chunk of a text of this length starts and ends."""
+        size = [chunk for least, chunk in self.chunks if length >= least][-1]
+        starts = [0, *range(size, length - self.bands[0][0] + 1, size)]
+        return list(zip(starts, [*starts[1:], length]))
+
+    @cached_property
+    def chunk_limits(self) -> np.ndarray:
+        points = (*self.short_chunks, (self.chunk, *self.chunk_band, self.chunk_band[1]))
+        return np.array(points, float).T
+
+    def odd_chunk(self, chunk: bytes, ratio: float) -> bool:
+        if len(chunk) < self.bands[0][0]:
+            return False
+        sizes, *limits = self.chunk_limits
+        at = math.log2(len(chunk))
+        least, most, wide = (np.interp(at, np.log2(sizes), limit) for limit in limits)
+        if ratio > most and wide > most:
+            long_characters = sum(byte >= 0x80 for byte in chunk) / len(chunk)
+            most += min(1, 2 * long_characters) * (wide - most)
+        return not least <= ratio <= most
+
 
 def repeated_words(words: list[bytes]) -> int:
     """Words that lie in a window of eight words found twice or more."""
@@ -71,16 +107,15 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def compression(text: bytes, rules: CompressionBands, squeeze) -> tuple[float, float, bool]:
-    """Ratio of the whole text, share of full chunks outside their band, and the verdict."""
+    """Ratio of the whole text, share of its bytes in chunks outside their limits, the verdict."""
     if not text:
         return 0.0, 0.0, True
     ratio = len(squeeze(text)) / len(text)
-    low, high = rules.chunk_band
-    chunks = range(0, len(text) - rules.chunk + 1, rules.chunk)
-    odd = sum(
-        not low <= len(squeeze(text[at : at + rules.chunk])) / rules.chunk <= high for at in chunks
-    )
-    share = odd / max(len(chunks), 1)
+    odd = 0
+    for start, end in rules.pieces(len(text)):
+        piece = text[start:end]
+        odd += len(piece) * rules.odd_chunk(piece, len(squeeze(piece)) / len(piece))
+    share = odd / len(text)
     limits = [(least, most) for length, least, most in rules.bands if len(text) >= length]
     inside = not limits or limits[-1][0] <= ratio <= limits[-1][1]
     return ratio, share, inside and share <= rules.odd_share

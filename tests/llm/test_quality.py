@@ -1,5 +1,7 @@
 """Quality rules against plain counting."""
 
+import base64
+import random
 from pathlib import Path
 from pydoc_data.topics import topics
 
@@ -103,3 +105,18 @@ def test_real_prose_is_kept():
     prose = texts["objects"][:8192]
     assert judge(None, prose, rules, squeeze)[-1]
     assert not compression(prose + prose[:300] * 28, rules, squeeze)[2]
+
+
+@pytest.mark.parametrize("clean, junk", [(8192, 4090), (4096, 2500), (1800, 1200), (900, 500)])
+def test_tails_and_short_texts_are_judged_in_chunks(clean, junk):
+    rules, squeeze = CompressionBands(), zstandard.ZstdCompressor(level=3).compress
+    prose = topics["objects"].encode()
+    noise = base64.b64encode(random.Random(4).randbytes(junk))[:junk]
+    assert compression(prose[: clean + junk], rules, squeeze)[1:] == (0, True)
+    for text in (prose[:clean] + noise, prose[:clean] + prose[:20] * (junk // 20)):
+        _, odd, kept = compression(text, rules, squeeze)
+        assert odd > rules.odd_share and not kept
+    # All bytes lie in one chunk each.
+    for length in (1, 127, 128, 300, 383, 384, 1024, 4095, 4096, 4223, 4224, 12282):
+        pieces = rules.pieces(length)
+        assert [0, *(end for _, end in pieces)] == [*(start for start, _ in pieces), length]
