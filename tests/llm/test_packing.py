@@ -54,6 +54,21 @@ def test_repeated_and_null_rows(spark):
     assert pack_documents(table(spark, [])).count() == 0
 
 
+def test_added_tokens_are_ids_of_the_library(spark):
+    default = Tokenizer.from_file(VOCABULARY)
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", f"{end}{end}", f"  {end}\n\n{end}  x", f"it's{end}'s", f"<{end}>", end[:-1]]
+    texts += [f"one \t{end} two" * 400, "\x1c\x85  ok <|endoftext|> it's", "<|endoftext |>"]
+    pieces = pack_documents(table(spark, list(enumerate(texts)))).collect()
+    for doc_id, text in enumerate(texts):
+        ids = default.encode(text, add_special_tokens=False).ids + [0]
+        own = [p for p in pieces if p.doc_id == doc_id]
+        assert sum(p.length for p in own) == len(ids)
+        for piece in own:
+            part = np.array(ids[piece.start : piece.start + piece.length], "<u4").tobytes()
+            assert (zlib.crc32(part), piece.doc_tokens) == (piece.ids_crc32, len(ids))
+
+
 def plain(lengths, capacity):
     """Tries every place and recounts the sum of squares."""
     levels, chosen, offsets = [], [], []
