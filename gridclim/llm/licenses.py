@@ -32,7 +32,8 @@ BASE = {"mit license": "mit", "apache license": "apache", "general public licens
 #: label: (keyword, regular expression of the name, versions). Names are words without licence;
 #: a version's closing 0 may be left out in a text.
 FAMILIES = {
-    "mit": ("mit", "(?:mit|expat|mit x11)", ()),
+    "mit": ("mit", "mit(?: x11)?", ()),
+    "mit-short": ("expat", "expat", ()),
     "apache": ("apache", "apache(?: software)?", ("1 0", "1 1", "2 0")),
     "gpl": ("general public", "(?:gnu )?general public", ("1 0", "2 0", "3 0")),
     "gpl-short": ("gpl", "gpl", ("1 0", "2 0", "3 0")),
@@ -71,6 +72,15 @@ FAMILIES = {
     "proprietary": ("proprietary", "proprietary", ()),
 }
 
+#: Families whose name alone tells of a licence; other names are also those of firms, programs and
+#: places. A longer name of this list is not also its beginning.
+ALONE = (
+    "gpl-short", "lgpl-short", "agpl-short", "cc-by", "cc-by-sa", "cc-by-nc", "cc-by-nd",
+    "cc-by-nc-sa", "cc-by-nc-nd", "cc0", "creative-commons", "unlicense", "wtfpl", "public-domain",
+    "all-rights-reserved", "proprietary",
+)
+LONGER = {"cc-by": "(?! (?:sa|nc|nd) )", "cc-by-nc": "(?! (?:sa|nd) )"}
+
 GRANT = (
     "(?:licen[cs]ed|released|distributed|available|provided|published|covered) under"
     " (?:the )?(?:terms of )?(?:the )?"
@@ -93,12 +103,14 @@ def rules() -> list[Rule]:
         found.append(Rule(1, label, keyword, f"{GRANT}{name}{LICENSE}", 0.95))
         found.append(Rule(1, label, keyword, f"spdx licen[cs]e identifier {name}", 0.95))
         found.append(Rule(3, label, keyword, f"{name} licen[cs]e", 0.6))
+        if family in ALONE:
+            found.append(Rule(4, label, keyword, name + LONGER.get(family, ""), 0.3))
     return [
         Rule(r.kind, r.label, r.keyword, f"(?<= ){r.regex}(?= )", r.confidence) for r in found
     ]
 
 
-KINDS = 4
+KINDS = 5
 
 
 def words_between_blanks(text: Column) -> Column:

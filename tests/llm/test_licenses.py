@@ -53,6 +53,29 @@ def test_longer_and_earlier_rules_suppress_those_within(spark):
     assert labels(spark, "some mit words, some license").labels == ""
 
 
+def test_names_that_stand_alone(spark):
+    wanted = {
+        "All rights reserved.": ("all-rights-reserved", 0.3),
+        "This is dedicated to the public domain": ("public-domain", 0.3),
+        "proprietary and confidential software": ("proprietary", 0.3),
+        "see the UNLICENSE file": ("unlicense", 0.3),
+        "Photo: A. Person, CC BY-NC-SA": ("cc-by-nc-sa", 0.3),
+        "Photo: A. Person, CC-BY and cc by nd": ("cc-by,cc-by-nd", 0.3),
+        "released under the Expat license": ("mit", 0.95),
+        "the expat licence": ("mit", 0.6),
+        "MIT X11 license": ("mit", 0.6),
+        # Within an earlier kind, the bare name is no detection of its own.
+        "Licensed under the public domain": ("public-domain", 0.95),
+        "the GPL license": ("gpl", 0.6),
+        "GPL v2.0 or later": ("gpl-2.0", 0.8),
+        "GPL v2.0, and the GPL": ("gpl,gpl-2.0", 0.8),
+        "an expat in Boston, an apache helicopter, BSD sockets, zlib": ("", 0.0),
+    }
+    texts = list(wanted)
+    found = scan_licenses(table(spark, list(enumerate(texts)))).collect()
+    assert {texts[r.doc_id]: (r.labels, r.score) for r in found} == wanted
+
+
 def test_rules_are_many_and_native(spark):
     assert len(rules()) > 200 and len({r.regex for r in rules()}) > 200
     text = plan(scan_licenses(table(spark, odd_rows())))
