@@ -33,7 +33,7 @@ QUERY_ROWS = 500
 @dataclass(frozen=True)
 class Projections:
     """``window`` is half the width of a window in spreads of a pair at the threshold; ``lost`` is
-    the share of such pairs that the count may lose."""
+    the share of such pairs that the count may lose; ``missed`` of them are not met at all."""
 
     cosine: float = 0.98
     lines: int = 32
@@ -62,6 +62,11 @@ class Projections:
                 return count
         return self.lines
 
+    @property
+    def missed(self) -> float:
+        """The share of pairs at the threshold that collide on all three lines of no group."""
+        return (1 - self.collide**3) ** self.groups
+
     def directions(self, size: int) -> np.ndarray:
         return np.random.default_rng(self.seed).normal(size=(size, self.lines))
 

@@ -1,5 +1,7 @@
 """Embedding near duplicates against all pairs."""
 
+import math
+
 import numpy as np
 import pytest
 
@@ -94,3 +96,13 @@ def test_recall_at_the_threshold():
 
 def test_empty_table(spark):
     assert embedding_components(table(spark, [])).count() == 0
+
+
+def test_chance_of_losing_a_pair_at_the_threshold():
+    p = Projections()
+    below = sum(
+        math.comb(p.lines, k) * p.collide**k * (1 - p.collide) ** (p.lines - k)
+        for k in range(p.least_count)
+    )
+    # The figures of the README.
+    assert (f"{below:.1e}", f"{p.missed:.1e}") == ("1.2e-07", "1.8e-06")
