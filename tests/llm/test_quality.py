@@ -102,7 +102,7 @@ def test_real_prose_is_kept():
     assert len(passed) > 20
     assert [name for name, row in passed.items() if not row[-1]] == []
     # Half of a text that is one passage over and over is still too much.
-    prose = texts["objects"][:8192]
+    prose = texts["specialnames"][:8192]
     assert judge(None, prose, rules, squeeze)[-1]
     assert not compression(prose + prose[:300] * 28, rules, squeeze)[2]
 
@@ -110,7 +110,7 @@ def test_real_prose_is_kept():
 @pytest.mark.parametrize("clean, junk", [(8192, 4090), (4096, 2500), (1800, 1200), (900, 500)])
 def test_tails_and_short_texts_are_judged_in_chunks(clean, junk):
     rules, squeeze = CompressionBands(), zstandard.ZstdCompressor(level=3).compress
-    prose = topics["objects"].encode()
+    prose = topics["specialnames"].encode()
     noise = base64.b64encode(random.Random(4).randbytes(junk))[:junk]
     assert compression(prose[: clean + junk], rules, squeeze)[1:] == (0, True)
     for text in (prose[:clean] + noise, prose[:clean] + prose[:20] * (junk // 20)):
