@@ -8,7 +8,6 @@ filled are laid end to end and cut, so that one of them at most needs padding.""
 
 from __future__ import annotations
 
-import json
 import zlib
 from collections.abc import Iterator
 
@@ -16,10 +15,11 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .byte_level import ByteLevel
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 LENGTH = 1024
 #: Closes each document.
@@ -37,46 +37,20 @@ PACKED = (
 )
 
 
-def read_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
-    """Ranks of a byte-level vocabulary in JSON, in which printable characters stand for bytes:
-    themselves where printable, else the characters from 256 on, in order; and the ids of its added
-    tokens, at which a text is split before the merges."""
-    with open(path, encoding="utf-8") as file:
-        content = json.load(file)
-    added = {token["content"]: token["id"] for token in content["added_tokens"]}
-    for token in content["added_tokens"]:
-        if token["lstrip"] or token["rstrip"] or token["single_word"]:
-            raise ValueError(f"{token['content']} takes part of its surroundings")
-    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    byte_of = {chr(b): b for b in printable}
-    others = (b for b in range(256) if b not in set(printable))
-    byte_of |= {chr(256 + i): b for i, b in enumerate(others)}
-    ranks = {
-        bytes(byte_of[c] for c in token): rank
-        for token, rank in content["model"]["vocab"].items()
-        if token not in added
-    }
-    return ranks, added
-
-
 def tokenized_pieces(docs: DataFrame, packers: int, path: str = VOCABULARY) -> DataFrame:
     """The full pieces of each row and its rest, which carries its ids; all of a row's pieces go
     to one packer, chosen by doc_id and the content of the rest."""
-    vocabulary = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    with open(path, encoding="utf-8") as file:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(file.read())
     names = [field.split()[0] for field in PIECE.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, added = vocabulary.value
-        encoding = tiktoken.Encoding(
-            "byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-            special_tokens=added,
-        )
+        vocabulary_ids = ByteLevel(vocabulary.value, added=True)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoding.encode(text.as_py(), allowed_special="all")
-                ids.append(SEPARATOR)
-                coded = np.array(ids, "<u4").tobytes()
+                ids = np.append(vocabulary_ids.encode(text.as_py()), np.uint32(SEPARATOR))
+                coded = ids.astype("<u4").tobytes()
                 pieces = [coded[at : at + 4 * LENGTH] for at in range(0, len(coded), 4 * LENGTH)]
                 packer = zlib.crc32(f"{doc_id} {zlib.crc32(pieces[-1])}".encode()) % packers
                 for n, piece in enumerate(pieces):

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .alignment import align_tokens
 from .bpe import encode_and_decode
+from .fingerprints import compared_with_next
 from .licenses import scan_licenses
 from .lines import dedup_lines
 from .ngram_join import ngram_components
 from .packing import pack_documents
 from .quality import quality_rules
+from .runs import periodic_runs
 from .sharding import shard_documents
 from .suffix import dedup_passages
 from .tables import read_table
@@ -73,6 +76,54 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir))
 
 
+def looped(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) of which a tenth, chosen by a hash of doc_id, repeat a stretch of
+    their words to the end. Without doc_id a text stays as it is."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    seed = F.floor(hashed / 10)
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    chosen = docs.select("doc_id", "text", (hashed % 10 == 0).alias("chosen"), seed.alias("seed"))
+    chosen = chosen.withColumn("words", F.when(F.col("chosen"), words))
+    n = F.size("words")
+    counted = chosen.withColumn("n", F.when(n > 0, n)).withColumn("a", F.col("seed") % F.col("n"))
+    rest = F.col("n") - F.col("a")
+    period = (F.floor(rest / (3 + F.col("seed") % 8)) + 1).cast("int")
+    root = F.slice("words", (F.col("a") + 1).cast("int"), period)
+    times = F.ceil(rest / period).cast("int")
+    repeated = F.slice(F.flatten(F.array_repeat(root, times)), F.lit(1), rest.cast("int"))
+    first = F.slice("words", F.lit(1), F.col("a").cast("int"))
+    text = F.coalesce(F.array_join(F.concat(first, repeated), " "), "text")
+    return counted.select("doc_id", text.alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(looped(documents(spark, sf_dir)))
+    line = F.transform(
+        "runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    )
+    lines = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    exponent = F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        exponent.cast("long").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = align_tokens(documents(spark, sf_dir), digest=True)
+    return found.withColumn("groups_sha256", F.col("aligned").cast("string")).drop("aligned")
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compared_with_next(documents(spark, sf_dir))
+
+
 QUERIES = {
     run.__name__: run
     for run in (
@@ -86,5 +137,8 @@ QUERIES = {
         op8_quality_rules,
         op9_toxicity,
         op10_packing,
+        op11_periodic_runs,
+        op12_token_alignment,
+        op13_fingerprints,
     )
 }

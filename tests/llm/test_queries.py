@@ -20,6 +20,9 @@ COLUMNS = {
     "op8": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op9": "doc_id held_out score predicted",
     "op10": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op11": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
+    "op12": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
 }
 
 
