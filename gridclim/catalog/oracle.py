@@ -371,12 +371,13 @@ def oracle_sql(strict_days: int = STRICT_CONFIG.coverage_days) -> dict[str, str]
     }
     for name in (
         "yearly_anomalies", "wide_full_join", "restarted_anomalies", "streamed_increments",
-        "generated_result", "generated_with_saved_baseline",
+        "generated_result", "generated_with_saved_baseline", "corrected_increment",
     ):
         queries[name] = sql(wide)
     queries["rerun_replaces_result"] = sql(f"{wide} WHERE Year <= 1999")
     queries["saved_baseline"] = queries["daily_anomaly"]
     queries["yearly_anomalies_strict"] = sql(wide, **strict)
+    queries["late_baseline_year"] = queries["yearly_anomalies_strict"]
     # The last year keeps the values that were written first.
     kept = ", ".join(
         f"{r(f'CASE WHEN Year = 2001 THEN {m} + 1 ELSE {m} END')} AS {m}" for m in MEASURES

@@ -359,6 +359,37 @@ def streamed_increments(spark, sf_dir):
     return rounded(sources.read_result(spark, result), *MEASURES)
 
 
+def increments(spark, sf_dir, baseline, config=CONFIG) -> YearlyIncrements:
+    return YearlyIncrements(
+        spark, tiled_stations(spark, sf_dir), baseline, scratch_path(spark, "store"),
+        scratch_path(spark, "result"), config,
+    )
+
+
+@query
+def corrected_increment(spark, sf_dir):
+    """A year that is delivered with wrong values first, and again with the right ones."""
+    incoming, progress = scratch_path(spark, "incoming"), scratch_path(spark, "progress")
+    rows = inputs.observations(spark, sf_dir)
+    wrong = F.when(F.col("Year") == 1999, F.col("Value") + 100).otherwise(F.col("Value"))
+    held = increments(spark, sf_dir, climate(spark, sf_dir).baseline)
+    for n, delivery in enumerate((rows.withColumn("Value", wrong), rows.where("Year = 1999"))):
+        _write_by_year_csv(delivery, f"{incoming}/{n}", F.col("Date"))
+        held.start(f"{incoming}/*/*", progress, files_per_batch=100).awaitTermination()
+    return rounded(sources.read_result(spark, held.result), *MEASURES)
+
+
+@query
+def late_baseline_year(spark, sf_dir):
+    """A year of the baseline span that comes last: baseline and considered tiles follow it."""
+    held = increments(spark, sf_dir, None, STRICT_CONFIG)
+    rows = inputs.observations(spark, sf_dir)
+    late = F.col("Year") == STRICT_CONFIG.year_start_baseline + 1
+    for n, condition in enumerate((~late, late)):
+        held.update(rows.where(condition).drop("Year"), n)
+    return rounded(sources.read_result(spark, held.result), *MEASURES)
+
+
 @query
 def exported_table(spark, sf_dir):
     """The wide table as CSV export, read back."""
@@ -497,11 +528,14 @@ def color_scale(spark, sf_dir):
 def _write_yearly_csv(spark, sf_dir, name, filed_under) -> str:
     """The observations as headerless CSV in one folder per year."""
     path = scratch_path(spark, name)
-    rows = inputs.observations(spark, sf_dir)
+    _write_by_year_csv(inputs.observations(spark, sf_dir), path, filed_under)
+    return path
+
+
+def _write_by_year_csv(rows: DataFrame, path: str, filed_under: Column) -> None:
     (
         rows.withColumn("Year", year_of(filed_under))
         .hint("rebalance", F.col("Year"))
         .write.partitionBy("Year")
         .csv(path)
     )
-    return path

@@ -4,7 +4,7 @@ from .anomaly import anomalies
 from .baseline import baseline_tiles, baseline_year, stored_baseline
 from .coverage import (
     active_days_per_year, active_tiles, active_tiles_per_year, initial_tiles, restrict_to_tiles,
-    tiles_active_in,
+    tiles_active_in, tiles_of_active_days,
 )
 from .daily import (
     daily_from_facts, daily_from_sums, daily_storm_rate, daily_tile_mean, daily_tile_values,
@@ -13,6 +13,7 @@ from .daily import (
 )
 from .layers import map_layer, with_color, year_lookup
 from .lookups import BroadcastLimit, fits_broadcast, full_join_list, lookup_join
+from .maintained import baseline_of_state, baseline_state, changed_tiles, merged_states
 from .observe import accepted_observations, tiled_observations, unknown_station_audit
 from .polygons import feature_collections, feature_ids, point_features, tile_polygons
 from .segments import segment_means, with_segments
@@ -23,15 +24,16 @@ from .wide import attach_centres, spread_segment, wide_from_segments, wide_table
 
 __all__ = [
     "BroadcastLimit", "SERIES", "accepted_observations", "active_days_per_year", "active_tiles",
-    "active_tiles_per_year", "anomalies", "attach_centres", "baseline_tiles", "baseline_year",
+    "active_tiles_per_year", "anomalies", "attach_centres", "baseline_of_state", "baseline_state", "baseline_tiles",
+    "baseline_year", "changed_tiles",
     "daily_from_facts", "daily_from_sums", "daily_storm_rate", "daily_tile_mean",
     "daily_tile_values",
     "facts_on_tiles", "feature_collections", "feature_ids", "fits_broadcast", "full_join_list",
-    "global_series", "initial_tiles", "local_trend", "lookup_join", "map_layer",
+    "global_series", "initial_tiles", "local_trend", "lookup_join", "map_layer", "merged_states",
     "observation_facts", "point_features", "restrict_to_tiles", "segment_means", "series_long",
     "spread_segment", "station_counts", "station_tiles", "stored_baseline", "summed_facts",
     "tile_centres",
     "tile_polygons", "tile_stations", "tiled_observations", "tiles_active_in",
-    "unknown_station_audit", "wide_from_segments", "wide_table", "with_centres", "with_color",
+    "tiles_of_active_days", "unknown_station_audit", "wide_from_segments", "wide_table", "with_centres", "with_color",
     "with_segments", "with_station_count", "year_lookup",
 ]

@@ -53,14 +53,19 @@ def initial_tiles(days: DataFrame, config: ClimateConfig) -> DataFrame:
     The first-year condition rides along in the count, which spares the self-join of
     ``tiles_active_in``."""
     first, last = config.year_start_baseline, config.year_end_baseline
-    tile_years = active_tiles_per_year(
-        days.where(F.col("Year").between(first, last)),
-        config.coverage_days,
-        config.coverage_threshold,
+    return tiles_of_active_days(
+        active_days_per_year(days.where(F.col("Year").between(first, last))), config
     )
+
+
+def tiles_of_active_days(active_days: DataFrame, config: ClimateConfig) -> DataFrame:
+    """``initial_tiles`` from the number of active days per tile and year of the baseline."""
+    first = config.year_start_baseline
+    reached = F.col("Count") / F.lit(config.coverage_days) >= F.lit(config.coverage_threshold)
     share = F.col("Count") / F.lit(config.year_span_baseline)
     return (
-        tile_years.groupBy("Tile_Id")
+        active_days.where(reached)
+        .groupBy("Tile_Id")
         .agg(
             F.count(F.lit(1)).alias("Count"),
             F.bool_or(F.col("Year") == first).alias("Since_first"),

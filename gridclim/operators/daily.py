@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,11 +14,13 @@ from .lookups import lookup_join
 SUMS = ("n", "n_value", "sum_value")
 
 
-def observation_facts(accepted: DataFrame) -> DataFrame:
-    """One row per accepted observation in a form that can be summed in any number of steps."""
+def observation_facts(accepted: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """One row per accepted observation in a form that can be summed in any number of steps; the
+    columns of ``also`` stay."""
     kept = [c for c in ("Station", "Year", "Date", "Tile_Id") if c in accepted.columns]
     return accepted.select(
         *kept,
+        *also,
         fold_storms(F.col("Element")).alias("Element"),
         F.lit(1).cast("bigint").alias("n"),
         F.col("Value").isNotNull().cast("bigint").alias("n_value"),
@@ -24,15 +28,18 @@ def observation_facts(accepted: DataFrame) -> DataFrame:
     )
 
 
-def facts_on_tiles(facts: DataFrame, tiled_stations: DataFrame, broadcast: bool) -> DataFrame:
-    """Facts with the tile of their station; unknown stations drop out.
+def facts_on_tiles(
+    facts: DataFrame, tiled_stations: DataFrame, broadcast: bool, also: Sequence[str] = ()
+) -> DataFrame:
+    """Facts with the tile of their station, apart by the columns of ``also``; unknown stations drop
+    out.
 
     A station list that can be broadcast (``fits_broadcast``) meets the rows where they are read.
     A longer list needs a shuffle by station; there the rows are first summed per station, day and
     element, so that a station with very many records is small before it moves."""
     stations = tiled_stations.select(F.col("Id").alias("Station"), "Tile_Id")
     if not broadcast:
-        facts = facts.groupBy("Station", "Year", "Date", "Element").agg(*_sums())
+        facts = facts.groupBy("Station", "Year", "Date", "Element", *also).agg(*_sums())
     return lookup_join(facts, stations, ["Station"], ["Date"], broadcast, salts=1)
 
 
@@ -49,14 +56,14 @@ def daily_from_facts(facts: DataFrame) -> DataFrame:
 DAYS = ["Year", "Tile_Id", "Date", "Element"]
 
 
-def summed_facts(facts: DataFrame) -> DataFrame:
-    """Facts summed per day, tile and element, and the distinct stations per year and tile. Rows of
-    the second kind have a station and no element, the first ones the other way round. Tables of
-    this form can be put together and summed again."""
-    sets = [DAYS, ["Year", "Tile_Id", "Station"]]
+def summed_facts(facts: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Facts summed per day, tile and element, and the distinct stations per year and tile, both
+    apart by the columns of ``also``. Rows of the second kind have a station and no element, the
+    first ones the other way round. Tables of this form can be put together and summed again."""
+    sets = [[*DAYS, *also], ["Year", "Tile_Id", "Station", *also]]
     return (
         facts.where(F.col("Tile_Id").isNotNull() & F.col("Year").isNotNull())
-        .groupingSets([[F.col(c) for c in s] for s in sets], *DAYS, "Station")
+        .groupingSets([[F.col(c) for c in s] for s in sets], *DAYS, "Station", *also)
         .agg(*_sums())
     )
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,12 +12,13 @@ from ..sources.observations import with_year
 from .lookups import lookup_join
 
 
-def accepted_observations(observations: DataFrame) -> DataFrame:
-    """Quality-checked records of the wanted elements; only the columns that are used later."""
+def accepted_observations(observations: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Quality-checked records of the wanted elements; only the columns that are used later, and
+    those of ``also``."""
     return (
         with_year(observations)
         .where(is_accepted(F.col("Element"), F.col("QFlag")))
-        .select("Station", "Date", "Element", "Value", "Year")
+        .select("Station", "Date", "Element", "Value", "Year", *also)
     )
 
 

@@ -53,6 +53,38 @@ def rename_path(spark: SparkSession, path: str, new: str) -> None:
         raise OSError(f"{path} cannot become {new}")
 
 
+def list_path(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies directly in a folder."""
+    system, located = _located(spark, path)
+    return [status.getPath().getName() for status in system.listStatus(located)]
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file as text."""
+    system, located = _located(spark, path)
+    stream = system.open(located)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that is there as a whole or not at all; one that exists is an error."""
+    part = f"{path.rpartition('/')[0]}/.{uuid.uuid4().hex}"
+    system, located = _located(spark, part)
+    stream = system.create(located)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if path_exists(spark, path) or not system.rename(
+        located, spark._jvm.org.apache.hadoop.fs.Path(path)
+    ):
+        system.delete(located, False)
+        raise FileExistsError(path)
+
+
 def files_label(spark: SparkSession, *paths: str) -> str:
     """Names the content of files: path, length and modification time of each file below
     ``paths``. It changes when one of them does."""

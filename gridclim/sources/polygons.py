@@ -6,17 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geojson import FEATURE_COLLECTION
+from ..published import is_published, published_folders
 
 
 def read_feature_collections(
     spark: SparkSession, path: str | list[str], year: int | None = None
 ) -> DataFrame:
     """One row per file; a file holds at most one feature per tile of the grid. With ``year``, only
-    the files of that year are opened; ``path`` is then the folder of ``publish_polygons``."""
-    files = spark.read.schema(FEATURE_COLLECTION).option("multiLine", True).json(path)
+    the files of that year are opened; ``path`` is then the folder of ``publish_polygons``, of
+    which the last complete version is read."""
+    reader = spark.read.schema(FEATURE_COLLECTION).option("multiLine", True)
+    if isinstance(path, str) and is_published(spark, path):
+        _, folders = published_folders(spark, path)
+        files = reader.option("basePath", path).json(folders)
+    else:
+        files = reader.json(path)
     if year is not None:
         files = files.where(F.col("Year") == year)
-    return files.drop("Year")
+    return files.drop("Year", "version")
 
 
 def explode_features(collections: DataFrame) -> DataFrame:

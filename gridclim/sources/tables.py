@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import MEASURES
+from ..published import is_published, read_published
 
 RESULT_SCHEMA = ", ".join([f"{m} DOUBLE" for m in MEASURES] + ["Lat INT", "Long INT", "Year INT"])
 DAILY_SCHEMA = "Date STRING, Element STRING, Tile_Id STRING, Value DOUBLE"
@@ -21,8 +22,9 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_result(spark: SparkSession, path: str) -> DataFrame:
-    """The wide table, stored by Year; a filter on Year reads only that year."""
-    return spark.read.parquet(path)
+    """The wide table, stored by Year; a filter on Year reads only that year. Of a published table
+    this is the last complete version."""
+    return read_published(spark, path) if is_published(spark, path) else spark.read.parquet(path)
 
 
 def read_result_csv(spark: SparkSession, path: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """New yearly files, one after the other: each run takes the files that arrived since the last
-one and brings the affected years of the result up to date."""
+one and brings the affected years of the result up to date. A file that is delivered again takes
+the place of its earlier delivery."""
 
 from __future__ import annotations
 
 import functools
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,32 +14,45 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import ClimateConfig
 from ..operators.anomaly import anomalies
+from ..operators.coverage import active_days_per_year, restrict_to_tiles, tiles_of_active_days
 from ..operators.daily import (
     daily_from_sums, facts_on_tiles, observation_facts, summed_facts,
 )
 from ..operators.lookups import fits_broadcast
+from ..operators.maintained import (
+    STATE_SCHEMA, baseline_of_state, baseline_state, changed_tiles, merged_states,
+)
 from ..operators.observe import accepted_observations
 from ..operators.wide import wide_table, with_centres
 from ..plans.stages import keep_stage
-from ..session import path_exists, remove_path, scratch_path
-from ..sinks.tables import write_by_year
+from ..published import is_published, publish_by_year, read_pointer, read_published, write_pointer
+from ..session import list_path, path_exists, remove_path, scratch_path
 from ..sources.observations import OBSERVATION_SCHEMA
+from .deliveries import delivery_of, received, sums_that_count, with_years
 
 SUMS_SCHEMA = (
     "Tile_Id STRING, Date STRING, Element STRING, Station STRING, n BIGINT, n_value BIGINT,"
     " sum_value BIGINT, Year INT, batch BIGINT"
 )
+DAILY_SCHEMA = "Date STRING, Element STRING, Tile_Id STRING, Value DOUBLE, Year INT"
+DAYS_SCHEMA = "Tile_Id STRING, Count BIGINT, Year INT"
 
 
 @dataclass(frozen=True)
 class YearlyIncrements:
     """Keeps the sums of accepted observations under ``store`` and the wide table under ``result``.
 
-    ``baseline`` is a finished baseline year; ``tiled_stations`` comes from ``tile_stations``."""
+    ``baseline`` is a finished baseline year, or None: then the baseline and the considered tiles
+    are kept up to date as well, and follow a year of their span that comes late or is corrected.
+    ``tiled_stations`` comes from ``tile_stations``.
+
+    What counts is named by a pointer under ``store`` that is written last: the deliveries and, with
+    a baseline of its own, the folders of the daily values, the days with records and the state of
+    the baseline. A run that dies before leaves the store as it was, and its batch is repeated."""
 
     spark: SparkSession
     tiled_stations: DataFrame
-    baseline: DataFrame
+    baseline: DataFrame | None
     store: str
     result: str
     config: ClimateConfig = ClimateConfig()
@@ -48,6 +63,10 @@ class YearlyIncrements:
             self.spark.readStream.schema(OBSERVATION_SCHEMA)
             .option("maxFilesPerTrigger", files_per_batch)
             .csv(incoming)
+            .select(
+                "*", F.col("_metadata.file_path").alias("file"),
+                F.col("_metadata.file_modification_time").alias("modified"),
+            )
         )
         return (
             files.writeStream.foreachBatch(self.update)
@@ -57,57 +76,214 @@ class YearlyIncrements:
         )
 
     @functools.cached_property
-    def _lookups(self) -> tuple[DataFrame, bool, DataFrame]:
+    def _lookups(self) -> tuple[DataFrame, bool, DataFrame | None]:
         """The station list, whether it fits a broadcast, and the baseline, found out and stored
         once for all batches."""
         tiled = keep_stage(
             self.spark, lambda: self.tiled_stations, scratch_path(self.spark, "stations")
         )
-        baseline = keep_stage(
+        baseline = None if self.baseline is None else keep_stage(
             self.spark, lambda: self.baseline, scratch_path(self.spark, "baseline")
         )
         return tiled, fits_broadcast(tiled), baseline
 
     def update(self, batch: DataFrame, batch_id: int) -> None:
-        """Stores the sums of the batch and recomputes its years from all sums stored for them. The
-        batch number is part of the stored path, so a repeated batch replaces its first attempt."""
-        tiled, broadcast, baseline = self._lookups
-        facts = facts_on_tiles(
-            observation_facts(accepted_observations(batch)).where(
-                F.col("Year").between(self.config.year_start_data, self.config.year_end_data)
-            ),
-            tiled, broadcast,
+        """Stores the sums of the batch and recomputes the years that it changes. A batch that is
+        repeated takes the place of its first attempt.
+
+        Rows without a column ``file`` are a delivery of their own."""
+        pointer = read_pointer(self.spark, self.store)
+        last = pointer or {"batch": -1, "before": None, "entries": {}}
+        if batch_id < last["batch"]:
+            raise ValueError(f"batch {batch_id} comes after batch {last['batch']}")
+        before = last["before"] if batch_id == last["batch"] else last
+        before = {k: v for k, v in (before or {"entries": {}}).items() if k != "before"}
+        entries = self._store_sums(batch, batch_id, before["entries"])
+        counted, old, seen = (
+            sums_that_count(e) for e in (entries, before["entries"], last["entries"])
+        )
+        # What came and what went, also of an earlier attempt at this batch.
+        years = {
+            year for found in (old, seen)
+            for number in found.keys() ^ counted.keys()
+            for year in (found | counted)[number]
+        }
+        content = {"batch": batch_id, "entries": entries}
+        if self.baseline is None:
+            content |= self._maintained(before, counted, years)
+        elif years:
+            _, _, baseline = self._lookups
+            daily = daily_from_sums(self._sums(counted, years))
+            self._publish(anomalies(daily, baseline), years)
+        write_pointer(self.spark, self.store, content | {"before": before}, pointer)
+        self._remove_unused(content, before)
+
+    def _store_sums(self, batch: DataFrame, batch_id: int, entries: dict) -> dict:
+        """Stores the sums of each delivery; the entries that they change."""
+        if "file" in batch.columns:
+            batch = batch.withColumn("delivery", delivery_of(F.col("file")))
+        else:
+            batch = batch.withColumns({
+                "delivery": F.lit(f"batch-{batch_id}"), "modified": F.lit(None).cast("timestamp")
+            })
+        # At most the files of a batch.
+        delivered = [
+            row["delivery"] for row in
+            batch.groupBy("delivery").agg(F.max("modified").alias("modified"))
+            .orderBy("modified", "delivery").collect()
+        ]
+        entries, numbers = received(entries, delivered)
+        if not numbers:
+            return entries
+        numbered = self.spark.createDataFrame(
+            list(numbers.items()), "delivery STRING, batch BIGINT"
         )
-        sums = summed_facts(facts).withColumn("batch", F.lit(batch_id))
-        before = self._stored()
-        touched = [] if before is None else _years(before.where(F.col("batch") == batch_id))
-        # An earlier attempt may have held years that this one does not.
-        for year in touched:
-            remove_path(self.spark, f"{self.store}/Year={year}/batch={batch_id}")
+        tiled, broadcast, _ = self._lookups
+        accepted = accepted_observations(
+            batch.join(F.broadcast(numbered), "delivery"), also=["batch"]
+        )
+        wanted = F.col("Year").between(self.config.year_start_data, self.config.year_end_data)
+        if self.baseline is None:
+            wanted |= F.col("Year").between(
+                self.config.year_start_baseline, self.config.year_end_baseline
+            )
+        facts = observation_facts(accepted.where(wanted), also=["batch"])
         (
-            sums.hint("rebalance", F.col("Year"))
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
+            summed_facts(facts_on_tiles(facts, tiled, broadcast, also=["batch"]), also=["batch"])
+            .hint("rebalance", "Year", "batch")
+            .write.mode("append")
             .partitionBy("Year", "batch")
             .parquet(self.store)
         )
-        stored = self._stored()
-        if stored is None:
-            return
-        # At most the years of the configuration; as constants they select folders of the store.
-        years = sorted({*touched, *_years(stored.where(F.col("batch") == batch_id))})
-        daily = daily_from_sums(stored.where(F.col("Year").isin(years)))
-        wide = with_centres(wide_table(anomalies(daily, baseline)), self.config.tile_size)
-        # A year without rows would keep its old ones; a batch that fails here is repeated.
-        for year in years:
-            remove_path(self.spark, f"{self.result}/Year={year}")
-        write_by_year(wide, self.result)
-
-    def _stored(self) -> DataFrame | None:
+        found: dict[str, list[int]] = {str(number): [] for number in numbers.values()}
+        for year, number in self._stored():
+            if number in found:
+                found[number].append(year)
+        return with_years(entries, found)
+
+    def _stored(self) -> list[tuple[int, str]]:
+        """Year and number of all stored sums."""
         if not path_exists(self.spark, self.store):
-            return None
-        return self.spark.read.schema(SUMS_SCHEMA).parquet(self.store)
+            return []
+        years = [n for n in list_path(self.spark, self.store) if n.startswith("Year=")]
+        return [
+            (int(year.removeprefix("Year=")), number.removeprefix("batch="))
+            for year in years
+            for number in list_path(self.spark, f"{self.store}/{year}")
+            if number.startswith("batch=")
+        ]
+
+    def _sums(self, counted: dict[str, list[int]], years: set[int]) -> DataFrame:
+        return self._read(SUMS_SCHEMA, self.store, [
+            f"{self.store}/Year={year}/batch={number}"
+            for number, own in counted.items() for year in own if year in years
+        ])
+
+    def _read(self, schema: str, base: str, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", base).parquet(*folders)
 
+    def _publish(self, differences: DataFrame, years: set[int], more: DataFrame | None = None):
+        """Replaces ``years`` in the result; ``more`` are rows of them that stay as they are."""
+        wide = with_centres(wide_table(differences), self.config.tile_size)
+        publish_by_year(wide if more is None else wide.unionByName(more), self.result, years)
 
-def _years(rows: DataFrame) -> list[int]:
-    return [r["Year"] for r in rows.select("Year").distinct().collect()]
+    # A baseline of its own
+
+    def _maintained(self, before: dict, counted: dict, years: set[int]) -> dict:
+        """Brings daily values, baseline and result up to date: of the years that changed all rows,
+        of the others those of tiles whose baseline is another now. Returns the folders."""
+        config = self.config
+        attempt = f"{self.store}/_kept/{uuid.uuid4().hex}"
+        folders = {
+            kind: {y: f for y, f in before.get(kind, {}).items() if int(y) not in years}
+            for kind in ("daily", "days")
+        }
+        fresh = keep_stage(
+            self.spark, lambda: daily_from_sums(self._sums(counted, years)), f"{attempt}/daily",
+            by_year=True,
+        )
+        days = keep_stage(
+            self.spark, lambda: active_days_per_year(fresh), f"{attempt}/days", by_year=True
+        )
+        for kind, table in (("daily", fresh), ("days", days)):
+            made = table.inputFiles()
+            folders[kind] |= {
+                path.rpartition("/Year=")[2].partition("/")[0]: path.rpartition("/")[0]
+                for path in made
+            }
+        span = range(config.year_start_baseline, config.year_end_baseline + 1)
+        replaced = self._kept(DAILY_SCHEMA, before.get("daily", {}), years & {*span})
+        old_state = self._read(STATE_SCHEMA, self.store, before.get("state", []))
+        state = keep_stage(
+            self.spark,
+            lambda: merged_states(
+                old_state, baseline_state(replaced, config, -1), baseline_state(fresh, config)
+            ),
+            f"{attempt}/state",
+        )
+        old, new = (
+            restrict_to_tiles(
+                baseline_of_state(table),
+                tiles_of_active_days(self._kept(DAYS_SCHEMA, known, {*span}), config),
+                broadcast=True,
+            )
+            for table, known in ((old_state, before.get("days", {})), (state, folders["days"]))
+        )
+        new = keep_stage(self.spark, lambda: new, f"{attempt}/baseline")
+        touched = keep_stage(
+            self.spark, lambda: changed_tiles(old, new), f"{attempt}/tiles"
+        )
+        shown = range(config.year_start_data, config.year_end_data + 1)
+        current = read_pointer(self.spark, self.result)
+        same_result = current is not None and current["number"] == before.get("result")
+        others = {int(y) for y in folders["daily"]} & {*shown} - years
+        daily = self._kept(DAILY_SCHEMA, folders["daily"], years & {*shown})
+        more = None
+        if not same_result:  # another run has published there, or this one died after it
+            daily = self._kept(DAILY_SCHEMA, folders["daily"], {*shown})
+            years = {*shown}
+        elif others and not touched.isEmpty():
+            # The grid bounds the list of tiles.
+            of_others = self._kept(DAILY_SCHEMA, folders["daily"], others)
+            daily = daily.unionByName(restrict_to_tiles(of_others, touched, broadcast=True))
+            kept = read_published(self.spark, self.result).where(F.col("Year").isin(*others))
+            more = kept.join(F.broadcast(touched), "Tile_Id", "left_anti")
+            years = years | others
+        if years & {*shown}:
+            self._publish(anomalies(daily, new), years & {*shown}, more)
+        number = None
+        if is_published(self.spark, self.result):
+            number = read_pointer(self.spark, self.result)["number"]
+        return folders | {
+            "state": [path.rpartition("/")[0] for path in state.inputFiles()[:1]],
+            "result": number,
+        }
+
+    def _kept(self, schema: str, folders: dict[str, str], years: set[int]) -> DataFrame:
+        """The kept table of some years; its rows carry their Year in the folder's name."""
+        chosen = [(int(y), folder) for y, folder in sorted(folders.items()) if int(y) in years]
+        if not chosen:
+            return self.spark.createDataFrame([], schema)
+        tables = {}
+        for _, folder in chosen:
+            tables.setdefault(folder.rpartition("/")[0], []).append(folder)
+        found = [self._read(schema, base, own) for base, own in tables.items()]
+        return functools.reduce(DataFrame.unionByName, found)
+
+    def _remove_unused(self, content: dict, before: dict) -> None:
+        """Removes sums and tables that neither this pointer nor the one before counts."""
+        counted = sums_that_count(content["entries"]) | sums_that_count(before["entries"])
+        for year, number in self._stored():
+            if number not in counted:
+                remove_path(self.spark, f"{self.store}/Year={year}/batch={number}")
+        if not path_exists(self.spark, f"{self.store}/_kept"):
+            return
+        used = " ".join(
+            folder for part in (content, before)
+            for kind in ("daily", "days") for folder in part.get(kind, {}).values()
+        ) + " ".join(content.get("state", []) + before.get("state", []))
+        for name in list_path(self.spark, f"{self.store}/_kept"):
+            if name not in used:
+                remove_path(self.spark, f"{self.store}/_kept/{name}")

@@ -1,0 +1,186 @@
+"""Corrected files, late years, and a baseline that follows them."""
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from gridclim import ClimateConfig, build_yearly_anomalies
+from gridclim.operators import (
+    baseline_of_state, baseline_state, baseline_year, changed_tiles, merged_states, tile_stations,
+)
+from gridclim.sources import read_result
+from gridclim.streaming import YearlyIncrements, increments
+from gridclim.streaming.deliveries import received, sums_that_count
+
+from helpers import daily, rows, stations
+from test_anomalies import CONFIG, STATIONS, years_of_observations
+from test_streaming import cells, lines
+
+
+def kept(spark, tmp_path, baseline=None, config=CONFIG):
+    listed = tile_stations(stations(spark, STATIONS), 10)
+    return YearlyIncrements(
+        spark, listed, baseline, str(tmp_path / "store"), str(tmp_path / "result"), config
+    )
+
+
+def batch_result(spark, seen, config=CONFIG):
+    return build_yearly_anomalies(spark, seen, stations(spark, STATIONS), config)
+
+
+def shifted(seen, condition, by=100):
+    return seen.withColumn("Value", F.when(F.expr(condition), F.col("Value") + by)
+                           .otherwise(F.col("Value")))
+
+
+def deliver(spark, folder, seen, years):
+    folder.mkdir(parents=True)
+    for year in years:
+        (folder / f"{year}.csv").write_text(lines(seen, f"Year = {year}"))
+
+
+def test_a_corrected_file_takes_the_place_of_the_first(spark, tmp_path):
+    seen = years_of_observations(spark).cache()
+    tables = batch_result(spark, seen)
+    held = kept(spark, tmp_path, tables.baseline)
+    incoming, progress = tmp_path / "incoming", str(tmp_path / "progress")
+    deliver(spark, incoming / "a", shifted(seen, "Year = 1920"), range(1917, 1922))
+    held.start(f"{incoming}/*", progress, 2).awaitTermination()
+    wrong = cells(read_result(spark, held.result))
+    assert wrong != cells(tables.wide)
+    deliver(spark, incoming / "b", seen, [1920])
+    held.start(f"{incoming}/*", progress, 2).awaitTermination()
+    assert cells(read_result(spark, held.result)) == cells(tables.wide)
+    # A third delivery with fewer rows, and with some that belong to another year.
+    moved = seen.where("Year = 1920 AND Date < '19200201'").unionByName(
+        seen.where("Date = '19190301'").withColumn("Value", F.col("Value") + 7)
+    )
+    (incoming / "c").mkdir()
+    (incoming / "c" / "1920.csv").write_text(lines(moved, "true"))
+    held.start(f"{incoming}/*", progress).awaitTermination()
+    together = seen.where("Year <> 1920").unionByName(moved)
+    assert cells(read_result(spark, held.result)) == cells(
+        with_baseline(spark, together, tables.baseline)
+    )
+
+
+def with_baseline(spark, seen, baseline):
+    return build_yearly_anomalies(
+        spark, seen, stations(spark, STATIONS), CONFIG, baseline=baseline
+    ).wide
+
+
+def test_the_later_of_two_deliveries_in_one_batch_counts(spark, tmp_path):
+    seen = years_of_observations(spark).cache()
+    tables = batch_result(spark, seen)
+    held = kept(spark, tmp_path, tables.baseline)
+    incoming = tmp_path / "incoming"
+    deliver(spark, incoming / "z", shifted(seen, "true"), [1918])
+    deliver(spark, incoming / "a", seen, [1917, 1918])
+    os.utime(incoming / "z" / "1918.csv", (1_000_000_000, 1_000_000_000))
+    held.start(f"{incoming}/*", str(tmp_path / "progress"), 10).awaitTermination()
+    assert cells(read_result(spark, held.result)) == cells(tables.wide.where("Year <= 1918"))
+
+
+def test_deliveries_by_name():
+    entries, numbers = received({}, ["x/a/1917.csv", "x/a/Year=1918"])
+    assert set(entries) == {"1917.csv", "Year=1918"} and len(set(numbers.values())) == 2
+    more, second = received(entries, ["x/a/Year=1918"])  # the rest of a delivery
+    assert len(sums_that_count(more)) == 3
+    newer, third = received(more, ["x/b/Year=1918"])
+    assert set(sums_that_count(newer)) == {
+        str(numbers["x/a/1917.csv"]), str(third["x/b/Year=1918"])
+    }
+    late, fourth = received(newer, ["x/a/Year=1918"])  # of a delivery that was replaced
+    assert (late, fourth) == (newer, {})
+    both, fifth = received({}, ["x/a/1.csv", "x/b/1.csv"])
+    assert list(fifth) == ["x/b/1.csv"] and len(sums_that_count(both)) == 1
+
+
+@pytest.mark.parametrize("step", ["publish_by_year", "write_pointer"])
+@pytest.mark.parametrize("own", [False, True])
+def test_a_batch_that_dies_is_repeated(spark, tmp_path, monkeypatch, step, own):
+    seen = years_of_observations(spark).cache()
+    tables = batch_result(spark, seen)
+    held = kept(spark, tmp_path, None if own else tables.baseline)
+    held.update(seen.where("Year <> 1918").drop("Year"), 0)
+    before = cells(read_result(spark, held.result))
+    batch = seen.where("Year = 1918").drop("Year")
+
+    def die(*_):
+        raise RuntimeError("dead")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(increments, step, die)
+        with pytest.raises(RuntimeError, match="dead"):
+            held.update(batch, 1)
+    if step == "publish_by_year":
+        assert cells(read_result(spark, held.result)) == before
+    held.update(batch, 1)
+    assert cells(read_result(spark, held.result)) == cells(tables.wide)
+    held.update(batch, 1)
+    assert cells(read_result(spark, held.result)) == cells(tables.wide)
+    with pytest.raises(ValueError, match="comes after"):
+        held.update(batch, 0)
+
+
+@pytest.mark.parametrize("last", [1917, 1918, 1921])
+def test_a_late_year_changes_the_baseline(spark, tmp_path, last):
+    seen = years_of_observations(spark).cache()
+    held = kept(spark, tmp_path)
+    held.update(seen.where(f"Year <> {last}").drop("Year"), 0)
+    first = batch_result(spark, seen.where(f"Year <> {last}"))
+    assert cells(read_result(spark, held.result)) == cells(first.wide)
+    held.update(seen.where(f"Year = {last}").drop("Year"), 1)
+    assert cells(read_result(spark, held.result)) == cells(batch_result(spark, seen).wide)
+
+
+def test_a_corrected_year_moves_the_list_of_tiles(spark, tmp_path):
+    """A tile falls below the coverage, comes back, and values change."""
+    config = ClimateConfig(1917, 1921, 1917, 2, 1.0, 10, days_divisor=2)
+    seen = years_of_observations(spark).cache()
+    held = kept(spark, tmp_path, config=config)
+    incoming, progress = tmp_path / "incoming", str(tmp_path / "progress")
+    listed = tile_stations(stations(spark, STATIONS), 10)
+    gone = [r["Id"] for r in listed.where(F.col("Tile_Id") == "9-18").collect()]
+    without = seen.where(~(F.col("Station").isin(gone) & (F.col("Year") == 1918)))
+    versions = [seen, without, shifted(seen, "Year = 1918 AND Element = 'TMAX'")]
+    lists = []
+    for n, version in enumerate(versions):
+        deliver(spark, incoming / str(n), version, range(1917, 1922) if n == 0 else [1918])
+        held.start(f"{incoming}/*", progress, 10).awaitTermination()
+        expected = batch_result(spark, version, config)
+        assert cells(read_result(spark, held.result)) == cells(expected.wide)
+        lists.append({r["Tile_Id"] for r in expected.tiles.collect()})
+    assert lists[1] < lists[0] == lists[2]
+    stored = {p.name for p in (tmp_path / "store" / "Year=1918").glob("batch=*")}
+    assert len(stored) == 2  # the one that counts, and the one before
+
+
+def test_state_of_the_baseline(spark):
+    """Years that are taken back leave nothing, NULL values are days without a value."""
+    made = [
+        (f"{year}{day}", "TMAX", "a", 0.1 * year + n / 3)
+        for year in (1917, 1918) for n, day in enumerate(("0101", "0102", "0229"))
+    ] + [("19170103", "PRCP", "a", None), ("19180104", "PRCP", "b", 1.0), ("19190101", "x", "a", 1.0)]
+    values = daily(spark, made)
+    whole = baseline_state(values, CONFIG)
+    columns = ["MonthDay", "Element", "Tile_Id", "Value_baseline"]
+    assert [
+        (*r[:3], None if r[3] is None else round(r[3], 9))
+        for r in rows(baseline_of_state(whole), *columns)
+    ] == [
+        (*r[:3], None if r[3] is None else round(r[3], 9))
+        for r in rows(baseline_year(values, CONFIG), *columns)
+    ]
+    late = values.where("Year = 1918")
+    less = merged_states(whole, baseline_state(late, CONFIG, -1))
+    first = baseline_state(values.where("Year = 1917"), CONFIG)
+    assert rows(less, *less.columns) == rows(first, *less.columns)
+    again = merged_states(less, baseline_state(late, CONFIG))
+    assert rows(again, *less.columns) == rows(whole, *less.columns)
+    assert rows(changed_tiles(baseline_of_state(whole), baseline_of_state(again)), "Tile_Id") == []
+    assert rows(changed_tiles(baseline_of_state(whole), baseline_of_state(less)), "Tile_Id") == [
+        ("a",), ("b",)
+    ]
