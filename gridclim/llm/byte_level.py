@@ -53,6 +53,9 @@ class ByteLevel:
     def __init__(self, vocabulary: str, added: bool):
         self.vocabulary, self.added = vocabulary, added
         self.ranks, tokens = parsed_vocabulary(vocabulary)
+        largest = max([*self.ranks.values(), *tokens.values()], default=0)
+        #: Bytes that any id fits in, as a number type.
+        self.width = "<u2" if largest < 1 << 16 else "<u4"
         self.encoding = tiktoken.Encoding(
             "byte-level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=self.ranks,
             special_tokens=tokens if added else {},

@@ -15,9 +15,7 @@ from .corpus import odd_rows, table
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    found = Tokenizer.from_file(VOCABULARY)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(VOCABULARY)
 
 
 @pytest.mark.parametrize("packer_rows", [packing.PACKER_ROWS, 10])
@@ -69,6 +67,31 @@ def test_added_tokens_are_ids_of_the_library(spark):
             assert (zlib.crc32(part), piece.doc_tokens) == (piece.ids_crc32, len(ids))
 
 
+@pytest.mark.parametrize("blank", [" ", "\t", "\n", "\u3000"])
+def test_long_blanks(spark, tokenizer, blank):
+    """Runs of blanks that the faster library gives up at, alone and around words."""
+    run = blank * 1_000_000
+    texts = [run, f"a{run}b", f"{run}<|endoftext|>{run[:70_000]} c", blank * 49_999 + "d"]
+    pieces = pack_documents(table(spark, list(enumerate(texts)))).collect()
+    for doc_id, text in enumerate(texts):
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        own = sorted((p for p in pieces if p.doc_id == doc_id), key=lambda p: p.start)
+        assert sum(p.length for p in own) == len(ids)
+        for piece in own:
+            part = np.array(ids[piece.start : piece.start + piece.length], "<u4").tobytes()
+            assert (zlib.crc32(part), piece.doc_tokens) == (piece.ids_crc32, len(ids))
+
+
+def test_few_ids_are_cut(monkeypatch):
+    """Of lengths like those of a corpus, sum-of-squares places most."""
+    rng = np.random.default_rng(1)
+    lengths = rng.lognormal(6.4, 0.8, packing.PACKER_ROWS).astype(int) % LENGTH
+    lengths = lengths[lengths > 0]
+    bins, _ = sum_of_squares(lengths)
+    fill = np.bincount(bins, lengths)
+    assert fill[fill < LENGTH].sum() < 0.1 * lengths.sum()
+
+
 def plain(lengths, capacity):
     """Tries every place and recounts the sum of squares."""
     levels, chosen, offsets = [], [], []
