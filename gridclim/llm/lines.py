@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import mix, stored, text_bytes
+from .tables import chosen, free_name, mix, released, stored, text_bytes
 
 BLANKS = b" \t\n\x0b\x0c\r"
 #: Keys of a shard, about; a filter of two slots a key and two bytes a slot stays near 1 MB.
@@ -166,7 +166,7 @@ def line_references(docs: DataFrame, rules: LineRules) -> DataFrame:
 
     known = docs.where(F.col("doc_id").isNotNull())
     rows = text_bytes(known, F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(run, "key binary, doc_id long")
+    return rows.mapInArrow(released(run), "key binary, doc_id long")
 
 
 def reference_counts(references: DataFrame, rules: LineRules) -> DataFrame:
@@ -330,28 +330,35 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     empty table gives an empty one. Extra columns come back as they are; only columns named like
     the two new ones are replaced."""
     state = build_state(docs, rules)
-    docs = docs.drop("line_n_lines", "line_n_dropped")
-    drops = dropped_keys(state).withColumnsRenamed(
-        {"doc_id": "__line_doc", "drop_keys": "__line_keys"}
-    )
-    joined = docs.join(drops, docs["doc_id"].cast("long") == F.col("__line_doc"), "left")
-    joined = joined.drop("__line_doc")
+    new = ["line_n_lines", "line_n_dropped"]
+    docs = docs.drop(*new)
     names = docs.columns
+    drops = stored(dropped_keys(state), "line-drops")
+    # The others keep their text, which neither moves nor leaves Spark's memory.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    n_lines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    others = docs.where(F.col("doc_id").isNull()).unionByName(
+        chosen(docs.where(F.col("doc_id").isNotNull()), drops, "left_anti")
+    ).withColumns({
+        "line_n_lines": n_lines.cast("long"), "line_n_dropped": F.lit(0).cast("long"),
+    }).withColumn("text", text)
+    drop_id, own_keys = free_name(docs, "__line_doc"), free_name(docs, "__line_keys")
+    known = drops.withColumnsRenamed({"doc_id": drop_id, "drop_keys": own_keys})
+    joined = chosen(docs, drops, "left_semi").join(
+        known, docs["doc_id"].cast("long") == known[drop_id]
+    ).drop(drop_id)
     schema = docs.select(*[
         F.lit("").alias("text") if name == "text" else F.col(f"`{name}`") for name in names
-    ]).schema.add("line_n_lines", "long").add("line_n_dropped", "long")
+    ]).schema.add(new[0], "long").add(new[1], "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, losses = [], [], []
-            keys = batch.column("__line_keys").to_pylist()
+            keys = batch.column(own_keys).to_pylist()
             for text, own in zip(batch.column("text").to_pylist(), keys):
                 lines = (text or "").encode().split(b"\n")
-                drop = set(own or ())
-                kept = [
-                    line for line in lines
-                    if not drop or long_key(line, rules.least_chars) not in drop
-                ]
+                drop = set(own)
+                kept = [line for line in lines if long_key(line, rules.least_chars) not in drop]
                 texts.append(b"\n".join(kept).decode())
                 totals.append(len(lines))
                 losses.append(len(lines) - len(kept))
@@ -359,8 +366,7 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
                 pa.array(texts, pa.string()) if name == "text" else batch.column(name)
                 for name in names
             ] + [pa.array(totals, pa.int64()), pa.array(losses, pa.int64())]
-            yield pa.RecordBatch.from_arrays(
-                columns, [*names, "line_n_lines", "line_n_dropped"]
-            )
+            yield pa.RecordBatch.from_arrays(columns, [*names, *new])
 
-    return joined.mapInArrow(run, schema)
+    cut = joined.mapInArrow(released(run), schema)
+    return cut.unionByName(others.select(*cut.columns))

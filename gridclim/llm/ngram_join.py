@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .shingles import WordHasher, runs, shingle_sets
-from .tables import bytes_and_offsets, chosen, in_files, mix, stored, text_bytes
+from .tables import (
+    bytes_and_offsets, chosen, in_files, mix, released, released_group, stored, text_bytes,
+)
 
 #: Least similarity in percent. The quarter and the ninth below follow from it.
 PERCENT = 80
@@ -137,7 +139,7 @@ def nodes(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_shingles", "node", "sketch"],
             )
 
-    return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, NODES)
+    return text_bytes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(released(run), NODES)
 
 
 def block_signatures(owner, value, sizes, band_of: np.ndarray):
@@ -196,7 +198,7 @@ def tokens(docs: DataFrame) -> DataFrame:
 
     known = docs.where(F.col("doc_id").isNotNull())
     return text_bytes(known, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(
-        run, "token long, node long, band int, spare int"
+        released(run), "token long, node long, band int, spare int"
     )
 
 
@@ -231,14 +233,14 @@ def near(pairs: DataFrame, node_table: DataFrame) -> DataFrame:
         )
         for side in "ab"
     ]
-    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(_near, "a long, b long")
+    return pairs.join(sides[0], "a").join(sides[1], "b").mapInArrow(released(_near), "a long, b long")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("left"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("right"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(_linked, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").mapInArrow(released(_linked), "a long, b long")
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +289,9 @@ def shingle_table(docs: DataFrame, node_table: DataFrame, needed: DataFrame) ->
                 ["node", "hashes"],
             )
 
-    made = texts.select("doc_id", "text", "needed").mapInArrow(run, "node long, hashes binary")
+    made = texts.select("doc_id", "text", "needed").mapInArrow(
+        released(run), "node long, hashes binary"
+    )
     return stored(made.dropDuplicates(["node"]), "ngram-sets", 100 * needed.count())
 
 
@@ -346,7 +350,8 @@ def near_pairs(blocks: DataFrame, best: bool) -> DataFrame:
         pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return blocks.groupBy("task").applyInArrow(run, "a long, b long").distinct()
+    grouped = blocks.groupBy("task")
+    return grouped.applyInArrow(released_group(run), "a long, b long").distinct()
 
 
 def compared(left, right, sizes, sketches, label, best: bool) -> tuple[list[int], list[int]]:

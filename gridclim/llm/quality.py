@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import text_bytes
+from .tables import give_back_memory, text_bytes
 
 SCHEMA = (
     "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
@@ -165,17 +165,20 @@ def quality_rules(docs: DataFrame, rules: CompressionBands = CompressionBands())
 def accepted_documents(
     docs: DataFrame, rules: CompressionBands = CompressionBands()
 ) -> DataFrame:
-    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns."""
-    place = docs.columns.index("text")
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A null or empty text goes; a null doc_id and repeated rows are judged by their text like any
+    other; an empty table gives an empty one. Only the texts leave Spark's memory, and a verdict
+    comes back; the rows themselves stay where they are."""
+
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
         squeeze = zstandard.ZstdCompressor(level=rules.level).compress
-        for batch in batches:
-            texts = (t.as_py() or "" for t in batch.column(place))
-            kept = [judge(None, text.encode(), rules, squeeze)[-1] for text in texts]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+        found = [judge(None, (t.as_py() or "").encode(), rules, squeeze)[-1] for t in texts]
+        give_back_memory()
+        return pa.array(found, pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(accepted(F.col("text").cast("string")))
 
 
 TYPES = [pa.int64()] * 6 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]

@@ -23,7 +23,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import binary_array, bytes_and_offsets, chosen, mix, stored, text_bytes
+from .tables import (
+    binary_array, bytes_and_offsets, chosen, free_name, mix, released, released_group, stored,
+    text_bytes,
+)
 
 LENGTH = 50
 ANCHOR = 32
@@ -213,7 +216,7 @@ def packed_anchors(docs: DataFrame, buckets: int) -> DataFrame:
                 packed = list(dealt(*map(np.concatenate, zip(*parts)), ids, buckets))
                 yield pa.RecordBatch.from_pylist(packed, schema=schema)
 
-    return docs.mapInArrow(run, PACKED)
+    return docs.mapInArrow(released(run), PACKED)
 
 
 def bucket_of(anchor: np.ndarray, buckets: int) -> np.ndarray:
@@ -472,7 +475,9 @@ def brought_contexts(texts: DataFrame) -> DataFrame:
                     BROUGHT_NAMES,
                 )
 
-    return texts.select("doc_id", "text", "asked").mapInArrow(run, BROUGHT)
+    return texts.select("doc_id", "text", "asked").mapInArrow(
+        released(run), BROUGHT
+    )
 
 
 BROUGHT = (
@@ -484,7 +489,9 @@ BROUGHT_NAMES = [field.split()[0] for field in BROUGHT.split(", ")]
 def masks_of_gathered(brought: DataFrame, buckets: int) -> DataFrame:
     few = brought.where(F.col("kind") == SOME).dropDuplicates(["doc_id", "context"])
     bucket = F.pmod(F.col("anchor"), F.lit(buckets))
-    return few.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(repeated_masks, MASKS)
+    return few.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(
+        released_group(repeated_masks), MASKS
+    )
 
 
 def masks_of_many(brought: DataFrame) -> DataFrame:
@@ -545,7 +552,9 @@ def repeated_marks(docs: DataFrame, copied: DataFrame) -> DataFrame:
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     n = docs.count()
     told = stored(
-        packed_anchors(own, buckets).groupBy("bucket").applyInArrow(replies, REPLIES),
+        packed_anchors(own, buckets).groupBy("bucket").applyInArrow(
+            released_group(replies), REPLIES
+        ),
         "suffix-replies", 40 * n,
     )
     some = told.where(F.col("kind") != ALL).groupBy("doc_id").agg(
@@ -583,10 +592,11 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     n = docs.count()
     copied = stored(copies(docs).select("doc_id").distinct(), "suffix-copies", n)
     marks = repeated_marks(docs, copied)
-    known = marks.withColumnsRenamed({"doc_id": "__id", "marks": "__marks"})
+    marked_id, own_marks = free_name(docs, "__id"), free_name(docs, "__marks")
+    known = marks.withColumnsRenamed({"doc_id": marked_id, "marks": own_marks})
     marked = chosen(docs, marks.select("doc_id"), "left_semi").join(
-        known, F.col("doc_id").cast("long") == F.col("__id")
-    ).drop("__id")
+        known, docs["doc_id"].cast("long") == known[marked_id]
+    ).drop(marked_id)
     hit = stored(marks.select("doc_id").unionByName(copied), "suffix-hit", n)
     untouched = docs.where(F.col("doc_id").isNull()).unionByName(
         chosen(docs.where(F.col("doc_id").isNotNull()), hit, "left_anti")
@@ -610,7 +620,7 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, starts in runs_of(batch, batch.schema.get_field_index("text")):
-                gone = removed(data, starts, part.column("__marks"))
+                gone = removed(data, starts, part.column(own_marks))
                 size = np.diff(starts)
                 # A run opens where the byte before, in the same text, stays.
                 opens = gone.copy()
@@ -627,5 +637,6 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
                 columns += [pa.array(x.astype(np.int64)) for x in (size, lost, spans)]
                 yield pa.RecordBatch.from_arrays([*columns, kept], [*names, *new])
 
-    cut = marked.select(*[F.col(f"`{n}`") for n in names], "__marks").mapInArrow(run, schema)
+    own = marked.select(*[F.col(f"`{n}`") for n in [*names, own_marks]])
+    cut = own.mapInArrow(released(run), schema)
     return cut.unionByName(whole.select(*cut.columns))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +38,47 @@ def stored(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back_memory() -> None:
+    """Hands memory that a finished task held back to the system. Workers wait for the next task,
+    and what their allocators keep for it counts as the executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def released(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``run`` over the batches of a task, which gives its memory back at the end."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back_memory()
+
+    return whole
+
+
+def released_group(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """The same for a function of one group."""
+
+    def whole(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            give_back_memory()
+
+    return whole
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A name for an inner column that no column of ``docs`` has."""
+    taken = {column.lower() for column in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Ids up to which documents are chosen by a broadcast; some 30 MB in memory.
 BROADCAST_IDS = 250_000
 
@@ -42,10 +86,11 @@ BROADCAST_IDS = 250_000
 def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
     """Documents with (left_semi) or without (left_anti) their doc_id in a stored table of ids. The
     ids are counted: few enough, they go to all tasks and no text moves; else both are shuffled."""
-    known = ids.select(F.col("doc_id").alias("__id"))
+    name = free_name(docs, "__id")
+    known = ids.select(F.col("doc_id").alias(name))
     if ids.count() <= BROADCAST_IDS:
         known = F.broadcast(known)
-    return docs.join(known, F.col("doc_id").cast("long") == F.col("__id"), how)
+    return docs.join(known, docs["doc_id"].cast("long") == known[name], how)
 
 
 def text_bytes(docs: DataFrame, *columns: str) -> DataFrame:

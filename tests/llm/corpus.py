@@ -5,9 +5,10 @@ import random
 # Extra columns with names that operators use inside.
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, key binary, node long,"
-    " token string, marks string, bucket int, size long, shard int, n_words long"
+    " token string, marks string, bucket int, size long, shard int, n_words long,"
+    " __id long, __marks string, __line_doc long, __line_keys string"
 )
-EXTRA = (b"k", 7, "t", "m", 1, 2, 3, 4)
+EXTRA = (b"k", 7, "t", "m", 1, 2, 3, 4, 5, "m", 6, "k")
 
 
 def table(spark, rows):

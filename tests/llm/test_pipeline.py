@@ -5,6 +5,10 @@ import pytest
 
 import __spark_entry__ as entry
 
+from tokenizers import Tokenizer
+
+from gridclim.llm.packing import VOCABULARY
+
 from .corpus import odd_rows, table, words
 import random
 
@@ -61,6 +65,13 @@ def test_stages(spark, docs):
 
     pieces = stages["packing"](spark, unique, "").collect()
     assert {p.doc_id for p in pieces} == {i for i, _ in texts}
+    tokenizer = Tokenizer.from_file(VOCABULARY)
+    wanted = sorted(
+        len(tokenizer.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts
+    )
+    starts = [p for p in pieces if p.start == 0]
+    assert sorted(p.doc_tokens for p in starts) == wanted
+    assert sum(p.length for p in pieces) == sum(wanted)
 
 
 def test_run_and_registration(spark):
@@ -72,4 +83,4 @@ def test_run_and_registration(spark):
         fill[piece.sequence_id] = fill.get(piece.sequence_id, 0) + piece.length
     assert pieces and max(fill.values()) <= 1024
     numbers = {name[2:].split("_")[0] for name in entry.queries() if name.startswith("op")}
-    assert numbers == {str(n) for n in range(1, 11)}
+    assert numbers == {str(n) for n in range(1, 14)}
