@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -9,11 +10,16 @@ from pyspark.sql import SparkSession
 
 def scratch_root(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; where it is unset, a folder in the session's
-    warehouse, which driver and executors share as well."""
+    warehouse. On a cluster that folder must not be a local one, which each machine has for
+    itself."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    local = re.match(r"local(\[|$)", spark.conf.get("spark.master", "local"))
+    if not local and root.startswith(("file:", "/")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return f"{root}/_scratch"
 
 
 def run_scratch(spark: SparkSession) -> str:

@@ -1,3 +1,7 @@
+import subprocess
+import sys
+from pathlib import Path
+
 import pytest
 
 from gridclim import session
@@ -98,3 +102,29 @@ def test_death_between_table_and_marker(spark, tmp_path, monkeypatch):
             keep_stage(spark, lambda: spark.range(9), path, "B")
     assert keep_stage(spark, lambda: spark.range(0), path, "A").count() == 3
     assert keep_stage(spark, lambda: spark.range(9), path, "B").count() == 9
+
+
+def test_a_cluster_needs_a_shared_folder():
+    local = {"spark_sql_warehouse_dir": "file:/data/warehouse/"}
+    found = scratch_root(Session(spark_master="local[8]", **local))
+    assert found == "file:/data/warehouse/_scratch"
+    named = Session(spark_master="yarn", spark_checkpoint_dir="file:///shared/", **local)
+    assert scratch_root(named) == "file:///shared"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_root(Session(spark_master="local-cluster[3,2,1024]", **local))
+
+
+def test_without_a_library_of_the_corpus_queries_the_others_stay(tmp_path):
+    """A missing package takes the corpus queries along, and says so."""
+    code = (
+        "import sys, warnings; sys.modules['zstandard'] = sys.modules['pyarrow'] = None\n"
+        "with warnings.catch_warnings(record=True) as said:\n"
+        "    warnings.simplefilter('always')\n"
+        "    import __spark_entry__ as entry\n"
+        "names = entry.queries()\n"
+        "assert 'yearly_anomalies' in names and not [n for n in names if n.startswith('op')]\n"
+        "assert 'pipeline' not in names and set(names) == set(entry.oracle_sql())\n"
+        "assert len([w for w in said if 'no corpus queries' in str(w.message)]) <= 1\n"
+    )
+    root = Path(__file__).resolve().parents[1]
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
