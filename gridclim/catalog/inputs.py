@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ClimateConfig
@@ -94,6 +94,29 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def faulty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of observation files (value, Year), of which some are not sound."""
+    number, key = F.col("l_linenumber"), F.col("l_partkey")
+    station, date = F.concat(F.lit("P"), key), F.date_format("l_shipdate", "yyyyMMdd")
+    value = F.col("l_quantity").cast("int").cast("string")
+    year = F.year("l_shipdate")
+
+    def line(*fields: Column) -> Column:
+        return F.concat_ws(",", *fields)
+
+    empty = F.lit(",,,")
+    text = (
+        F.when(number == 7, line(station, date))
+        .when(number == 6, line(station, date, F.lit("SNOW"), F.lit("much"), empty))
+        .when((number == 5) & (key % 3 == 0), line(station, F.concat(year, F.lit("0230")),
+                                                   F.lit("SNOW"), value, empty))
+        .when((number == 5) & (key % 3 == 1), line(F.lit(""), date, F.lit("SNOW"), value, empty))
+        .when((number == 4) & (key % 5 == 0), line(station, date, F.lit(""), value, empty))
+        .otherwise(line(station, date, F.lit("PRCP"), value, empty))
+    )
+    return table(spark, sf_dir, "lineitem").select(text.alias("value"), year.alias("Year"))
+
+
 def co2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Yearly totals as text, with a line that is no data."""
     years = table(spark, sf_dir, "lineitem").select(

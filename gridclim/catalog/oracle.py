@@ -132,8 +132,9 @@ def sql(select: str, days_divisor: int = 3) -> str:
     return f"WITH {named}\n{select}"
 
 
-def trend(source: str, keys: list[str]) -> str:
-    """Local quadratic fit by joining each point with its series."""
+def trend(source: str, keys: list[str], se: bool = False) -> str:
+    """Local quadratic fit by joining each point with its series; with ``se`` its standard error,
+    from each fit's weights on all points of the series."""
     same = " AND ".join(f"a.{k} = b.{k}" for k in keys)
     names = ", ".join(keys)
     prefixed = ", ".join(f"a.{k}" for k in keys)
@@ -142,6 +143,33 @@ def trend(source: str, keys: list[str]) -> str:
         + [f"sum(w * v * u ** {i}) AS t{i}" for i in range(3)]
     )
     minor = "(s2 * s4 - s3 * s3)"
+    if se:
+        determinant = f"(s0 * {minor} - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2))"
+        ending = f"""
+        , solved AS (
+          SELECT *, {minor} / {determinant} AS a, (s2 * s3 - s1 * s4) / {determinant} AS b,
+                 (s1 * s3 - s2 * s2) / {determinant} AS c
+          FROM moments WHERE k >= 3),
+        rows_of_l AS (
+          SELECT {", ".join(f"w.{k}" for k in keys)}, w.Year, w.u,
+                 w.w * (s.a + s.b * w.u + s.c * w.u * w.u) AS l, w.v
+          FROM weighted w
+          JOIN solved s ON {" AND ".join(f"w.{k} = s.{k}" for k in keys)} AND w.Year = s.Year),
+        fits AS (
+          SELECT {names}, Year, sum(l * v) AS fit, sum(l * l) AS norm,
+                 sum(CASE WHEN u = 0 THEN l END) AS own
+          FROM rows_of_l GROUP BY {names}, Year),
+        variance AS (
+          SELECT {prefixed}, sum((a.value - f.fit) ** 2) / sum(1 - 2 * f.own + f.norm) AS s2
+          FROM points a JOIN fits f ON {same.replace("b.", "f.")} AND a.Year = f.Year
+          GROUP BY {prefixed})
+        SELECT {prefixed}, a.Year, {r('a.value', 4)} AS value, {r('f.fit', 4)} AS trend,
+               {r('sqrt(b.s2 * f.norm)', 4)} AS trend_se
+        FROM points a
+        LEFT JOIN fits f ON {same.replace("b.", "f.")} AND a.Year = f.Year
+        LEFT JOIN variance b ON {same}"""
+        shown = trend(source, keys)
+        return shown[: shown.rindex("SELECT " + names + ", Year, floor")].rstrip() + ending
     return sql(f""", points AS (
           SELECT {names}, Year, value,
                  CAST(floor(count(*) OVER (PARTITION BY {names}) * 0.75e0) AS INTEGER) AS near
@@ -348,6 +376,23 @@ def oracle_sql(strict_days: int = STRICT_CONFIG.coverage_days) -> dict[str, str]
         ),
         "local_trend": trend("series", ["series"]),
         "tile_trend": trend("tile_series", ["Tile_Id", "series"]),
+        "trend_error": trend("series", ["series"], se=True),
+        "rejected_lines": """
+            SELECT CAST(year(l_shipdate) AS INTEGER) AS Year, count(*) AS n_rows,
+                   sum(CASE WHEN l_linenumber IN (6, 7)
+                              OR l_linenumber = 5 AND l_partkey % 3 < 2
+                              OR l_linenumber = 4 AND l_partkey % 5 = 0
+                            THEN 1 ELSE 0 END)::BIGINT AS n_rejects,
+                   sum(CASE WHEN l_linenumber IN (6, 7) THEN 1 ELSE 0 END)::BIGINT AS line,
+                   sum(CASE WHEN l_linenumber = 5 AND l_partkey % 3 = 1
+                            THEN 1 ELSE 0 END)::BIGINT AS station,
+                   sum(CASE WHEN l_linenumber = 5 AND l_partkey % 3 = 0
+                            THEN 1 ELSE 0 END)::BIGINT AS date,
+                   sum(CASE WHEN l_linenumber = 4 AND l_partkey % 5 = 0
+                            THEN 1 ELSE 0 END)::BIGINT AS element
+            FROM lineitem GROUP BY 1""",
+        "stored_day_bitmaps": sql('SELECT Tile_Id, Year, n AS "Count" FROM active_days'),
+        "stored_station_bitmaps": sql("SELECT Year, Tile_Id, Station_count FROM counts"),
         "year_lookup": sql(
             f"SELECT Year, Lat, Long, {r('TMAX_summer')} AS TMAX, {r('PRCP_summer')} AS PRCP,"
             f" {r('WTXX_summer')} AS WTXX FROM wide WHERE Year = 1999"

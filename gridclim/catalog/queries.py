@@ -140,6 +140,18 @@ def unknown_station_audit(spark, sf_dir):
     )
 
 
+@query
+def rejected_lines(spark, sf_dir):
+    """Yearly files with short lines, words for numbers and days that are none: rejects per file."""
+    path = scratch_path(spark, "faulty")
+    lines = inputs.faulty_lines(spark, sf_dir)
+    lines.hint("rebalance", F.col("Year")).write.partitionBy("Year").text(path)
+    per_file = sources.rejects_per_file(sources.read_checked_observations(spark, path))
+    counts = ("n_rows", "n_rejects", "line", "station", "date", "element")
+    year = F.regexp_extract("file", "/Year=([0-9]+)/", 1).cast("int")
+    return per_file.groupBy(year.alias("Year")).agg(*[F.sum(c).alias(c) for c in counts])
+
+
 # Coverage
 
 
@@ -148,6 +160,36 @@ def active_days_per_year(spark, sf_dir):
     return op.active_days_per_year(tiled(spark, sf_dir))
 
 
+@query
+def stored_day_bitmaps(spark, sf_dir):
+    """Active days from bitmaps of days, stored in two parts and merged."""
+    rows = tiled(spark, sf_dir)
+    parts = [
+        keep_stage(
+            spark, lambda part=part: op.day_bitmaps(rows.where(part)), scratch_path(spark, "days")
+        )
+        for part in (F.col("Element") == "PRCP", F.col("Element") != "PRCP")
+    ]
+    return op.days_counted(op.merged_bitmaps(parts[0].unionByName(parts[1])))
+
+
+@query
+def stored_station_bitmaps(spark, sf_dir):
+    """Reporting stations per tile and year from bitmaps of their numbers, stored and merged."""
+    listed = op.numbered_stations(tiled_stations(spark, sf_dir))
+    rows = op.tiled_observations(
+        inputs.observations(spark, sf_dir), listed, op.fits_broadcast(listed)
+    )
+    parts = [
+        keep_stage(
+            spark, lambda part=part: op.station_bitmaps(rows.where(part)),
+            scratch_path(spark, "stations"),
+        )
+        for part in (F.col("Element") == "PRCP", F.col("Element") != "PRCP")
+    ]
+    return op.stations_counted(op.merged_bitmaps(parts[0].unionByName(parts[1])))
+
+
 @query
 def active_tiles_per_year(spark, sf_dir):
     return op.active_tiles_per_year(
@@ -438,6 +480,14 @@ def local_trend(spark, sf_dir):
     return rounded(trend, "value", "trend", digits=4)
 
 
+@query
+def trend_error(spark, sf_dir):
+    """The trend with its standard error."""
+    long = op.series_long(global_table(spark, sf_dir)).select("Year", "series", "value")
+    trend = op.local_trend(long, ["series"], "Year", "value", se=True)
+    return rounded(trend, "value", "trend", "trend_se", digits=4)
+
+
 @query
 def tile_trend(spark, sf_dir):
     """A trend for every tile and measure."""

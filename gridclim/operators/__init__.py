@@ -2,6 +2,10 @@
 
 from .anomaly import anomalies
 from .baseline import baseline_tiles, baseline_year, stored_baseline
+from .bitmaps import (
+    day_bitmaps, days_counted, merged_bitmaps, numbered_stations, station_bitmaps,
+    stations_counted,
+)
 from .coverage import (
     active_days_per_year, active_tiles, active_tiles_per_year, initial_tiles, restrict_to_tiles,
     tiles_active_in, tiles_of_active_days,
@@ -25,7 +29,8 @@ from .wide import attach_centres, spread_segment, wide_from_segments, wide_table
 __all__ = [
     "BroadcastLimit", "SERIES", "accepted_observations", "active_days_per_year", "active_tiles",
     "active_tiles_per_year", "anomalies", "attach_centres", "baseline_of_state", "baseline_state", "baseline_tiles",
-    "baseline_year", "changed_tiles",
+    "baseline_year", "changed_tiles", "day_bitmaps", "days_counted", "merged_bitmaps",
+    "numbered_stations", "station_bitmaps", "stations_counted",
     "daily_from_facts", "daily_from_sums", "daily_storm_rate", "daily_tile_mean",
     "daily_tile_values",
     "facts_on_tiles", "feature_collections", "feature_ids", "fits_broadcast", "full_join_list",

@@ -9,7 +9,10 @@ from ..operators.baseline import stored_baseline
 from ..published import publish_by_year
 from ..session import files_label, path_exists
 from ..sinks.tables import export_baseline, read_about
-from ..sources.observations import read_observations, yearly_files
+from ..sources.observations import (
+    check_rejects, read_checked_observations, read_observations, rejected_observations,
+    rejects_per_file, sound_observations, yearly_files,
+)
 from ..sources.stations import read_stations
 from ..sources.tables import read_daily_values
 from .anomalies import ClimateTables, build_yearly_anomalies
@@ -67,6 +70,8 @@ def generate_result(
     stage_path: str | None = None,
     baseline_path: str | None = None,
     reuse_baseline: bool = False,
+    rejects_path: str | None = None,
+    most_rejects: float = 1.0,
 ) -> ClimateTables:
     """Observation files ``<year>.csv`` and the station list to the wide table, published by Year;
     it replaces an earlier result as a whole, and readers have the earlier one until it is complete.
@@ -74,7 +79,11 @@ def generate_result(
 
     The baseline is saved under ``baseline_path`` if one is given, with a note of what it was made
     of; with ``reuse_baseline`` it is read from there instead, and a note that names another grid,
-    span, coverage or input raises BaselineMismatch."""
+    span, coverage or input raises BaselineMismatch.
+
+    With ``rejects_path``, unsound rows (``read_checked_observations``) are written there with their
+    file and stay out of the run, which stops before it computes anything if more than the share
+    ``most_rejects`` of a file's rows is unsound. Without it, fields that cannot be read are NULL."""
     if reuse_baseline and not baseline_path:
         raise ValueError("reuse_baseline needs baseline_path")
     about = None
@@ -83,15 +92,23 @@ def generate_result(
     if reuse_baseline:
         check_baseline(read_about(spark, baseline_path), about, baseline_path)
     files = yearly_files(observations_folder, config.years_read(not reuse_baseline))
+    if rejects_path is None:
+        observations = read_observations(spark, files)
+    else:
+        checked = read_checked_observations(spark, files)
+        rejected_observations(checked).write.mode("overwrite").parquet(rejects_path)
+        check_rejects(rejects_per_file(checked), most_rejects)
+        observations = sound_observations(checked)
     tables = build_yearly_anomalies(
         spark,
-        read_observations(spark, files),
+        observations,
         read_stations(spark, stations_path),
         config,
         stage_path,
         baseline=stored_baseline(read_daily_values(spark, baseline_path))
         if reuse_baseline else None,
-        inputs=files_label(spark, *files, stations_path) if stage_path else None,
+        inputs=f"{files_label(spark, *files, stations_path)} {rejects_path is None}"
+        if stage_path else None,
     )
     if baseline_path and not reuse_baseline:
         export_baseline(tables.baseline, baseline_path, about)

@@ -2,11 +2,12 @@ import random
 
 from gridclim import ClimateConfig
 from gridclim.operators import (
-    active_days_per_year, active_tiles, active_tiles_per_year, initial_tiles, restrict_to_tiles,
-    tiles_active_in,
+    active_days_per_year, active_tiles, active_tiles_per_year, day_bitmaps, days_counted,
+    initial_tiles, merged_bitmaps, numbered_stations, restrict_to_tiles, station_bitmaps,
+    station_counts, stations_counted, tiles_active_in,
 )
 
-from helpers import daily, rows
+from helpers import daily, plan, rows
 
 
 def dates(year, n):
@@ -59,3 +60,30 @@ def test_restriction_does_not_multiply_rows(spark):
     for broadcast in (True, False, None):
         kept = restrict_to_tiles(days, tiles, broadcast)
         assert rows(kept, "Tile_Id", "Value") == [("a", 1.0)]
+
+
+def test_bitmaps_count_as_distinct_does(spark):
+    """Also when they are stored in parts, and with more stations than one bitmap holds."""
+    made = [
+        ("a", 1917, f"1917{month:02}{day:02}", f"s{day % 5}")
+        for month in (1, 2, 12) for day in (1, 2, 2, 28, 31) if (month, day) != (2, 31)
+    ] + [("a", 1920, "19200229", "s1"), ("b", 1920, "19201231", "s9"), ("b", 1920, "1920", "s9")]
+    days = spark.createDataFrame(made, "Tile_Id STRING, Year INT, Date STRING, Station STRING")
+    parts = [day_bitmaps(days.where(c)) for c in ("Station < 's2'", "Station >= 's2'")]
+    merged = merged_bitmaps(parts[0].unionByName(parts[1]))
+    known = days.where("length(Date) = 8")
+    assert rows(days_counted(merged), "Tile_Id", "Year", "Count") == rows(
+        active_days_per_year(known), "Tile_Id", "Year", "Count"
+    )
+    listed = spark.range(70_000).selectExpr(
+        "concat('s', id) AS Id", "CASE WHEN id = 69999 THEN 'b' ELSE 'a' END AS Tile_Id"
+    )
+    seen = numbered_stations(listed).where("substr(Id, -1) <> '7'").selectExpr(
+        "Tile_Id", "1917 AS Year", "number", "Id AS Station"
+    )
+    halves = [station_bitmaps(seen.where(c)) for c in ("number % 3 = 0", "number % 3 > 0 OR number % 2 = 0")]
+    counted = stations_counted(merged_bitmaps(halves[0].unionByName(halves[1])))
+    assert rows(counted, "Year", "Tile_Id", "Station_count") == rows(
+        station_counts(seen), "Year", "Tile_Id", "Station_count"
+    )
+    assert plan(days_counted(day_bitmaps(days))).count("Exchange") == 1

@@ -107,3 +107,50 @@ def test_a_large_group_is_gathered_by_year_only(spark):
     weight = np.clip(1 - (distance / width) ** 3, 0, None) ** 3
     fit = np.polyfit(year - at, value, 2, w=np.sqrt(weight))
     assert found[at] == pytest.approx(fit[2], abs=1e-8)
+
+
+def expected_error(x, y, span=0.75):
+    """From the whole smoothing operator: rows of weights, residuals, trace of (I - L)(I - L)'."""
+    x, y = np.array(x, float), np.array(y, float)
+    near, operator = int(np.floor(len(x) * span + 1e-5)), []
+    for at in x:
+        distance = np.abs(x - at)
+        width = np.sort(distance)[near - 1]
+        weight = np.clip(1 - (distance / width) ** 3, 0, None) ** 3
+        root = np.sqrt(weight)
+        design = np.stack([np.ones_like(x), x - at, (x - at) ** 2], axis=1)
+        operator.append(np.linalg.pinv(design * root[:, None])[0] * root)
+    smoother = np.array(operator)
+    rest = np.eye(len(x)) - smoother
+    variance = ((rest @ y) ** 2).sum() / np.trace(rest @ rest.T)
+    return np.sqrt(variance * (smoother**2).sum(axis=1))
+
+
+def test_standard_error(spark):
+    rng = np.random.default_rng(7)
+    series = {
+        "years": (np.arange(1917.0, 1977), rng.normal(0, 5, 60)),
+        "large": (np.arange(1950.0, 1980), 1e6 + rng.normal(0, 50, 30)),
+        "repeated": (np.repeat(np.arange(12.0), 3), rng.normal(0, 1, 36)),
+        "short": (np.arange(8.0), rng.normal(0, 1, 8)),
+    }
+    made = [(g, float(a), float(b)) for g, (x, y) in series.items() for a, b in zip(x, y)]
+    df = spark.createDataFrame(made, "g STRING, x DOUBLE, v DOUBLE")
+    plain = {(r["g"], r["x"]): r["trend"] for r in local_trend(df, ["g"], "x", "v").collect()}
+    found = {(r["g"], r["x"]): r for r in local_trend(df, ["g"], "x", "v", se=True).collect()}
+    assert {k: r["trend"] for k, r in found.items()} == plain
+    for g, (x, y) in series.items():
+        for at, error in zip(x, expected_error(x, y)):
+            assert found[g, at]["trend_se"] == pytest.approx(error, rel=1e-6)
+
+
+def test_no_error_without_a_trend_or_freedom(spark):
+    rows = [("few", float(x), 1.0 * x) for x in range(4)]
+    rows += [("flat", float(x), 3.0) for x in range(20)]
+    rows += [("null", float(x), None if x else 1.0) for x in range(9)]
+    df = spark.createDataFrame(rows, "g STRING, x DOUBLE, v DOUBLE")
+    found = {}
+    for row in local_trend(df, ["g"], "x", "v", se=True).collect():
+        found.setdefault(row["g"], []).append(row["trend_se"])
+    assert set(found["few"]) == set(found["null"]) == {None}
+    assert max(found["flat"]) < 1e-9
