@@ -344,8 +344,10 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     }).withColumn("text", text)
     drop_id, own_keys = free_name(docs, "__line_doc"), free_name(docs, "__line_keys")
     known = drops.withColumnsRenamed({"doc_id": drop_id, "drop_keys": own_keys})
+    # By shuffle at every size: a document can lose very many lines, so the keys of a few documents
+    # are no smaller a table than their number tells.
     joined = chosen(docs, drops, "left_semi").join(
-        known, docs["doc_id"].cast("long") == known[drop_id]
+        known.hint("shuffle_merge"), docs["doc_id"].cast("long") == known[drop_id]
     ).drop(drop_id)
     schema = docs.select(*[
         F.lit("").alias("text") if name == "text" else F.col(f"`{name}`") for name in names
