@@ -161,8 +161,9 @@ def trend(source: str, keys: list[str], se: bool = False) -> str:
           FROM rows_of_l GROUP BY {names}, Year),
         variance AS (
           SELECT {prefixed}, sum((a.value - f.fit) ** 2) / sum(1 - 2 * f.own + f.norm) AS s2
-          FROM points a JOIN fits f ON {same.replace("b.", "f.")} AND a.Year = f.Year
-          GROUP BY {prefixed})
+          FROM points a LEFT JOIN fits f ON {same.replace("b.", "f.")} AND a.Year = f.Year
+          GROUP BY {prefixed}
+          HAVING count(*) = count(f.fit) AND sum(1 - 2 * f.own + f.norm) > 1e-9)
         SELECT {prefixed}, a.Year, {r('a.value', 4)} AS value, {r('f.fit', 4)} AS trend,
                {r('sqrt(b.s2 * f.norm)', 4)} AS trend_se
         FROM points a
