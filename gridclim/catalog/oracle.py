@@ -378,6 +378,12 @@ def oracle_sql(strict_days: int = STRICT_CONFIG.coverage_days) -> dict[str, str]
         "local_trend": trend("series", ["series"]),
         "tile_trend": trend("tile_series", ["Tile_Id", "series"]),
         "trend_error": trend("series", ["series"], se=True),
+        "daily_trend": "SELECT series, Year AS Day, value, trend, trend_se FROM ("
+        + trend("""(SELECT Element AS series,
+                           date_diff('day', DATE '1990-01-01',
+                                     CAST(strptime(Date, '%Y%m%d') AS DATE)) AS Year,
+                           avg(Value) AS value
+                    FROM daily GROUP BY 1, 2)""", ["series"], se=True) + ")",
         "rejected_lines": """
             SELECT CAST(year(l_shipdate) AS INTEGER) AS Year, count(*) AS n_rows,
                    sum(CASE WHEN l_linenumber IN (6, 7)

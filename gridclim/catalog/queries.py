@@ -488,6 +488,19 @@ def trend_error(spark, sf_dir):
     return rounded(trend, "value", "trend", "trend_se", digits=4)
 
 
+@query
+def daily_trend(spark, sf_dir):
+    """The trend over days, which are many, with its standard error; a day is a mean of tiles."""
+    day = F.datediff(F.to_date("Date", "yyyyMMdd"), F.lit("1990-01-01").cast("date"))
+    daily = op.daily_tile_values(tiled(spark, sf_dir)).groupBy(
+        F.col("Element").alias("series"), day.alias("Day")
+    )
+    trend = op.long_trend(
+        daily.agg(F.avg("Value").alias("value")), ["series"], "Day", "value", se=True
+    )
+    return rounded(trend, "value", "trend", "trend_se", digits=4)
+
+
 @query
 def tile_trend(spark, sf_dir):
     """A trend for every tile and measure."""

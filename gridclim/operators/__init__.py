@@ -16,6 +16,7 @@ from .daily import (
     with_station_count,
 )
 from .layers import map_layer, with_color, year_lookup
+from .long_trend import long_trend
 from .lookups import BroadcastLimit, fits_broadcast, full_join_list, lookup_join
 from .maintained import baseline_of_state, baseline_state, changed_tiles, merged_states
 from .observe import accepted_observations, tiled_observations, unknown_station_audit
@@ -34,7 +35,7 @@ __all__ = [
     "daily_from_facts", "daily_from_sums", "daily_storm_rate", "daily_tile_mean",
     "daily_tile_values",
     "facts_on_tiles", "feature_collections", "feature_ids", "fits_broadcast", "full_join_list",
-    "global_series", "initial_tiles", "local_trend", "lookup_join", "map_layer", "merged_states",
+    "global_series", "initial_tiles", "local_trend", "long_trend", "lookup_join", "map_layer", "merged_states",
     "observation_facts", "point_features", "restrict_to_tiles", "segment_means", "series_long",
     "spread_segment", "station_counts", "station_tiles", "stored_baseline", "summed_facts",
     "tile_centres",
