@@ -24,9 +24,10 @@ from .components import components, forest
 from .tables import in_files, stored
 
 FOUND = "node long, links long, other long"
-#: Vectors of a cell that are compared in one task; a fuller cell is split.
+#: Home rows, and query rows, of a cell that are compared in one task; of a fuller cell every part
+#: of the home rows meets every part of the queries in a task of its own.
 CELL_ROWS = 2000
-#: Query rows whose windows are enumerated at a time.
+#: Query rows whose windows are enumerated, verified and counted at a time.
 QUERY_ROWS = 500
 
 
@@ -152,13 +153,13 @@ def placed(nodes: DataFrame, p: Projections) -> DataFrame:
 
 def collisions(
     group: int, home: dict, query: dict, p: Projections
-) -> tuple[np.ndarray, np.ndarray]:
-    """(query, home) of the pairs of one cell that pass the count. A pair is met from its larger
-    node, and only in the first group of lines in which it collides, so it is counted once."""
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, home) of the pairs of one cell that pass the count, some queries at a time. A pair is
+    met from its larger node, and only in the first group of lines in which it collides, so it is
+    counted once."""
     third = 3 * group + 2
     order = np.argsort(home["lines"][:, third], kind="stable")
     sorted_line = home["lines"][order, third]
-    found_q, found_h = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for low in range(0, len(query["node"]), QUERY_ROWS):
         lines = query["lines"][low : low + QUERY_ROWS]
         first = np.searchsorted(sorted_line, lines[:, third] - p.half, side="left")
@@ -171,13 +172,19 @@ def collisions(
         for line in (3 * group, 3 * group + 1, 3 * group + 2):
             near = np.abs(lines[q, line] - home["lines"][h, line]) <= p.half
             q, h = q[near], h[near]
-        hits = np.abs(lines[q] - home["lines"][h]) <= p.half
-        enough = hits.sum(axis=1) >= p.least_count
-        for earlier in range(group):
-            enough &= ~hits[:, 3 * earlier : 3 * earlier + 3].all(axis=1)
-        found_q.append(q[enough] + low)
-        found_h.append(h[enough])
-    return np.concatenate(found_q), np.concatenate(found_h)
+        # Line by line, so that a crowd of pairs takes no table of pairs and lines.
+        hits = np.zeros(len(q), np.int64)
+        enough = np.ones(len(q), bool)
+        for lowest in range(0, p.lines, 3):
+            together = np.ones(len(q), bool)
+            for line in range(lowest, min(lowest + 3, p.lines)):
+                hit = np.abs(lines[q, line] - home["lines"][h, line]) <= p.half
+                hits += hit
+                together &= hit
+            if lowest < 3 * group:
+                enough &= ~together
+        enough &= hits >= p.least_count
+        yield q[enough] + low, h[enough]
 
 
 def side(table: pa.Table) -> dict:
@@ -193,6 +200,24 @@ def side(table: pa.Table) -> dict:
     }
 
 
+def joined_by(
+    node: np.ndarray, least: np.ndarray, a: np.ndarray, b: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """The forest (node, least) with the links a - b added. One link of each end joins nearly all
+    of a crowd; only links that still join something are then taken one by one."""
+    if not len(a):
+        return node, least
+    few = np.union1d(np.unique(a, return_index=True)[1], np.unique(b, return_index=True)[1])
+    node, least = forest(np.concatenate([node, a[few]]), np.concatenate([least, b[few]]))
+
+    def root(x: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(node, x), len(node) - 1)
+        return np.where(node[at] == x, least[at], x)
+
+    apart = root(a) != root(b)
+    return forest(np.concatenate([node, a[apart]]), np.concatenate([least, b[apart]]))
+
+
 def linked_in_cell(table: pa.Table, p: Projections) -> pa.Table:
     """Of one cell: how many vectors each node is linked with, and links that join its components.
     Links are counted here and not passed on, so a crowd of near copies stays a few rows."""
@@ -201,16 +226,20 @@ def linked_in_cell(table: pa.Table, p: Projections) -> pa.Table:
     schema = pa.schema([("node", pa.int64()), ("links", pa.int64()), ("other", pa.int64())])
     if not len(home["node"]) or not len(query["node"]):
         return schema.empty_table()
-    q, h = collisions(table.column("grp")[0].as_py(), home, query, p)
-    sure = np.zeros(len(q), bool)
-    for low in range(0, len(q), 100_000):
-        part = slice(low, low + 100_000)
-        dots = np.einsum("ij,ij->i", query["vector"][q[part]], home["vector"][h[part]])
-        sure[part] = dots >= p.cosine
-    q, h = q[sure], h[sure]
-    links_q = np.bincount(q, home["copies"][h], len(query["node"])).astype(np.int64)
-    links_h = np.bincount(h, query["copies"][q], len(home["node"])).astype(np.int64)
-    node, least = forest(query["node"][q], home["node"][h])
+    links_q = np.zeros(len(query["node"]), np.int64)
+    links_h = np.zeros(len(home["node"]), np.int64)
+    node, least = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for q, h in collisions(table.column("grp")[0].as_py(), home, query, p):
+        sure = np.zeros(len(q), bool)
+        for low in range(0, len(q), 100_000):
+            part = slice(low, low + 100_000)
+            dots = np.einsum("ij,ij->i", query["vector"][q[part]], home["vector"][h[part]])
+            sure[part] = dots >= p.cosine
+        q, h = q[sure], h[sure]
+        links_q += np.bincount(q, home["copies"][h], len(links_q)).astype(np.int64)
+        links_h += np.bincount(h, query["copies"][q], len(links_h)).astype(np.int64)
+        # What is known of the components so far is a forest, no longer than the rows.
+        node, least = joined_by(node, least, query["node"][q], home["node"][h])
     counted = pa.table({
         "node": np.concatenate([query["node"], home["node"]]),
         "links": np.concatenate([links_q, links_h]),
@@ -240,23 +269,26 @@ def embedding_components(vectors: DataFrame, p: Projections = Projections()) ->
     )
     spots = stored(placed(nodes, p), "vector-cells", 100 * n)
     cell = ["label", "grp", "cell_x", "cell_y"]
-    parts = (
-        spots.where(F.col("home") == 1).groupBy(*cell).agg(F.count("*").alias("n"))
-        .withColumn("parts", F.ceil(F.col("n") / CELL_ROWS).cast("int")).drop("n")
-    )
-    # A home row goes to one part of its cell, a query to each of them.
-    dealt = spots.join(parts, cell).withColumn(
-        "part",
-        F.explode(F.when(
-            F.col("home") == 1,
-            F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")),
-        ).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))),
+    parts = spots.groupBy(*cell).agg(*[
+        F.ceil(F.count(F.when(F.col("home") == which, 1)) / CELL_ROWS).cast("int").alias(name)
+        for which, name in ((1, "home_parts"), (0, "query_parts"))
+    ]).where("home_parts > 0")
+    # A home row goes to its part and meets each part of the queries, a query the other way round.
+    own = F.when(F.col("home") == 1, F.col("home_parts")).otherwise(F.col("query_parts"))
+    other = F.when(F.col("home") == 1, F.col("query_parts")).otherwise(F.col("home_parts"))
+    dealt = (
+        spots.join(parts, cell).where(other > 0)
+        .withColumn("own", F.pmod(F.xxhash64("node"), own).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
+        .withColumn("home_part", F.when(F.col("home") == 1, F.col("own")).otherwise(F.col("other")))
+        .withColumn("query_part", F.when(F.col("home") == 1, F.col("other")).otherwise(F.col("own")))
+        .drop("own", "other", "home_parts", "query_parts")
     )
 
     def run(table: pa.Table) -> pa.Table:
         return linked_in_cell(table, p)
 
-    found = dealt.groupBy(*cell, "part").applyInArrow(run, FOUND)
+    found = dealt.groupBy(*cell, "home_part", "query_part").applyInArrow(run, FOUND)
     found = stored(found, "vector-links", 100 * n)
     counts = found.groupBy("node").agg(F.sum("links").alias("found"))
     joined = components(found.where(F.col("other").isNotNull()).select("node", "other"))

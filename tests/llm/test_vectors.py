@@ -1,8 +1,10 @@
 """Embedding near duplicates against all pairs."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from gridclim.llm import vectors
@@ -79,6 +81,43 @@ def test_all_links_are_found(spark, monkeypatch, cell_rows):
     assert max(r.n_links for r in result) > 10
 
 
+def test_a_crowd_of_near_copies(spark):
+    """Vectors of one label in one cell, none equal: every link is counted, in bounded parts."""
+    rng = np.random.default_rng(9)
+    base, n = rng.normal(size=16), 6000
+    x = (base + 0.1 * rng.normal(size=(n, 16))).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    cosine = unit @ unit.T
+    wanted = (cosine >= 0.98).sum(axis=1) - 1
+    rows = [(i, v, 1) for i, v in enumerate(x.tolist())]
+    found = {r.vec_id: r for r in embedding_components(table(spark, rows)).collect()}
+    # A pair in some ten thousand may lie within rounding of the threshold or collide too rarely.
+    got = np.array([found[i].n_links for i in range(n)])
+    assert np.abs(got - wanted).sum() <= 2e-6 * wanted.sum() + 2 * (np.abs(cosine - 0.98) < 1e-12).sum()
+    assert {r.component_id for r in found.values() if r.n_links} == {0}
+
+
+def test_memory_of_a_crowded_part():
+    """A full part of near copies, all of which pass: some hundred MB at most."""
+    rng = np.random.default_rng(2)
+    p, n = Projections(), vectors.CELL_ROWS
+    x = rng.normal(size=64) + 0.01 * rng.normal(size=(2 * n, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    lines = (x @ p.directions(64)).astype("<f4")
+    part = pa.table({
+        "node": np.arange(2 * n), "copies": np.ones(2 * n, np.int64),
+        "grp": pa.array([0] * 2 * n, pa.int32()),
+        "home": pa.array([1] * n + [0] * n, pa.int32()),
+        "vector": [v.astype("<f8").tobytes() for v in x], "lines": [v.tobytes() for v in lines],
+    })
+    tracemalloc.start()
+    found = vectors.linked_in_cell(part, p).to_pandas()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.links.sum() == 2 * n * n
+    assert most < 500e6
+
+
 def test_recall_at_the_threshold():
     """Pairs of cosine 0.98 exactly: the count keeps them, and some group of lines meets them."""
     p, rng = Projections(), np.random.default_rng(5)
