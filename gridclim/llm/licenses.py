@@ -2,8 +2,9 @@
 
 A text becomes words in lower case with one blank between them. A rule is a regular expression
 over these words; it runs only on texts that contain its keyword. Rules are ordered by kind, from
-a grant that names a version down to a bare name, and a detection that lies within one of an
-earlier kind is suppressed. Base phrases are detections of their own and are never suppressed."""
+sentences of the licences' own texts and grants that name a version down to bare names. A detection
+that lies within one of an earlier kind, or within a longer one of its own kind, is suppressed. Base
+phrases are detections of their own and are never suppressed."""
 
 from __future__ import annotations
 
@@ -81,6 +82,138 @@ ALONE = (
 )
 LONGER = {"cc-by": "(?! (?:sa|nc|nd) )", "cc-by-nc": "(?! (?:sa|nd) )"}
 
+#: Sentences that licences and their notices consist of: (label, keyword, regular expression).
+SIGNATURES = [
+    ("mit", "hereby granted",
+     "permission is hereby granted free of charge to any person obtaining a copy of this software"
+     " and associated documentation files(?: the software)?(?: to deal in the software)?"),
+    ("mit", "permission notice",
+     "the above copyright notice and this permission notice(?: including the next paragraph)? shall"
+     " be included in all copies or substantial portions of the software"),
+    ("ncsa", "hereby granted",
+     "permission is hereby granted free of charge to any person obtaining a copy of this software"
+     " and associated documentation files(?: the software)? to deal with the software"),
+    ("boost-1.0", "hereby granted",
+     "permission is hereby granted free of charge to any person or organization obtaining a copy of"
+     " the software and accompanying documentation covered by this license"),
+    ("isc", "hereby granted",
+     "permission to use copy modify and(?: or)? distribute this software for any purpose with or"
+     " without fee is hereby granted"),
+    ("0bsd", "hereby granted",
+     "permission to use copy modify and(?: or)? distribute this software for any purpose with or"
+     " without fee is hereby granted the software is provided as is"),
+    ("hpnd", "hereby granted",
+     "permission to use copy modify(?: and)? distribute(?: and sell)? this software and its"
+     " documentation for any purpose(?: and)?(?: is hereby granted)? without fee"),
+    ("postgresql", "hereby granted",
+     "permission to use copy modify and distribute this software and its documentation for any"
+     " purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", "redistribution",
+     "redistribution and use in source and binary forms with or without modification(?: are|is)?"
+     " permitted"),
+    ("bsd", "copyright holders",
+     "this software is provided by the copyright holders(?: and contributors)? as is"),
+    ("bsd-3-clause", "endorse or promote",
+     "neither the names? of (?:[^ ]+ ){1,20}may be used to endorse or promote products derived from"
+     " this software"),
+    ("bsd-4-clause", "advertising materials",
+     "all advertising materials mentioning features or use of this software must display the"
+     " following acknowledge?ment"),
+    ("zlib", "express or implied",
+     "this software is provided as is without any express or implied warranty in no event will the"
+     " authors? be held liable for any damages"),
+    ("zlib", "plainly marked",
+     "altered source versions must be plainly marked as such and must not be misrepresented as"
+     " being the original software"),
+    ("apache-2.0", "in compliance with",
+     "licensed under the apache license version 2 0 the license you may not use this file except in"
+     " compliance with the license"),
+    ("apache-2.0", "obtain a copy",
+     "you may obtain a copy of the license at https? www apache org licenses license 2 0"),
+    ("apache-2.0", "royalty free",
+     "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty"
+     " free irrevocable copyright license"),
+    ("apache-1.1", "apache software foundation",
+     "this product includes software developed by the apache software foundation"),
+    ("gpl-2.0", "free software foundation",
+     "gnu general public license as published by the free software foundation(?: either)? version 2"),
+    ("gpl-3.0", "free software foundation",
+     "gnu general public license as published by the free software foundation(?: either)? version 3"),
+    ("lgpl-2.0", "free software foundation",
+     "gnu library general public license as published by the free software foundation(?: either)?"
+     " version 2"),
+    ("lgpl-2.1", "free software foundation",
+     "gnu lesser general public license as published by the free software foundation(?: either)?"
+     " version 2 1"),
+    ("lgpl-3.0", "free software foundation",
+     "gnu lesser general public license as published by the free software foundation(?: either)?"
+     " version 3"),
+    ("agpl-3.0", "free software foundation",
+     "gnu affero general public license as published by the free software foundation(?: either)?"
+     " version 3"),
+    ("gfdl", "free documentation",
+     "permission is granted to copy distribute and or modify this document under the terms of the"
+     " gnu free documentation license"),
+    ("mpl-2.0", "source code form",
+     "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "contents of this file",
+     "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-1.0", "contents of this file",
+     "the contents of this file are subject to the mozilla public license version 1 0"),
+    ("cddl", "contents of this file",
+     "the contents of this file are subject to the terms of the common development and distribution"
+     " license"),
+    ("epl-1.0", "accompanying materials",
+     "this program and the accompanying materials are made available under the terms of the eclipse"
+     " public license (?:v|version )1 0"),
+    ("epl-2.0", "accompanying materials",
+     "this program and the accompanying materials are made available under the terms of the eclipse"
+     " public license (?:v ?|version )?2 0"),
+    ("eupl", "eupl", "licensed under the eupl"),
+    ("cc-by-4.0", "creative commons", "creative commons attribution 4 0 international"),
+    ("cc-by-sa-4.0", "creative commons", "creative commons attribution share ?alike 4 0 international"),
+    ("cc-by-nc-4.0", "creative commons",
+     "creative commons attribution non ?commercial 4 0 international"),
+    ("cc-by-nd-4.0", "creative commons",
+     "creative commons attribution no ?deriv(?:ative)?s 4 0 international"),
+    ("cc-by-nc-sa-4.0", "creative commons",
+     "creative commons attribution non ?commercial share ?alike 4 0 international"),
+    ("cc-by-nc-nd-4.0", "creative commons",
+     "creative commons attribution non ?commercial no ?deriv(?:ative)?s 4 0 international"),
+    ("cc-by-3.0", "creative commons", "creative commons attribution 3 0 unported"),
+    ("cc-by-sa-3.0", "creative commons", "creative commons attribution share ?alike 3 0 unported"),
+    ("cc-by", "creativecommons", "creativecommons org licenses by"),
+    ("cc-by-sa", "creativecommons", "creativecommons org licenses by sa"),
+    ("cc-by-nc", "creativecommons", "creativecommons org licenses by nc"),
+    ("cc-by-nd", "creativecommons", "creativecommons org licenses by nd"),
+    ("cc-by-nc-sa", "creativecommons", "creativecommons org licenses by nc sa"),
+    ("cc-by-nc-nd", "creativecommons", "creativecommons org licenses by nc nd"),
+    ("cc0-1.0", "creativecommons", "creativecommons org publicdomain zero 1 0"),
+    ("cc0", "public domain",
+     "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("unlicense", "public domain",
+     "this is free and unencumbered software released into the public domain"),
+    ("public-domain", "public domain",
+     "(?:has been |is hereby |hereby )?(?:placed|released) (?:in|into) the public domain"),
+    ("artistic-1.0", "intent of this document",
+     "the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", "given free software",
+     "this license establishes the terms under which a given free software package may be copied"
+     " modified distributed and or redistributed"),
+    ("ofl-1.1", "open font",
+     "this font software is licensed under the sil open font license version 1 1"),
+    ("odbl-1.0", "opendatacommons", "opendatacommons org licenses odbl 1 0"),
+    ("psf-2", "python",
+     "psf is making python available to licensee on an as is basis"),
+    ("openssl", "openssl",
+     "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("wtfpl", "want to public", "you just do what the [^ ]+ you want to"),
+    ("proprietary", "strictly prohibited",
+     "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", "confidential and proprietary",
+     "(?:is|contains) the confidential and proprietary information of"),
+]
+
 GRANT = (
     "(?:licen[cs]ed|released|distributed|available|provided|published|covered) under"
     " (?:the )?(?:terms of )?(?:the )?"
@@ -90,8 +223,9 @@ VERSION = "(?: version| v| ver)? v?"
 
 
 def rules() -> list[Rule]:
-    """All rules, first the base phrases, then those of each family by kind."""
+    """All rules, first the base phrases, then the signatures and those of each family by kind."""
     found = [Rule(-1, label, phrase, phrase, 0.9) for phrase, label in BASE.items()]
+    found += [Rule(0, label, keyword, regex, 1.0) for label, keyword, regex in SIGNATURES]
     for family, (keyword, name, versions) in FAMILIES.items():
         label = family.removesuffix("-short")
         for version in versions:
@@ -194,23 +328,34 @@ def gate_pattern(rule_list: list[Rule]) -> str:
 
 
 def not_contained(detections: DataFrame) -> DataFrame:
-    """Drops detections within one of an earlier kind: among those that start no later, one of
-    these ends no earlier. One running maximum per kind, so no two detections are compared."""
+    """Drops detections within one of an earlier kind, and those strictly within one of their own
+    kind: among those that start no later, one of these ends no earlier. One running maximum per
+    kind, so no two detections are compared."""
     earlier = (
         Window.partitionBy("row").orderBy("start")
         .rangeBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    reach = {
-        kind: F.max(F.when(F.col("kind").between(0, kind - 1), F.col("end"))).over(earlier)
-        for kind in range(1, KINDS)
-    }
-    covered = F.lit(False)
-    for kind, end in reach.items():
-        covered = covered | ((F.col("kind") == kind) & (F.col(f"reach{kind}") >= F.col("end")))
-    return (
-        detections.withColumns({f"reach{kind}": end for kind, end in reach.items()})
-        .where(~F.coalesce(covered, F.lit(False)))
+    before = (
+        Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, -1)
     )
+    beside = Window.partitionBy("row").orderBy("start").rangeBetween(0, 0)
+    same = lambda kind: F.when(F.col("kind") == kind, F.col("end"))
+    reach = {}
+    for kind in range(KINDS):
+        if kind:
+            reach[f"reach{kind}"] = F.max(
+                F.when(F.col("kind").between(0, kind - 1), F.col("end"))
+            ).over(earlier)
+        reach[f"before{kind}"] = F.max(same(kind)).over(before)
+        reach[f"beside{kind}"] = F.max(same(kind)).over(beside)
+    covered = F.lit(False)
+    for kind in range(KINDS):
+        within = (F.col(f"before{kind}") >= F.col("end")) | (F.col(f"beside{kind}") > F.col("end"))
+        if kind:
+            # A null maximum, where there is none, is not a true one.
+            within = F.coalesce(within, F.lit(False)) | (F.col(f"reach{kind}") >= F.col("end"))
+        covered = covered | ((F.col("kind") == kind) & F.coalesce(within, F.lit(False)))
+    return detections.withColumns(reach).where(~F.coalesce(covered, F.lit(False)))
 
 
 def detections_by_text(detections: DataFrame) -> DataFrame:

@@ -76,6 +76,42 @@ def test_names_that_stand_alone(spark):
     assert {texts[r.doc_id]: (r.labels, r.score) for r in found} == wanted
 
 
+def test_sentences_of_licences(spark):
+    fsf = "as published by the Free Software Foundation, either version"
+    wanted = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+        " and associated documentation files (the \"Software\"), to deal in the Software": "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"
+        " and associated documentation files (the \"Software\"), to deal with the Software": "ncsa",
+        "Redistribution and use in source and binary forms, with or without\n * modification, are"
+        " permitted provided that": "bsd",
+        "Neither the name of the University nor the names of its contributors may be used to endorse"
+        " or promote products derived from this software": "bsd-3-clause",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or"
+        " without fee is hereby granted, provided that": "isc",
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as"
+        " being the original software.": "zlib",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file"
+        " except in compliance with the License.": "apache,apache-2.0",
+        f"the GNU General Public License {fsf} 2 of the License": "gpl,gpl-2.0",
+        f"the GNU Lesser General Public License {fsf} 2.1 of the License": "gpl,lgpl-2.1",
+        f"the GNU Affero General Public License {fsf} 3 of the License": "agpl-3.0,gpl",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.":
+            "mpl-2.0",
+        "http://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+        "a Creative Commons Attribution-ShareAlike 4.0 International License": "cc-by-sa-4.0",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        # No version of a shorter name within a longer one; the base label stays.
+        "GNU Lesser General Public License version 3.0": "gpl,lgpl-3.0",
+        "GNU Affero General Public License, version 3": "agpl-3.0,gpl",
+        "the GNU Lesser General Public License": "gpl,lgpl",
+        "permission granted, redistribution of wealth, warranty and copyright holders": "",
+    }
+    texts = list(wanted)
+    found = scan_licenses(table(spark, list(enumerate(texts)))).collect()
+    assert {texts[r.doc_id]: r.labels for r in found} == wanted
+
+
 def test_rules_are_many_and_native(spark):
     assert len(rules()) > 200 and len({r.regex for r in rules()}) > 200
     text = plan(scan_licenses(table(spark, odd_rows())))
