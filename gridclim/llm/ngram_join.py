@@ -177,51 +177,102 @@ def block_signatures(owner, value, sizes, band_of: np.ndarray):
     return row, np.concatenate(tokens_out), np.maximum(spare, 0)[row]
 
 
+def summed(token, node, about):
+    """The rows (token, node, most, about) of a run of texts. A token that one set of the run has is
+    a row of its own, with ``most`` equal to ``node``. One that several sets have is a single row
+    with their least and largest node and minus their number; each of these sets follows as a
+    member, without ``most``."""
+    order = np.argsort(token, kind="stable")
+    token, node, about = token[order], node[order], about[order]
+    heads = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1)))
+    counts = np.diff(np.append(heads, len(token)))
+    single = counts == 1
+    alone, several = heads[single], heads[~single]
+    least = np.minimum.reduceat(node, heads)[~single] if len(heads) else node
+    most = np.maximum.reduceat(node, heads)[~single] if len(heads) else node
+    member = np.repeat(~single, counts)
+    parts = [
+        (token[alone], node[alone], node[alone], about[alone]),
+        (token[several], least, most, -counts[~single]),
+        (token[member], node[member], np.zeros(member.sum(), np.int64), about[member]),
+    ]
+    columns = [np.concatenate(column) for column in zip(*parts)]
+    no_most = np.arange(len(columns[0])) >= len(alone) + len(several)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(columns[0].view(np.int64)), pa.array(columns[1]),
+         pa.array(columns[2], mask=no_most), pa.array(columns[3])],
+        ["token", "node", "most", "about"],
+    )
+
+
 def tokens(docs: DataFrame) -> DataFrame:
-    """(token, node, band, spare) of each filled block; rows without doc_id have none."""
+    """(token, node, most, about) of the filled blocks, by runs of texts as ``summed`` has them.
+    ``about`` holds the band and, in its lower half, ``spare``. Equal sets of a task are taken once;
+    rows without doc_id have no tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for rows, owner, value, sizes in sets_of(batches):
             node = node_ids(owner, value, sizes)
+            fresh = np.zeros(len(node), bool)
+            for n, number in enumerate(node.tolist()):
+                if number not in seen:
+                    seen.add(number)
+                    fresh[n] = True
             own = np.searchsorted(LOWS, sizes, side="right") - 1
             # With the band below, if a set of it can be linked with one of this size.
             lower = np.where(
                 (own > 0) & (4 * sizes <= 5 * (LOWS[np.maximum(own, 0)] - 1)), own - 1, -1
             )
-            for band_of in (own, lower):
+            found = []
+            for band_of in (np.where(fresh, own, -1), np.where(fresh, lower, -1)):
                 row, token, spare = block_signatures(owner, value, sizes, band_of)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(token.view(np.int64)), pa.array(node[row]),
-                     pa.array(band_of[row].astype(np.int32)), pa.array(spare.astype(np.int32))],
-                    ["token", "node", "band", "spare"],
-                )
+                found.append((token, node[row], (band_of[row] << 32) + spare))
+            yield summed(*(np.concatenate(column) for column in zip(*found)))
 
     known = docs.where(F.col("doc_id").isNotNull())
     return text_bytes(known, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(
-        released(run), "token long, node long, band int, spare int"
+        released(run), "token long, node long, most long, about long"
     )
 
 
 def meetings(docs: DataFrame) -> DataFrame:
-    """(token, node): blocks that sets of different content share and offer by the common order."""
+    """(token, node): blocks that sets of different content share and offer by the common order.
+
+    A token's number of sets and its extremes come from one row for each run of texts, so a token
+    that a third of all documents have is one row for some 2 MB of text. Its members, which the runs
+    have told to be such, get the number by a join, which adaptive execution can split."""
+    found = stored(tokens(docs), "ngram-tokens")
     by_token = Window.partitionBy("token")
-    counted = (
-        tokens(docs)
+    times = F.when(F.col("about") < 0, -F.col("about")).otherwise(1)
+    shared = (
+        found.where(F.col("most").isNotNull())
         .withColumns({
-            "n": F.count("*").over(by_token),
+            "n": F.sum(times).over(by_token),
             "least": F.min("node").over(by_token),
-            "most": F.max("node").over(by_token),
+            "largest": F.max("most").over(by_token),
         })
         # A block of one set alone comes first in the order and meets nothing.
-        .where(F.col("least") < F.col("most"))
-        .groupBy("token", "node", "band")
-        .agg(F.max("n").alias("n"), F.max("spare").alias("spare"))
+        .where(F.col("least") < F.col("largest"))
+        .select("token", "node", "about", "n")
     )
-    commonest = Window.partitionBy("node", "band").orderBy(F.desc("n"), F.desc("token"))
+    rows = 4 * docs.count()
+    shared = stored(shared, "ngram-shared", rows)
+    numbers = shared.where(F.col("about") < 0).groupBy("token").agg(F.max("n").alias("n"))
+    members = found.where(F.col("most").isNull()).select("token", "node", "about")
+    # A set that several tasks hold comes several times.
+    counted = (
+        members.join(numbers, "token")
+        .unionByName(shared.where(F.col("about") >= 0))
+        .groupBy("token", "node", "about").agg(F.max("n").alias("n"))
+    )
+    # About names the band, and spare is the same for all blocks of a set in it.
+    commonest = Window.partitionBy("node", "about").orderBy(F.desc("n"), F.desc("token"))
+    spare = F.col("about").bitwiseAND(F.lit((1 << 32) - 1))
     offered = counted.withColumn("place", F.row_number().over(commonest)).where(
-        F.col("place") > F.col("spare")
+        F.col("place") > spare
     )
-    return stored(offered.select("token", "node"), "ngram-meetings", 16 * docs.count())
+    return stored(offered.select("token", "node"), "ngram-meetings", 4 * rows)
 
 
 def near(pairs: DataFrame, node_table: DataFrame) -> DataFrame:
@@ -295,38 +346,74 @@ def shingle_table(docs: DataFrame, node_table: DataFrame, needed: DataFrame) ->
     return stored(made.dropDuplicates(["node"]), "ngram-sets", 100 * needed.count())
 
 
+def split_blocks(wide: DataFrame) -> DataFrame:
+    """(token, node, label, own, i, j) for blocks of too many members for one task: a row for each
+    two splits i and j that a member is compared in, ``own`` being its split. A component that fills
+    a task is split for itself and its splits are not paired with each other; all smaller
+    components of a block are split together."""
+    large = (
+        wide.groupBy("token", "label").agg(F.count("*").alias("size"))
+        .where(F.col("size") > BLOCK_ROWS)
+    )
+    dealt = wide.join(large, ["token", "label"], "left").withColumn(
+        "part", F.when(F.col("size").isNotNull(), F.col("label"))
+    )
+    splits = F.ceil(F.coalesce("size", "members") / BLOCK_ROWS)
+    dealt = dealt.withColumn("number", F.pmod(F.xxhash64("node"), splits)).select(
+        "token", "node", "label", F.struct("part", "number").alias("split")
+    )
+    in_block = Window.partitionBy("token").orderBy("split")
+    numbered = dealt.select("token", "split").distinct().withColumn(
+        "own", F.row_number().over(in_block)
+    )
+    first = numbered.select("token", F.col("own").alias("i"), F.col("split.part").alias("p"))
+    second = numbered.select("token", F.col("own").alias("j"), F.col("split.part").alias("q"))
+    pairs = first.join(second, "token").where(
+        (F.col("i") <= F.col("j"))
+        & (F.col("p").isNull() | F.col("q").isNull() | (F.col("p") != F.col("q")))
+    )
+    places = pairs.select("token", F.col("i").alias("own"), "i", "j").unionByName(
+        pairs.where(F.col("i") < F.col("j")).select("token", F.col("j").alias("own"), "i", "j")
+    )
+    return (
+        dealt.alias("d")
+        .join(
+            numbered.alias("s"),
+            (F.col("d.token") == F.col("s.token")) & F.col("d.split").eqNullSafe(F.col("s.split")),
+        )
+        .select("d.token", "d.node", "d.label", "s.own")
+        .join(places, ["token", "own"])
+        .select("token", "node", "label", "own", "i", "j")
+    )
+
+
 def mixed_blocks(meeting: DataFrame, labels: DataFrame, node_table: DataFrame) -> DataFrame:
-    """Members of the blocks in which components meet, dealt to tasks: (task, token, i, j, side).
+    """Members of the blocks in which components meet, dealt to tasks: (task, token, i, j, own).
     A block of many members is split; each two of its splits are compared in a task of their own."""
-    by_token = Window.partitionBy("token")
-    labelled = (
-        meeting.join(labels, "node", "left")
-        .select("token", "node", F.coalesce("least", "node").alias("label"))
-        .withColumns({
-            "low": F.min("label").over(by_token),
-            "high": F.max("label").over(by_token),
-            "members": F.count("*").over(by_token),
-        })
+    rows = meeting.count()
+    labelled = meeting.join(labels, "node", "left").select(
+        "token", "node", F.coalesce("least", "node").alias("label")
+    )
+    labelled = stored(labelled, "ngram-labelled", rows)
+    blocks = (
+        labelled.groupBy("token")
+        .agg(
+            F.min("label").alias("low"), F.max("label").alias("high"),
+            F.count("*").alias("members"),
+        )
         .where(F.col("low") < F.col("high"))
-        .select("token", "node", "label", "members")
+        .select("token", "members")
     )
-    mixed = stored(labelled, "ngram-mixed", meeting.count())
-    tasks = 1 + mixed.count() // TASK_ROWS
-    splits = F.ceil(F.col("members") / BLOCK_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("splits")).cast("int")
-    # With itself and every other split, the smaller number first.
-    place = F.explode(F.transform(
-        F.sequence(F.lit(0), F.col("splits") - 1),
-        lambda other: F.struct(
-            F.least("own", other).alias("i"), F.greatest("own", other).alias("j")
-        ),
-    ))
-    spread = (
-        mixed.withColumn("splits", splits).withColumn("own", own).withColumn("place", place)
-        .select("token", "node", "label", "own", "place.*")
-        .withColumn("task", F.pmod(F.xxhash64("token", "i", "j"), F.lit(tasks)))
+    mixed = stored(labelled.join(blocks, "token"), "ngram-mixed", rows)
+    whole = mixed.where(F.col("members") <= BLOCK_ROWS).select(
+        "token", "node", "label",
+        *[F.lit(1).alias(name) for name in ("own", "i", "j")],
     )
-    return spread.join(node_table, "node")
+    split = split_blocks(mixed.where(F.col("members") > BLOCK_ROWS))
+    spread = stored(whole.unionByName(split), "ngram-spread", rows)
+    tasks = 1 + spread.count() // TASK_ROWS
+    task = F.pmod(F.xxhash64("token", "i", "j"), F.lit(tasks))
+    return spread.withColumn("task", task).join(node_table, "node")
 
 
 def near_pairs(blocks: DataFrame, best: bool) -> DataFrame:

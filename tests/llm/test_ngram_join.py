@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from gridclim.llm import ngram_join
 from gridclim.llm.ngram_join import BANDS, hamming, ngram_components, one_of_each_group
 
 from .corpus import by_id, edited, odd_rows, table, words
@@ -104,3 +105,56 @@ def test_one_of_each_group_stays(spark):
         doc_id for doc_id, _ in rows if doc_id is not None and wanted[doc_id][1] == doc_id
     )
     assert by_id([(1, 2)]) == {1: (1, 2)}
+
+
+def test_full_blocks_are_split_by_component(spark, monkeypatch):
+    """Blocks of many members: near copies of which one component fills a task and others do not."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "TASK_ROWS", 30)
+    rng = random.Random(7)
+    rows, shared = [], words(rng, 90)
+    for group, members in enumerate((40, 25, 6, 5, 1, 1)):
+        base = shared + words(rng, 30)
+        for _ in range(members):
+            rows.append((len(rows), " ".join(edited(rng, base, rng.randrange(4)))))
+    rows += [(len(rows) + n, rows[0][1]) for n in range(30)]
+    rng.shuffle(rows)
+    check(spark, rows)
+
+
+def test_splits_of_a_block(spark, monkeypatch):
+    """Each two members of different components meet once; those of one that fills a task do not."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 4)
+    label = {n: 0 if n < 20 else 100 if n < 31 else n for n in range(36)}
+    rows = [(5, n, own, len(label)) for n, own in label.items()]
+    wide = spark.createDataFrame(rows, "token long, node long, label long, members long")
+    met, tasks = {}, {}
+    for row in ngram_join.split_blocks(wide).collect():
+        tasks.setdefault((row.i, row.j), []).append(row)
+    for (i, j), members in tasks.items():
+        left = [m for m in members if m.own == i]
+        right = [m for m in members if m.own == j]
+        pairs = itertools.combinations(left, 2) if i == j else itertools.product(left, right)
+        for a, b in pairs:
+            pair = tuple(sorted((a.node, b.node)))
+            met[pair] = met.get(pair, 0) + 1
+    apart = {p for p in itertools.combinations(range(36), 2) if label[p[0]] != label[p[1]]}
+    assert apart <= set(met) and set(met.values()) == {1}
+    assert not any(label[a] == label[b] for a, b in met)
+
+
+def test_tokens_of_a_run_are_summed():
+    token = np.array([7, 3, 7, 9, 7], np.uint64)
+    batch = ngram_join.summed(token, np.array([4, 5, 2, 6, 8]), np.array([11, 12, 13, 14, 15]))
+    assert sorted(batch.to_pylist(), key=str) == sorted(
+        [
+            {"token": 3, "node": 5, "most": 5, "about": 12},
+            {"token": 9, "node": 6, "most": 6, "about": 14},
+            {"token": 7, "node": 2, "most": 8, "about": -3},
+            *[{"token": 7, "node": n, "most": None, "about": a} for n, a in
+              ((4, 11), (2, 13), (8, 15))],
+        ],
+        key=str,
+    )
+    nothing = np.zeros(0, np.int64)
+    assert ngram_join.summed(np.zeros(0, np.uint64), nothing, nothing).num_rows == 0
