@@ -18,7 +18,7 @@ component that is known already add nothing to it."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -177,38 +177,41 @@ def block_signatures(owner, value, sizes, band_of: np.ndarray):
     return row, np.concatenate(tokens_out), np.maximum(spare, 0)[row]
 
 
-def summed(token, node, about):
-    """The rows (token, node, most, about) of a run of texts. A token that one set of the run has is
-    a row of its own, with ``most`` equal to ``node``. One that several sets have is a single row
-    with their least and largest node and minus their number; each of these sets follows as a
-    member, without ``most``."""
+def by_run(token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of tokens, where each begins in it, and how often each occurs."""
     order = np.argsort(token, kind="stable")
+    ordered = token[order]
+    heads = np.flatnonzero(np.diff(ordered, prepend=ordered[:1] + np.uint64(1)))
+    return order, heads, np.diff(np.append(heads, len(ordered)))
+
+
+def summed(token, node, about) -> list[np.ndarray]:
+    """Columns token, node, most, about: a row for each token of a run of texts. If one set has it,
+    they are its node, 0 and what is said about it; if several have it, their least and largest node
+    and minus their number."""
+    order, heads, counts = by_run(token)
     token, node, about = token[order], node[order], about[order]
-    heads = np.flatnonzero(np.diff(token, prepend=token[:1] + np.uint64(1)))
-    counts = np.diff(np.append(heads, len(token)))
-    single = counts == 1
-    alone, several = heads[single], heads[~single]
-    least = np.minimum.reduceat(node, heads)[~single] if len(heads) else node
-    most = np.maximum.reduceat(node, heads)[~single] if len(heads) else node
-    member = np.repeat(~single, counts)
-    parts = [
-        (token[alone], node[alone], node[alone], about[alone]),
-        (token[several], least, most, -counts[~single]),
-        (token[member], node[member], np.zeros(member.sum(), np.int64), about[member]),
+    several = counts > 1
+    if not len(heads):
+        return [token, node, node, about]
+    return [
+        token[heads], np.minimum.reduceat(node, heads),
+        np.where(several, np.maximum.reduceat(node, heads), 0),
+        np.where(several, -counts, about[heads]),
     ]
-    columns = [np.concatenate(column) for column in zip(*parts)]
-    no_most = np.arange(len(columns[0])) >= len(alone) + len(several)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(columns[0].view(np.int64)), pa.array(columns[1]),
-         pa.array(columns[2], mask=no_most), pa.array(columns[3])],
-        ["token", "node", "most", "about"],
-    )
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """(token, node, most, about) of the filled blocks, by runs of texts as ``summed`` has them.
-    ``about`` holds the band and, in its lower half, ``spare``. Equal sets of a task are taken once;
-    rows without doc_id have no tokens."""
+def members(token, node, about) -> list[np.ndarray]:
+    """Columns token, node, about of the tokens that several sets of a run of texts have."""
+    order, _, counts = by_run(token)
+    of_several = order[np.repeat(counts > 1, counts)]
+    return [token[of_several], node[of_several], about[of_several]]
+
+
+def tokens(docs: DataFrame, rows_of: Callable[..., list[np.ndarray]], *names: str) -> DataFrame:
+    """The rows that ``rows_of`` makes of the filled blocks of each run of texts. ``about`` holds the
+    band and, in its lower half, ``spare``. Equal sets of a task are taken once; rows without doc_id
+    have no tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -228,11 +231,14 @@ def tokens(docs: DataFrame) -> DataFrame:
             for band_of in (np.where(fresh, own, -1), np.where(fresh, lower, -1)):
                 row, token, spare = block_signatures(owner, value, sizes, band_of)
                 found.append((token, node[row], (band_of[row] << 32) + spare))
-            yield summed(*(np.concatenate(column) for column in zip(*found)))
+            columns = rows_of(*(np.concatenate(column) for column in zip(*found)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column.view(np.int64)) for column in columns], list(names)
+            )
 
     known = docs.where(F.col("doc_id").isNotNull())
     return text_bytes(known, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(
-        released(run), "token long, node long, most long, about long"
+        released(run), ", ".join(f"{name} long" for name in names)
     )
 
 
@@ -241,29 +247,28 @@ def meetings(docs: DataFrame) -> DataFrame:
 
     A token's number of sets and its extremes come from one row for each run of texts, so a token
     that a third of all documents have is one row for some 2 MB of text. Its members, which the runs
-    have told to be such, get the number by a join, which adaptive execution can split."""
-    found = stored(tokens(docs), "ngram-tokens")
+    have told to be such, are sent in a second pass and get the number by a join, which adaptive
+    execution can split."""
     by_token = Window.partitionBy("token")
-    times = F.when(F.col("about") < 0, -F.col("about")).otherwise(1)
+    several = F.col("about") < 0
     shared = (
-        found.where(F.col("most").isNotNull())
+        tokens(docs, summed, "token", "node", "most", "about")
         .withColumns({
-            "n": F.sum(times).over(by_token),
+            "n": F.sum(F.when(several, -F.col("about")).otherwise(1)).over(by_token),
             "least": F.min("node").over(by_token),
-            "largest": F.max("most").over(by_token),
+            "largest": F.max(F.when(several, F.col("most")).otherwise(F.col("node"))).over(by_token),
         })
         # A block of one set alone comes first in the order and meets nothing.
         .where(F.col("least") < F.col("largest"))
         .select("token", "node", "about", "n")
     )
-    rows = 4 * docs.count()
-    shared = stored(shared, "ngram-shared", rows)
-    numbers = shared.where(F.col("about") < 0).groupBy("token").agg(F.max("n").alias("n"))
-    members = found.where(F.col("most").isNull()).select("token", "node", "about")
+    rows = 16 * docs.count()
+    shared = stored(shared, "ngram-shared", 2 * rows)
+    numbers = shared.where(several).groupBy("token").agg(F.max("n").alias("n"))
     # A set that several tasks hold comes several times.
     counted = (
-        members.join(numbers, "token")
-        .unionByName(shared.where(F.col("about") >= 0))
+        tokens(docs, members, "token", "node", "about").join(numbers, "token")
+        .unionByName(shared.where(~several))
         .groupBy("token", "node", "about").agg(F.max("n").alias("n"))
     )
     # About names the band, and spare is the same for all blocks of a set in it.
@@ -272,7 +277,7 @@ def meetings(docs: DataFrame) -> DataFrame:
     offered = counted.withColumn("place", F.row_number().over(commonest)).where(
         F.col("place") > spare
     )
-    return stored(offered.select("token", "node"), "ngram-meetings", 4 * rows)
+    return stored(offered.select("token", "node"), "ngram-meetings", rows)
 
 
 def near(pairs: DataFrame, node_table: DataFrame) -> DataFrame:

@@ -144,17 +144,13 @@ def test_splits_of_a_block(spark, monkeypatch):
 
 
 def test_tokens_of_a_run_are_summed():
-    token = np.array([7, 3, 7, 9, 7], np.uint64)
-    batch = ngram_join.summed(token, np.array([4, 5, 2, 6, 8]), np.array([11, 12, 13, 14, 15]))
-    assert sorted(batch.to_pylist(), key=str) == sorted(
-        [
-            {"token": 3, "node": 5, "most": 5, "about": 12},
-            {"token": 9, "node": 6, "most": 6, "about": 14},
-            {"token": 7, "node": 2, "most": 8, "about": -3},
-            *[{"token": 7, "node": n, "most": None, "about": a} for n, a in
-              ((4, 11), (2, 13), (8, 15))],
-        ],
-        key=str,
+    found = (
+        np.array([7, 3, 7, 9, 7], np.uint64), np.array([4, 5, 2, 6, 8]),
+        np.array([11, 12, 13, 14, 15]),
     )
-    nothing = np.zeros(0, np.int64)
-    assert ngram_join.summed(np.zeros(0, np.uint64), nothing, nothing).num_rows == 0
+    assert np.transpose(ngram_join.summed(*found)).tolist() == [
+        [3, 5, 0, 12], [7, 2, 8, -3], [9, 6, 0, 14],
+    ]
+    assert np.transpose(ngram_join.members(*found)).tolist() == [[7, 4, 11], [7, 2, 13], [7, 8, 15]]
+    nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    assert [len(c) for c in ngram_join.summed(*nothing) + ngram_join.members(*nothing)] == [0] * 7
