@@ -5,6 +5,7 @@ the place of its earlier delivery."""
 from __future__ import annotations
 
 import functools
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -30,6 +31,8 @@ from ..session import list_path, path_exists, remove_path, scratch_path
 from ..sources.observations import OBSERVATION_SCHEMA
 from .deliveries import delivery_of, received, sums_that_count, with_years
 
+#: Of a binary file only what its folder tells is asked for, so none is opened.
+FILES_SCHEMA = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 SUMS_SCHEMA = (
     "Tile_Id STRING, Date STRING, Element STRING, Station STRING, n BIGINT, n_value BIGINT,"
     " sum_value BIGINT, Year INT, batch BIGINT"
@@ -58,23 +61,37 @@ class YearlyIncrements:
     config: ClimateConfig = ClimateConfig()
 
     def start(self, incoming: str, checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
-        """Processes all files that wait under ``incoming``, then stops."""
+        """Processes all files that wait under ``incoming``, then stops.
+
+        The stream carries the names of files, not their rows. So the deliveries are known before
+        any row is read, and the rows are read once, in those columns alone that count."""
         files = (
-            self.spark.readStream.schema(OBSERVATION_SCHEMA)
+            self.spark.readStream.format("binaryFile").schema(FILES_SCHEMA)
             .option("maxFilesPerTrigger", files_per_batch)
-            .csv(incoming)
+            .load(incoming)
             .select(
-                "*", F.col("_metadata.file_path").alias("file"),
+                "path", "length", F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_modification_time").alias("modified"),
             )
         )
         return (
-            files.writeStream.foreachBatch(self.update)
+            files.writeStream.foreachBatch(self._update_from_files)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
         )
 
+    def _update_from_files(self, files: DataFrame, batch_id: int) -> None:
+        # At most the files of a batch. Their names are no patterns.
+        paths = [
+            re.sub(r"([][{}*?\\])", r"\\\1", row["path"])
+            for row in files.select("path").distinct().collect()
+        ]
+        batch = self.spark.read.schema(OBSERVATION_SCHEMA).csv(paths).select(
+            "*", F.col("_metadata.file_path").alias("file")
+        )
+        self._update(batch, batch_id, files.where("length > 0"), may_be_empty=True)
+
     @functools.cached_property
     def _lookups(self) -> tuple[DataFrame, bool, DataFrame | None]:
         """The station list, whether it fits a broadcast, and the baseline, found out and stored
@@ -92,13 +109,23 @@ class YearlyIncrements:
         repeated takes the place of its first attempt.
 
         Rows without a column ``file`` are a delivery of their own."""
+        if "file" in batch.columns:
+            files = batch.groupBy("file").agg(F.max("modified").alias("modified"))
+        else:
+            files = None
+        self._update(batch, batch_id, files)
+
+    def _update(
+        self, batch: DataFrame, batch_id: int, files: DataFrame | None, may_be_empty: bool = False
+    ) -> None:
         pointer = read_pointer(self.spark, self.store)
         last = pointer or {"batch": -1, "before": None, "entries": {}}
         if batch_id < last["batch"]:
             raise ValueError(f"batch {batch_id} comes after batch {last['batch']}")
         before = last["before"] if batch_id == last["batch"] else last
         before = {k: v for k, v in (before or {"entries": {}}).items() if k != "before"}
-        entries = self._store_sums(batch, batch_id, before["entries"])
+        delivered = self._delivered(batch, batch_id, files)
+        entries = self._store_sums(batch, delivered, before["entries"], may_be_empty)
         counted, old, seen = (
             sums_that_count(e) for e in (entries, before["entries"], last["entries"])
         )
@@ -118,30 +145,59 @@ class YearlyIncrements:
         write_pointer(self.spark, self.store, content | {"before": before}, pointer)
         self._remove_unused(content, before)
 
-    def _store_sums(self, batch: DataFrame, batch_id: int, entries: dict) -> dict:
-        """Stores the sums of each delivery; the entries that they change."""
+    def _delivered(
+        self, batch: DataFrame, batch_id: int, files: DataFrame | None
+    ) -> dict[str, list[str]]:
+        """The deliveries of a batch, oldest first, and the files of each; without ``files``, all
+        rows are one delivery."""
+        if files is None:
+            return {} if batch.isEmpty() else {f"batch-{batch_id}": []}
+        # A name is cut out once a file, not once a row. At most the files of a batch.
+        return {
+            row["delivery"]: row["files"] for row in
+            files.groupBy(delivery_of(F.col("file")).alias("delivery"))
+            .agg(F.max("modified").alias("modified"), F.collect_set("file").alias("files"))
+            .orderBy("modified", "delivery").collect()
+        }
+
+    def _store_sums(
+        self, batch: DataFrame, delivered: dict[str, list[str]], before: dict, may_be_empty: bool
+    ) -> dict:
+        """Stores the sums of each delivery; the entries that they change. With ``may_be_empty``,
+        deliveries may turn out to have no rows: then they are none, and what they had taken the
+        place of is stored."""
+        while True:
+            entries, numbers = received(before, delivered)
+            if not numbers:
+                return entries
+            self._write_sums(batch, {n: delivered[name] for name, n in numbers.items()})
+            found: dict[str, list[int]] = {str(number): [] for number in numbers.values()}
+            for year, number in self._stored():
+                if number in found:
+                    found[number].append(year)
+            empty = {
+                name for name, number in numbers.items()
+                if may_be_empty and not found[str(number)]
+                and batch.where(F.col("file").isin(delivered[name])).isEmpty()
+            }
+            if not empty:
+                return with_years(entries, found)
+            delivered = {name: own for name, own in delivered.items() if name not in empty}
+
+    def _write_sums(self, batch: DataFrame, files: dict[int, list[str]]) -> None:
+        """Stores the sums of deliveries by number; ``files`` are the files of each, and none where
+        all rows are one delivery."""
         if "file" in batch.columns:
-            batch = batch.withColumn("delivery", delivery_of(F.col("file")))
+            numbered = self.spark.createDataFrame(
+                [(file, number) for number, own in files.items() for file in own],
+                "file STRING, batch BIGINT",
+            )
+            batch = batch.join(F.broadcast(numbered), "file")
         else:
-            batch = batch.withColumns({
-                "delivery": F.lit(f"batch-{batch_id}"), "modified": F.lit(None).cast("timestamp")
-            })
-        # At most the files of a batch.
-        delivered = [
-            row["delivery"] for row in
-            batch.groupBy("delivery").agg(F.max("modified").alias("modified"))
-            .orderBy("modified", "delivery").collect()
-        ]
-        entries, numbers = received(entries, delivered)
-        if not numbers:
-            return entries
-        numbered = self.spark.createDataFrame(
-            list(numbers.items()), "delivery STRING, batch BIGINT"
-        )
+            (number,) = files
+            batch = batch.withColumn("batch", F.lit(number).cast("bigint"))
         tiled, broadcast, _ = self._lookups
-        accepted = accepted_observations(
-            batch.join(F.broadcast(numbered), "delivery"), also=["batch"]
-        )
+        accepted = accepted_observations(batch, also=["batch"])
         wanted = F.col("Year").between(self.config.year_start_data, self.config.year_end_data)
         if self.baseline is None:
             wanted |= F.col("Year").between(
@@ -155,11 +211,6 @@ class YearlyIncrements:
             .partitionBy("Year", "batch")
             .parquet(self.store)
         )
-        found: dict[str, list[int]] = {str(number): [] for number in numbers.values()}
-        for year, number in self._stored():
-            if number in found:
-                found[number].append(year)
-        return with_years(entries, found)
 
     def _stored(self) -> list[tuple[int, str]]:
         """Year and number of all stored sums."""

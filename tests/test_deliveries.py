@@ -83,6 +83,39 @@ def test_the_later_of_two_deliveries_in_one_batch_counts(spark, tmp_path):
     assert cells(read_result(spark, held.result)) == cells(tables.wide.where("Year <= 1918"))
 
 
+def test_a_file_without_rows_is_no_delivery(spark, tmp_path):
+    """It takes the place of nothing, neither of an earlier delivery nor of one in its batch; one
+    whose rows do not count does."""
+    seen = years_of_observations(spark).cache()
+    tables = batch_result(spark, seen)
+    held = kept(spark, tmp_path, tables.baseline)
+    incoming, progress = tmp_path / "incoming", str(tmp_path / "progress")
+    deliver(spark, incoming / "a", seen, [1917, 1918, 1919])
+    (incoming / "b").mkdir()
+    for year, text in ((1917, ""), (1918, "\n\n"), (1919, "P,19190101,SNOW,1,,,,\n")):
+        (incoming / "b" / f"{year}.csv").write_text(text)
+        os.utime(incoming / "a" / f"{year}.csv", (1_000_000_000, 1_000_000_000))
+    held.start(f"{incoming}/*", progress, 10).awaitTermination()
+    assert cells(read_result(spark, held.result)) == cells(tables.wide.where("Year <= 1918"))
+    (incoming / "c").mkdir()
+    (incoming / "c" / "1917.csv").write_text("\n")
+    held.start(f"{incoming}/*", progress, 10).awaitTermination()
+    assert cells(read_result(spark, held.result)) == cells(tables.wide.where("Year <= 1918"))
+
+
+def test_names_of_files_are_no_patterns(spark, tmp_path):
+    seen = years_of_observations(spark).cache()
+    tables = batch_result(spark, seen)
+    held = kept(spark, tmp_path, tables.baseline)
+    incoming = tmp_path / "incoming"
+    incoming.mkdir()
+    names = {1917: "19 17%20.csv", 1918: "[1918].csv", 1919: "{19,20}*?.csv", 1920: "ü+&.csv"}
+    for year, name in names.items():
+        (incoming / name).write_text(lines(seen, f"Year = {year}"))
+    held.start(str(incoming), str(tmp_path / "progress"), 10).awaitTermination()
+    assert cells(read_result(spark, held.result)) == cells(tables.wide.where("Year <= 1920"))
+
+
 def test_deliveries_by_name():
     entries, numbers = received({}, ["x/a/1917.csv", "x/a/Year=1918"])
     assert set(entries) == {"1917.csv", "Year=1918"} and len(set(numbers.values())) == 2

@@ -90,3 +90,24 @@ def test_a_batch_without_accepted_rows(spark, setup):
     before = cells(read_result(spark, increments.result))
     increments.update(seen.where("Year < 1900").drop("Year"), 1)
     assert cells(read_result(spark, increments.result)) == before
+
+
+def bytes_read(spark):
+    """What this session's tasks have read of local files so far."""
+    found = spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics()
+    return sum(found.get(n).getBytesRead() for n in range(found.size()))
+
+
+def test_files_are_read_once(spark, setup, tmp_path):
+    """Neither the names of the deliveries nor their sums need a second pass over the rows."""
+    _, _, increments = setup
+    incoming = tmp_path / "incoming"
+    incoming.mkdir()
+    for year in (1917, 1918, 1919):
+        (incoming / f"{year}.csv").write_text(f"A,{year}0101,PRCP,7,,,,\n" * 200_000)
+    size = sum(file.stat().st_size for file in incoming.iterdir())
+    before = bytes_read(spark)
+    increments.start(str(incoming), str(tmp_path / "progress"), 10).awaitTermination()
+    assert size < bytes_read(spark) - before < 1.5 * size
+    stored = spark.read.parquet(increments.store).where("Element IS NOT NULL")
+    assert rows(stored, "Year", "n") == [(year, 200_000) for year in (1917, 1918, 1919)]
