@@ -22,14 +22,15 @@ def baseline_state(daily: DataFrame, config: ClimateConfig, sign: int = 1) -> Da
     """Number of days, of values, and sum of the daily tile values in the baseline years, per
     calendar day, element and tile. With ``sign`` -1 the table takes these years back."""
     in_span = F.col("Year").between(config.year_start_baseline, config.year_end_baseline)
-    value = F.col("Value").cast(TOTAL)
+    total = F.coalesce(F.sum(F.col("Value").cast(TOTAL)), F.lit(0)).cast(TOTAL)
     return (
         daily.where(in_span)
         .groupBy(month_day_of(F.col("Date")).alias("MonthDay"), "Element", "Tile_Id")
         .agg(
             (F.count(F.lit(1)) * sign).alias("n"),
             (F.count("Value") * sign).alias("n_value"),
-            (F.coalesce(F.sum(value), F.lit(0)) * sign).cast(TOTAL).alias("total"),
+            # A product of decimals would have fewer digits.
+            (total if sign > 0 else -total).alias("total"),
         )
     )
 
